@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.columns import WORD, count_words
 from gleanery.session import materialise
 
-BLOCK_WORDS = 256
+BLOCK_WORDS = 128
 LIMIT = 3
 WEIGHTS = (1, 2, 3)
 ROUNDS = 24
@@ -145,9 +145,11 @@ def mix(
     sized = materialise(sized, "mix-sizes")
     plan = Plan(sized, weights, block_words, limit)
     rows = offsets(sized, plan, ["key"])
-    found = taken(rows, plan, block_words).groupBy("key", "sid", "start").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-    rows = rows.join(found, (rows["key"].eqNullSafe(found["key"])) & (rows["sid"] == found["sid"]) & (rows["start"] == found["start"]) & (rows["size"] > 0), "left")
-    return rows.select(rows["key"].alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    columns = ["key", "size", "source_size", "target"]
+    total = F.sum(F.col("n_words") * F.col("times")).cast("long").alias("taken")
+    found = taken(rows, plan, block_words).groupBy(*columns, "sid", "start").agg(total).select(*columns, "taken")
+    empty = rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
+    return found.unionByName(empty).withColumnRenamed("key", key)
 
 
 def mix_documents(
@@ -164,12 +166,15 @@ def mix_documents(
     sized = materialise(sized.dropDuplicates(["key", "source", "mark"]), "mix-sizes")
     plan = Plan(sized, weights, block_words, limit)
     used = taken(offsets(sized, plan, ["key", "mark"]), plan, block_words).where("times > 0")
-    used = used.groupBy("key", "sid", "mark").agg(
-        F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("used"), F.first("source").alias("source_"))
-    once = docs.withColumn("_mark", mark).dropDuplicates([key, source, "_mark"])
-    rows = once.join(used, once[key].eqNullSafe(used["key"]) & (once["_mark"] == used["mark"]) & once[source].eqNullSafe(used["source_"]))
-    rows = rows.withColumn("_words", F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("used", lambda u: u["times"])).cast("int"))))
-    parts = F.transform(F.filter("used", lambda u: u["times"] >= F.col("_copy")),
-                        lambda u: F.array_join(F.slice(F.col("_words"), (u["from_word"] + 1).cast("int"), u["n_words"].cast("int")), ""))
+    used = used.groupBy(F.col("key").alias("_mix_key"), F.col("mark").alias("_mix_hash"), F.col("source").alias("_mix_source")).agg(
+        F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("_mix_used"))
+    once = docs.withColumn("_mix_mark", mark).dropDuplicates([key, source, "_mix_mark"])
+    rows = once.join(used, once[key].eqNullSafe(used["_mix_key"]) & (once["_mix_mark"] == used["_mix_hash"])
+                     & once[source].eqNullSafe(used["_mix_source"]))
+    rows = rows.withColumn("_mix_words", F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
+    most = F.array_max(F.transform("_mix_used", lambda u: u["times"])).cast("int")
+    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), most)))
+    parts = F.transform(
+        F.filter("_mix_used", lambda u: u["times"] >= F.col("_mix_copy")),
+        lambda u: F.array_join(F.slice(F.col("_mix_words"), (u["from_word"] + 1).cast("int"), u["n_words"].cast("int")), ""))
     return rows.withColumn(text, F.array_join(parts, "")).select(*docs.columns)

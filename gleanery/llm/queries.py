@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, media, mixing, placement, syncmers, urls
+from gleanery.llm import bpe, language, media, mixing, placement, quality, syncmers, urls
 from gleanery.session import prepare
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -29,6 +30,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"), 4, 2)
+    found = language.identify(docs, language.learn(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_audio(table(spark, sf_dir, "documents"))
 
@@ -80,8 +88,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"), 5, 0)
+    model = quality.learn(docs.select("doc_id", "text").where(~held), table(spark, sf_dir, "labels").where(~held))
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe]
+    found = [op1_fingerprints, op2_language, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality]
     return {f.__name__: f for f in found}
 
 
