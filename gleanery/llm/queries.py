@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, language, media, mixing, placement, quality, syncmers, urls
+from gleanery.llm import bpe, language, media, mixing, placement, quality, simhash, syncmers, urls
 from gleanery.session import prepare
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_audio(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_language, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality]
+    found = [op1_fingerprints, op2_language, op3_simhash, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality]
     return {f.__name__: f for f in found}
 
 
