@@ -11,11 +11,12 @@ Null is taken as the empty text, which gives no tokens. Long texts are encoded w
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -24,7 +25,11 @@ from pyspark.sql import DataFrame
 from gleanery.llm.columns import slices
 
 #: Pieces remembered by each Python worker.
-CACHE_PIECES = 60_000
+CACHE_PIECES = 100_000
+#: Texts of these characters alone need no normaliser but lower(), and this pattern cuts them as the file's does.
+PLAIN = re.compile(r"[\t-\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
+FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_PIECE = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -34,6 +39,21 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Pieces with their ids as text and their decoded form, made when first asked for; the first CACHE_PIECES stay."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        ids = self.bpe.merge(piece.encode())
+        made = (" ".join(map(str, ids)), " ".join([self.bpe.strings[i] for i in ids]))
+        if len(self) < CACHE_PIECES and len(piece) <= 64:
+            self[piece] = made
+        return made
+
+
 class WordBpe:
     """The tokenizer of one vocabulary file, for pieces with a word-end mark."""
 
@@ -44,64 +64,74 @@ class WordBpe:
         self.end: str = model["end_of_word_suffix"] or ""
         self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.specials.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # by left id * 2**32 + right id
+        self.made: list[int] = []  # by rank
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.ranks[self.vocab[a] << 32 | self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.last = [self.vocab.get(c + self.end) for c in alphabet]
         steps = data["pre_tokenizer"]["pretokenizers"]
         self.piece = regex.compile(steps[0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.cache: dict[str, tuple[list[int], str, str]] = {}
+        self.known = Remembered(self)
+        self.plain = steps[0]["pattern"]["Regex"] == FILE_PATTERN
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one piece."""
-        ids = [i for i in (*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]) if i is not None]
-        n = len(ids)
-        before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        queue = [(*self.merges[pair], i) for i in range(n - 1) if (pair := (ids[i], ids[i + 1])) in self.merges]
-        queue = [(rank, i, new, ids[i], ids[i + 1]) for rank, new, i in queue]
-        heapq.heapify(queue)
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        n, rank_of, queue = len(ids), self.ranks.get, []
+        for i in range(n - 1):
+            if (rank := rank_of(ids[i] << 32 | ids[i + 1])) is not None:
+                queue.append(rank << 32 | i)
+        heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, new, left, right = heapq.heappop(queue)
-            j = after[i]
-            if not alive[i] or j < 0 or ids[i] != left or ids[j] != right:
-                continue  # stale: a neighbour has been merged since
-            ids[i], alive[j], after[i] = new, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (found := self.merges.get((ids[a], ids[b]))):
-                    heapq.heappush(queue, (found[0], a, found[1], ids[a], ids[b]))
-        return [x for x, keep in zip(ids, alive, strict=True) if keep]
-
-    def known(self, piece: str) -> tuple[list[int], str, str]:
-        """Ids of a piece, the same as text, and its decoded form."""
-        found = self.cache.get(piece)
-        if found is None:
-            ids = self.merge(piece.encode())
-            found = (ids, " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids))
-            if len(self.cache) < CACHE_PIECES and len(piece) <= 64:
-                self.cache[piece] = found
-        return found
+            entry = heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n or rank_of(left << 32 | ids[j]) != rank:
+                continue  # stale: one of the two has been merged since
+            ids[i], ids[j] = new, _ = self.made[rank], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (rank := rank_of(new << 32 | ids[k])) is not None:
+                    heappush(queue, rank << 32 | i)
+            if (h := before[i]) >= 0 and (rank := rank_of(ids[h] << 32 | new)) is not None:
+                heappush(queue, rank << 32 | h)
+        return [i for i in ids if i >= 0]
 
     def normal(self, text: str) -> str:
         text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # no rule for a final sigma
 
-    def pieces(self, text: str) -> Iterator[tuple[list[int], str, str]]:
-        """What known() gives for each piece and special token of a text."""
-        at = 0
-        for m in self.special.finditer(text) if self.special and "<" in text else ():
-            yield from map(self.known, self.piece.findall(self.normal(text[at : m.start()])))
-            i = self.specials[m[0]]
-            yield [i], str(i), m[0]
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text without special tokens."""
+        if self.plain and PLAIN.fullmatch(text):
+            return PLAIN_PIECE.findall(text.lower())
+        return self.piece.findall(self.normal(text))
+
+    def coded(self, text: str | None) -> tuple[str, str]:
+        """The ids of a text, joined by blanks, and its decoded form."""
+        text = text or ""
+        found, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            found += map(self.known.__getitem__, self.cut(text[at : m.start()]))
+            found.append((str(self.specials[m[0]]), m[0]))
             at = m.end()
-        yield from map(self.known, self.piece.findall(self.normal(text[at:] if at else text)))
+        found += map(self.known.__getitem__, self.cut(text[at:]))
+        ids, forms = [x[0] for x in found], [x[1] for x in found]
+        if "" in ids:  # pieces without a token, where a vocabulary lacks some byte
+            ids, forms = [i for i in ids if i], [f for f in forms if f]
+        return " ".join(ids), " ".join(forms)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.pieces(text or "") for i in ids]
+        return [int(i) for i in self.coded(text)[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
@@ -153,10 +183,8 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def digests(bpe: WordBpe, value: str | None) -> tuple[int, str, str]:
-        found = list(bpe.pieces(value or ""))
-        count = sum(map(len, [x[0] for x in found]))
-        ids = " ".join([x[1] for x in found if x[0]])
-        decoded = " ".join([x[2] for x in found if x[0]])
+        ids, decoded = bpe.coded(value)
+        count = ids.count(" ") + 1 if ids else 0
         return count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
