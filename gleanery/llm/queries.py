@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, language, media, mixing, placement, quality, simhash, syncmers, urls
+from gleanery.llm import bpe, language, media, mixing, placement, quality, simhash, substrings, syncmers, urls
 from gleanery.session import prepare
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -41,6 +41,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, s + k AS p FROM later, range(0, 20) AS r(k)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_audio(table(spark, sf_dir, "documents"))
 
@@ -100,9 +121,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_language, op3_simhash, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality]
+    found = [op1_fingerprints, op2_language, op3_simhash, op4_substrings, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL, "op8_sharding": op8_sql()}
+    return {"op4_substrings": OP4_SQL, "op6_url_filters": OP6_SQL, "op8_sharding": op8_sql()}
