@@ -162,6 +162,24 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, ids array<int>")
 
 
+def encode_beside(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with the text replaced by its ids (array of int) and their number, n_tokens."""
+    spec = load(docs.sparkSession, path)
+    at = docs.columns.index(text)
+    others = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(spec.value)
+        for part in slices(batches, at):
+            ids = [bpe.encode(t) for t in part.column(at).to_pylist()]
+            columns = [c for i, c in enumerate(part.columns) if i != at]
+            counts = pa.array(map(len, ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), counts], [*others, "ids", "n_tokens"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    return docs.mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long")
+
+
 def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and the decoded text of every row; unknown ids are passed over, null gives the empty text."""
     spec = load(coded.sparkSession, path)
