@@ -192,3 +192,69 @@ def events_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.streaming.refresh import windowed_events
 
     return windowed_events(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# Notes, files and vectors --------------------------------------------------------------------------
+
+NOTES = [
+    ("a/one.md", "---\ndocuments: papers/deep.pdf\n---\n# One\nsee ![[pic.png]] and [[two#part|x]] `[[no]]`\n"),
+    ("b/two.md", "# [[one]]\n![alt](img/pic.png) [t](../a/one.md) [web](https://x.y)\n"),
+    ("c/three.md", "plain\n```\n[[fence]]\n```\nADR-0012 and [[Nowhere]]\n"),
+]
+ASSETS = [("a/pic.png",), ("b/img/pic.png",), ("papers/deep.pdf",)]
+
+
+@query(expected([("a/one.md", "two", False), ("b/two.md", "one", True), ("b/two.md", "../a/one.md", False), ("c/three.md", "ADR-0012", False), ("c/three.md", "Nowhere", False)], "src, target, scaffold"))
+def links_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = literal(spark, NOTES, "path string, text string")
+    rows = generate(notes, ["path"], ["text"], lambda t: markdown.link_rows(t), [("kind", "string"), ("target", "string"), ("scaffold", "boolean")])
+    return rows.where("kind = 'link'").select(F.col("path").alias("src"), "target", "scaffold")
+
+
+@query(expected([("a/one.md", "pic.png", "embed", "a/pic.png"), ("a/one.md", "papers/deep.pdf", "documents", "papers/deep.pdf"), ("b/two.md", "img/pic.png", "embed", "b/img/pic.png")], "src, target, kind, asset"))
+def assets_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.operators import assets
+
+    return assets.resolve(assets.references(literal(spark, NOTES, "path string, text string")), literal(spark, ASSETS, "path string"))
+
+
+@query(expected([("a/one.md", 1, "One", 4), ("b/two.md", 1, "[[one]]", 1)], "path, level, title, line"))
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = literal(spark, NOTES, "path string, text string")
+    fields = [("level", "int"), ("title", "string"), ("line", "int"), ("end_line", "int")]
+    return generate(notes, ["path"], ["text"], lambda t: markdown.headings(t), fields).drop("end_line")
+
+
+@query("""WITH e AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, CAST(turn AS INT) AS turn, 256 AS size FROM e WHERE len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) >= 3""")
+def sections_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of three words or more, embedded by hashing."""
+    from gleanery.operators import embedding
+
+    turns = table(spark, sf_dir, "conversations")
+    words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
+    sections = turns.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("off"), F.lit(0.0).alias("mtime"), F.col("role").alias("title"), "text", words.alias("dl"))
+    found = embedding.embed_sections(sections, embedding.hashed)
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.col("off").alias("turn"), F.size("v").alias("size"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS src, o_orderkey AS dst FROM orders), d AS (SELECT dst, count(*) AS n FROM e GROUP BY dst),
+s AS (SELECT DISTINCT src FROM e WHERE src % 20 = 0)
+SELECT e.dst AS node, round(sum(1.0 / 61 / (1 + log2(1 + n))), 6) AS score FROM e JOIN s USING (src) JOIN d ON d.dst = e.dst GROUP BY e.dst""")
+def graph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step from every twentieth customer to its orders."""
+    from gleanery.operators import assets
+
+    orders = table(spark, sf_dir, "orders")
+    edges = orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("order").alias("kind"))
+    seeds = orders.where("o_custkey % 20 = 0").select("o_custkey").distinct().select(F.lit(0).alias("qid"), F.concat(F.lit("c"), "o_custkey").alias("node"), F.lit(1).alias("rank"))
+    edges = edges.select(F.concat(F.lit("c"), "src").alias("src"), F.col("dst").cast("string").alias("dst"), "kind")
+    found = assets.expand(seeds, edges, {"order": 1.0}, hops=1, fan=1 << 30)
+    return found.where("NOT startswith(node, 'c')").select(F.col("node").cast("long").alias("node"), F.round("score", 6).alias("score"))
+
+
+@query()
+def vault_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.operators import files
+    from gleanery.plans.catalog import live_and_stamps
+
+    return files.epoch(live_and_stamps(spark, sf_dir)[0])

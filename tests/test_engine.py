@@ -73,7 +73,7 @@ def test_refresh_rebuilds_only_what_changed(spark, tmp_path):
 
 
 def test_vectors_of_changed_documents_drop_out(spark, tmp_path):
-    vectors = spark.createDataFrame([("papers/lsm.md", 58, 1.0, [1.0, 0.0]), ("papers/btree.md", 0, 0.0, [0.0, 1.0])], "path string, off int, mtime double, v array<double>")
+    vectors = spark.createDataFrame([("papers/lsm.md", LSM.index("# 2"), 1.0, [1.0, 0.0]), ("papers/btree.md", 0, 0.0, [0.0, 1.0])], "path string, off int, mtime double, v array<double>")
     e = Engine(spark, notes_of(spark, NOTES), f"file://{tmp_path}/ix", vectors=vectors, embed=lambda q: [1.0, 0.1])
     hits = e.search("automobile")["hits"]
     assert [(h["path"], h["score"], h["coverage"]) for h in hits] == [("papers/lsm.md", 0.0, 0.0)] and hits[0]["dense"] > 0.9
