@@ -57,18 +57,24 @@ def query_terms(queries: DataFrame, qid: str, tokens: Column) -> DataFrame:
 
 
 def weigh(ix: Index, terms: DataFrame) -> DataFrame:
-    """qid, term, df, idf: df 0 for terms that the corpus lacks, which then weigh most."""
-    known = small(terms.select("term").distinct())
-    found = ix.frequencies.join(known, "term", "left_semi")
+    """qid, term, df, idf: df 0 for terms that the corpus lacks, which then weigh most.
+
+    There is a row for each row of terms, so their number alone, checked without a pass over the corpus, says whether the
+    result is handed to every executor; the hint stays with it through filters and projections.
+    """
+    few = terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS
+    known = terms.select("term").distinct()
+    found = ix.frequencies.join(F.broadcast(known) if few else known, "term", "left_semi")
     rows = terms.join(found, "term", "left").crossJoin(F.broadcast(ix.stats))  # one row
     df = F.coalesce("df", F.lit(0))
-    return rows.select("qid", "term", df.alias("df"), idf_of(F.col("n"), df).alias("idf"))
+    rows = rows.select("qid", "term", df.alias("df"), idf_of(F.col("n"), df).alias("idf"))
+    return F.broadcast(rows) if few else rows
 
 
 def score(ix: Index, weights: DataFrame) -> DataFrame:
     """qid, key, score, matched (sorted terms), mass: BM25 of every document that holds a query term."""
     known = weights.where("df > 0")
-    rows = ix.postings.join(small(known), "term").crossJoin(F.broadcast(ix.stats.select("avgdl")))
+    rows = ix.postings.join(known, "term").crossJoin(F.broadcast(ix.stats.select("avgdl")))
     part = bm25_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
     return rows.groupBy("qid", ix.key).agg(
         F.sum(part).alias("score"), F.array_sort(F.collect_set("term")).alias("matched"), F.sum("idf").alias("mass"))
@@ -107,17 +113,20 @@ def pool_size(k: int) -> int:
     return max(3 * k, 10)
 
 
-def score_sections(section_terms: DataFrame, pool: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+def score_sections(section_terms: DataFrame, pool: DataFrame, weights: DataFrame, keys: list[str], broadcast_pool: bool = True) -> DataFrame:
     """qid, keys, score, matched, mass of the sections (keys, dl, term, tf) in each query's pool (qid and the first key).
 
-    The weight of a term is the corpus's, the average length that of the sections in the query's pool.
+    The weight of a term is the corpus's, the average length that of the sections in the query's pool. A pool has a few
+    rows for each query; for more queries than MAX_QUERY_TERMS pass broadcast_pool=False.
     """
+    wanted = pool.select("qid", keys[0])
+    wanted = F.broadcast(wanted) if broadcast_pool else wanted
     owner = keys[0]
     lengths = section_terms.select(*keys, "dl").distinct()
-    pooled = lengths.join(small(pool.select("qid", owner)), owner)
+    pooled = lengths.join(wanted, owner)
     mean = pooled.groupBy("qid").agg(F.avg("dl").alias("pool_avgdl"))
     known = weights.where("df > 0")
-    rows = section_terms.join(small(known), "term").join(small(pool.select("qid", owner)), ["qid", owner]).join(mean, "qid")
+    rows = section_terms.join(known, "term").join(wanted, ["qid", owner]).join(mean, "qid")
     average = F.when(F.col("pool_avgdl") > 0, F.col("pool_avgdl")).otherwise(1.0)
     part = bm25_of(F.col("tf"), F.col("dl"), average, F.col("idf"))
     return rows.groupBy("qid", *keys).agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("term")).alias("matched"), F.sum("idf").alias("mass"))
