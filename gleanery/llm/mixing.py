@@ -132,7 +132,8 @@ def spans(rows: DataFrame, block_words: int) -> DataFrame:
 
 def taken(rows: DataFrame, plan: Plan, block_words: int) -> DataFrame:
     """The spans of rows with how often the mix takes them (0 if never)."""
-    times = slots(plan).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Slots come from a table of one row, so the optimizer takes them for few: it must not broadcast them.
+    times = slots(plan).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     return spans(rows, block_words).join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
