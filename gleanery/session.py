@@ -12,8 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even where the driver found it by sys.path alone."""
+    """Let Python workers import this package even where the driver found it by sys.path alone, and keep their batches small.
+
+    Rows here are whole texts: Spark's default of 10,000 rows a batch would hold tens of megabytes several times over.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "2000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
