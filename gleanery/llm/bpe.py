@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -40,15 +41,15 @@ def byte_alphabet() -> list[str]:
 
 
 class Remembered(dict):
-    """Pieces with their ids as text and their decoded form, made when first asked for; the first CACHE_PIECES stay."""
+    """Pieces with their ids as text, their decoded form and their ids, made when first asked for; the first CACHE_PIECES stay."""
 
     def __init__(self, bpe: WordBpe) -> None:
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[str, str]:
+    def __missing__(self, piece: str) -> tuple[str, str, list[int]]:
         ids = self.bpe.merge(piece.encode())
-        made = (" ".join(map(str, ids)), " ".join([self.bpe.strings[i] for i in ids]))
+        made = (" ".join(map(str, ids)), " ".join([self.bpe.strings[i] for i in ids]), ids)
         if len(self) < CACHE_PIECES and len(piece) <= 64:
             self[piece] = made
         return made
@@ -116,22 +117,26 @@ class WordBpe:
             return PLAIN_PIECE.findall(text.lower())
         return self.piece.findall(self.normal(text))
 
-    def coded(self, text: str | None) -> tuple[str, str]:
-        """The ids of a text, joined by blanks, and its decoded form."""
-        text = text or ""
+    def pieces(self, text: str) -> list[tuple[str, str, list[int]]]:
+        """What is remembered of each piece and special token of a text."""
         found, at = [], 0
         for m in self.special.finditer(text) if self.special else ():
             found += map(self.known.__getitem__, self.cut(text[at : m.start()]))
-            found.append((str(self.specials[m[0]]), m[0]))
+            found.append((str(self.specials[m[0]]), m[0], [self.specials[m[0]]]))
             at = m.end()
         found += map(self.known.__getitem__, self.cut(text[at:]))
+        return found
+
+    def coded(self, text: str | None) -> tuple[str, str]:
+        """The ids of a text, joined by blanks, and its decoded form."""
+        found = self.pieces(text or "")
         ids, forms = [x[0] for x in found], [x[1] for x in found]
         if "" in ids:  # pieces without a token, where a vocabulary lacks some byte
             ids, forms = [i for i in ids if i], [f for f in forms if f]
         return " ".join(ids), " ".join(forms)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.coded(text)[0].split()]
+        return list(chain.from_iterable([x[2] for x in self.pieces(text or "")]))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.strings[i] for i in ids if i in self.strings)
