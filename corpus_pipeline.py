@@ -18,31 +18,37 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def prepared(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents, in a session made ready for the operators."""
+    prepare(spark)
+    return docs.select(*COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, with lang set to it; null texts, texts without letters and unclear ones go."""
-    docs = docs.select(*COLUMNS)
+    docs = prepared(spark, docs)
     return language.keep_identified(docs, language.learn(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents alike by five-word shingles (similarity 0.8 or more) only that of the least doc_id stays."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    return simhash.keep_one(prepared(spark, docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages of 20 words or more that stand earlier in the corpus are cut out of the texts."""
-    return substrings.without_repeats(docs.select(*COLUMNS))
+    return substrings.without_repeats(prepared(spark, docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources by target weight: a row for each copy of a document that gives words to it."""
-    mixed = mixing.mix_documents(docs.select(*COLUMNS))
+    mixed = mixing.mix_documents(prepared(spark, docs))
     return mixed.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with doc_id and source."""
-    return bpe.encode_beside(docs.select("doc_id", "source", "text"), TOKENIZER)
+    return bpe.encode_beside(prepared(spark, docs).select("doc_id", "source", "text"), TOKENIZER)
 
 
 STAGES = [

@@ -16,6 +16,7 @@ a component's id is its least non-null key. Repeated rows and equal texts share
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,12 +166,12 @@ def links_within(entities: DataFrame, radius: int, most: int | None = None, larg
     rows = entities.select(*keep, F.explode(tables).alias("t"))
     rows = rows.select(F.xxhash64("t.mask", F.col("code").bitwiseAND(F.col("t.bits"))).alias("bucket"), "t.mask", *keep)
     found = materialise(compare(rows, radius, most, large), "near")
-    # The rows of large buckets, by the bits that their first key left out.
-    second = F.array(*(F.array(*(F.lit(s).cast("long") for s in masks(radius, ~m & (2**BITS - 1)))) for m in first))
-    again = found.where("kind = 1").select("bucket", "mask", "code", F.col("a").alias("node"), "seal", F.posexplode(F.get(second, F.col("mask"))).alias("n", "bits"))
-    again = again.select(F.xxhash64("bucket", "n", F.col("code").bitwiseAND(F.col("bits"))).alias("bucket"), "mask", *keep)
     links = found.where("kind = 0").select("a", "b")
-    if found.where("kind = 1").limit(1).count():
+    large_rows = found.where("kind = 1")
+    if large_rows.limit(1).count():  # by the bits that their first key left out
+        second = F.from_json(F.lit(json.dumps([masks(radius, ~m & (2**BITS - 1)) for m in first])), "array<array<bigint>>")
+        again = large_rows.select("bucket", "mask", "code", F.col("a").alias("node"), "seal", F.posexplode(F.get(second, F.col("mask"))).alias("n", "bits"))
+        again = again.select(F.xxhash64("bucket", "n", F.col("code").bitwiseAND(F.col("bits"))).alias("bucket"), "mask", *keep)
         links = links.unionByName(compare(again, radius, most, None).select("a", "b"))
     return links
 
@@ -194,8 +195,12 @@ def with_codes(docs: DataFrame, key: str, text: str, size: int, sealed: bool) ->
 
 
 def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits that shingle sets of this Jaccard similarity have on average: the angle between them, as a share."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+    """Differing bits that shingle sets of this Jaccard similarity have at most, but for one pair in six.
+
+    The angle between them gives the share of differing bits; one standard deviation is added to its mean.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
 
 
 def components(
@@ -205,7 +210,7 @@ def components(
 
     Without similarity, rows link whose fingerprints of word shingles differ in at most radius bits. With it, the tables
     are over fingerprints of the distinct words, and rows within the radius link if 256 further bits of the shingles
-    differ in no more than texts of that Jaccard similarity do on average.
+    differ in no more than texts of that Jaccard similarity mostly do.
     """
     sealed = similarity is not None
     coded = materialise(with_codes(docs, key, text, size, sealed), "codes")
@@ -225,7 +230,7 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
     return components(docs, key, text, size, radius).select(key, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
     """The rows of docs but for all of a group of near-duplicates save that of the least key; rows of null keys stay."""
     found = components(docs, key, text, size, radius, similarity)
     copies = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_copy")).distinct()
