@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm import nearcopies
 from gleanery.llm.columns import slices
 from gleanery.llm.components import roots
 from gleanery.session import materialise
@@ -60,15 +61,6 @@ def fingerprint(features: list[bytes]) -> int:
     return int.from_bytes(majority(hashes.view(np.uint8).reshape(-1, 8)), "little", signed=True)
 
 
-def witness(features: list[bytes]) -> bytes:
-    """256 further bits of the same kind, to judge a pair more closely."""
-    if not features:
-        return bytes(32)
-    digest = xxhash.xxh3_128_digest
-    hashes = np.frombuffer(b"".join([digest(f, 1) + digest(f, 2) for f in features]), np.uint8)
-    return majority(hashes.reshape(-1, 32))
-
-
 def masks(radius: int, within: int = 2**BITS - 1) -> list[int]:
     """A mask over the bits of within for each table, as signed numbers."""
     positions = [i for i in range(BITS) if within >> i & 1]
@@ -176,49 +168,24 @@ def links_within(entities: DataFrame, radius: int, most: int | None = None, larg
     return links
 
 
-def with_codes(docs: DataFrame, key: str, text: str, size: int, sealed: bool) -> DataFrame:
-    """key, code (signed) and seal of every row. Sealed: the code is of the distinct words, the seal of the shingles."""
+def with_codes(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """key and code (signed) of every row."""
     source = docs.select(docs[key].alias("key"), docs[text])
-    schema = f"key {source.schema['key'].dataType.simpleString()}, code long, seal binary"
+    schema = f"key {source.schema['key'].dataType.simpleString()}, code long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
-            values = part.column(1).to_pylist()
-            if sealed:
-                codes = [fingerprint(list(dict.fromkeys((t or "").encode().lower().split()))) for t in values]
-                seals = [witness(shingles(t, size)) for t in values]
-            else:
-                codes, seals = [fingerprint(shingles(t, size)) for t in values], [None] * len(values)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.int64()), pa.array(seals, pa.binary())], ["key", "code", "seal"])
+            codes = [fingerprint(shingles(t, size)) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.int64())], ["key", "code"])
 
     return source.mapInArrow(run, schema)
 
 
-def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits that shingle sets of this Jaccard similarity have at most, but for one pair in six.
-
-    The angle between them gives the share of differing bits; one standard deviation is added to its mean.
-    """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
-
-
-def components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, similarity: float | None = None,
-) -> DataFrame:
-    """key, code and component_id of every row.
-
-    Without similarity, rows link whose fingerprints of word shingles differ in at most radius bits. With it, the tables
-    are over fingerprints of the distinct words, and rows within the radius link if 256 further bits of the shingles
-    differ in no more than texts of that Jaccard similarity mostly do.
-    """
-    sealed = similarity is not None
-    coded = materialise(with_codes(docs, key, text, size, sealed), "codes")
-    node = F.xxhash64("code", "seal") if sealed else F.col("code")
-    coded = coded.withColumn("node", node)
-    entities = coded.groupBy("node", "code", "seal").agg(F.min("key").alias("least"))
-    most = bits_for(similarity, 256) if sealed else None
-    hung = roots(links_within(entities.select("node", "code", "seal"), radius, most))
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
+    """key, code and component_id of every row: rows link whose fingerprints of word shingles differ in at most radius bits."""
+    coded = materialise(with_codes(docs, key, text, size), "codes").withColumn("node", F.col("code"))
+    entities = coded.groupBy("node", "code").agg(F.min("key").alias("least"))
+    hung = roots(links_within(entities.select("node", "code", F.lit(None).cast("binary").alias("seal")), radius))
     placed = entities.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.select("node", "root").join(named, "root").select("node", "component_id")
@@ -230,8 +197,14 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
     return components(docs, key, text, size, radius).select(key, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs but for all of a group of near-duplicates save that of the least key; rows of null keys stay."""
-    found = components(docs, key, text, size, radius, similarity)
-    copies = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_copy")).distinct()
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs but for all of a group of near copies (Jaccard similarity of the shingles) save that of the least key.
+
+    Rows of null keys stay.
+    """
+    coded = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("node"))
+    hung = nearcopies.groups(docs.select(F.xxhash64(docs[text]).alias("node"), docs[text].alias("text")), size, similarity)
+    placed = coded.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min("key").alias("least"))
+    copies = placed.join(least, "root").where("key <> least").select(F.col("key").alias("_copy")).distinct()
     return docs.join(copies, docs[key] == copies["_copy"], "left_anti")
