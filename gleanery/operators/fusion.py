@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
-#: Query vectors are handed to every executor up to this number of rows.
+#: Query vectors are handed to every executor up to this number of rows; more are joined partition by partition.
 MAX_QUERIES = 10_000
 
 
@@ -25,9 +25,8 @@ def unit(v: Column) -> Column:
 def cosine(vectors: DataFrame, queries: DataFrame, section: str, owner: str, vector: str) -> DataFrame:
     """qid, owner, section, cosine of every section for every stated query (qid, query_vector): a set of queries against all rows."""
     stated = queries.select("qid", F.col("query_vector"))
-    if stated.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError("more query vectors than MAX_QUERIES: run them in blocks")
-    rows = vectors.crossJoin(F.broadcast(stated))
+    few = stated.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    rows = vectors.crossJoin(F.broadcast(stated) if few else stated)
     return rows.select("qid", owner, section, dot(F.col(vector), F.col("query_vector")).alias("cosine"))
 
 
