@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -30,12 +31,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made here if unset and all run in one process (tests)."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gleanery-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -49,7 +52,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Remove the files of a table that materialise() wrote, once nothing reads it any more."""
+    remove_shared(stored.sparkSession, stored.stored_at)
 
 
 def write_shared_bytes(spark: SparkSession, label: str, content: bytes) -> str:
