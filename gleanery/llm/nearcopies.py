@@ -1,12 +1,23 @@
-"""Pairs of texts whose sets of word shingles have a Jaccard similarity of at least a bound: min-hash bands propose, exact sets decide.
-
-A text's set holds a 64-bit hash of each distinct shingle. For each of BANDS * ROWS orders its least hash is taken; two
-texts of similarity s agree in one order with chance s, wherever in the text they differ. Texts that agree in all ROWS
-orders of a band meet in a bucket: a pair of similarity 0.8 misses every bucket with chance (1 - 0.8^4)^32 = 5e-8.
-
-A pair links by the exact similarity of its two sets alone. First each text of a bucket is held against a few centres of
-it, which joins large families by few pairs; then every pair that shares a bucket and isn't in one component yet is
-held against each other. So the components are those of all pairs that meet, without all pairs of a family.
+"""Near copies by exact similarity: SimHash tables and min-hash bands propose pairs, the sets of word shingles decide.
+
+A text's set holds a 64-bit hash of each distinct shingle (words lower-cased in A-Z); the similarity of two texts is the
+Jaccard similarity of their sets. Pairs come from two sources. The covering tables over SimHash fingerprints give every
+pair within RADIUS bits, which joins close families. At a similarity of 0.8 two fingerprints differ in 10 of 64 bits on
+average, far beyond any radius with a bearable number of tables, so min-hash bands propose the rest: a text's least hash
+is taken in BANDS * ROWS orders, and texts that agree in all ROWS orders of a band meet in a bucket. A pair of similarity
+s meets nowhere with chance (1 - s^ROWS)^BANDS, 5e-6 at 0.8, wherever in the text it differs.
+
+Texts that meet are compared by their sketches, a byte of each least hash; the share of equal bytes estimates the
+similarity with a deviation of 0.026 at 0.8. A pair is passed over only MARGIN = 4.5 deviations below the bound (3e-6).
+First each bucket gives a spanning forest of its most similar pairs; these pairs and those of the SimHash tables are
+confirmed by their sets, and their components found. Then all pairs of a bucket that lie in different components and
+whose estimate allows it are confirmed too. So every pair that meets and reaches the bound lies in one component, while
+a family that hangs together costs one pair a text. A family whose members mostly stay below the bound costs as many
+pairs as its members have with estimates near the bound.
+
+A bucket of over LARGE texts is dealt by hash into parts of about LARGE, each its own task, for the forests; for the
+remaining pairs blocks of the texts outside the bucket's largest component meet each part. Nothing holds a whole bucket.
+Texts are told apart by a 64-bit hash (node).
 """
 
 from __future__ import annotations
@@ -15,19 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.columns import slices
 from gleanery.llm.components import roots
+from gleanery.llm.substrings import word_hashes
 from gleanery.session import materialise
 
-BANDS, ROWS = 32, 4
-#: Centres that each bucket's texts are held against first.
-CENTRES = 3
+BANDS, ROWS = 40, 6
+RADIUS = 4
+MARGIN = 4.5
+#: Texts of a bucket that are compared in one task.
+LARGE = 1_024
 #: Hashes that are put into all orders at once.
-CHUNK = 512
+CHUNK = 256
 _ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, BANDS * ROWS + 64, np.uint64) | np.uint64(1)
 ORDERS, PLACES = _ODD[: BANDS * ROWS], _ODD[BANDS * ROWS :]
 
@@ -38,80 +51,195 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, size: int, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; a shorter text has one, its whole sequence. known remembers words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w, 42)
-    codes = np.array([known[w] for w in words], np.uint64)
-    width = min(size, len(words))
-    n = len(words) - width + 1
-    total = np.full(n, width, np.uint64)
-    for i in range(width):
-        total += codes[i : i + n] * PLACES[i]
-    return np.unique(mixed(total))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The bucket of each band, as signed numbers."""
+def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles; a shorter text has one, its whole sequence, a wordless one none."""
+    raws = [(t or "").encode().lower() for t in texts]
+    codes, at = word_hashes(b"\n".join(raws))
+    first = np.searchsorted(at, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    whole = np.full(max(0, len(codes) - size + 1), size, np.uint64)
+    for i in range(size):
+        whole += codes[i : i + len(whole)] * PLACES[i]
+    whole = mixed(whole)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= size:
+            yield np.unique(whole[a : b - size + 1])
+        elif b > a:
+            yield mixed(np.array([b - a], np.uint64) + (codes[a:b] * PLACES[: b - a]).sum(dtype=np.uint64))
+        else:
+            yield np.empty(0, np.uint64)
+
+
+def signs(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The bucket of each band, as signed numbers, and the sketch of a set."""
     least = np.full(len(ORDERS), 2**64 - 1, np.uint64)
     for i in range(0, len(hashes), CHUNK):
         np.minimum(least, (hashes[i : i + CHUNK, None] * ORDERS).min(axis=0), out=least)
-    keys = (mixed(least).reshape(BANDS, ROWS) * PLACES[:ROWS]).sum(axis=1, dtype=np.uint64)
-    return mixed(keys + np.arange(BANDS, dtype=np.uint64) * PLACES[ROWS]).view(np.int64)
+    spread = mixed(least)
+    keys = (spread.reshape(BANDS, ROWS) * PLACES[:ROWS]).sum(axis=1, dtype=np.uint64)
+    keys = mixed(keys + np.arange(BANDS, dtype=np.uint64) * PLACES[ROWS]).view(np.int64)
+    return keys, (spread >> np.uint64(56)).astype(np.uint8).tobytes()
+
 
+def least_share(similarity: float) -> float:
+    """The share of equal sketch bytes below which a pair is passed over."""
+    n = BANDS * ROWS
+    low = similarity - MARGIN * (similarity * (1 - similarity) / n) ** 0.5
+    return low + (1 - low) / 256
 
-def _lists(texts: DataFrame, size: int, of) -> DataFrame:
-    """node and the list that a function makes of each text's set."""
+
+def texts_signed(texts: DataFrame, size: int) -> DataFrame:
+    """node, code (SimHash of the set), buckets and sketch of the texts (node, text); of equal texts in one task, one."""
+    from gleanery.llm.simhash import majority
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches, 1, 1 << 20):
-            known: dict[bytes, int] = {}
-            found = [of(shingle_set(t, size, known)) for t in part.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "list"])
+            nodes = part.column(0).to_pylist()
+            new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
+            values = part.column(1).take(pa.array(new, pa.int64())).to_pylist()
+            codes, keys, sketches = [], [], []
+            for hashes in shingle_sets(values, size):
+                bits = majority(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)) if len(hashes) else bytes(8)
+                codes.append(int.from_bytes(bits, "little", signed=True))
+                buckets, sketch = signs(hashes)
+                keys.append(buckets)
+                sketches.append(sketch)
+            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i in new], pa.int64()), pa.array(codes, pa.int64()), lists, pa.array(sketches, pa.binary())],
+                ["node", "code", "buckets", "sketch"])
+
+    return texts.mapInArrow(run, "node long, code long, buckets array<long>, sketch binary")
+
+
+def sets_of(texts: DataFrame, size: int) -> DataFrame:
+    """node and set (its hashes) of the texts (node, text)."""
 
-    return texts.mapInArrow(run, "node long, list array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1, 1 << 20):
+            found = [h.view(np.int64) for h in shingle_sets(part.column(1).to_pylist(), size)]
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int64()))], ["node", "set"])
+
+    return texts.mapInArrow(run, "node long, set array<long>")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        if held and held[-1].column(0)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+            held = []
+        held.append(batch.slice(int(cuts[-1]) if len(cuts) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sketches_of(part: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
+
+
+def equal_bytes(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.count_nonzero(sketches == one, axis=1)
+
+
+def spanning_forest(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The pairs of a spanning forest of greatest shares of equal bytes, of those with this share at least."""
+    n, low = len(sketches), least * sketches.shape[1]
+    best, source, out, links = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool), []
+    at = 0
+    for _ in range(n - 1):
+        out[at] = False
+        same = equal_bytes(sketches, sketches[at])
+        nearer = same > best
+        best[nearer], source[nearer] = same[nearer], at
+        at = int(np.where(out, best, -2).argmax())
+        if best[at] >= low:
+            links.append((int(source[at]), at))
+    return links
+
+
+def pairs_in(rows: DataFrame, of, columns: str) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that a function finds among the rows of each value of deal."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups_of(batches):
+            if part.num_rows > 1:
+                nodes = part["node"].to_numpy()
+                a, b = of(part)
+                if len(a):
+                    a, b = nodes[a], nodes[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-def meetings(texts: DataFrame, size: int) -> DataFrame:
-    """bucket, node of the buckets in which different nodes of texts (node, text) meet."""
-    rows = _lists(texts, size, bands).select(F.explode("list").alias("bucket"), "node")
-    rows = rows.repartition("bucket").dropDuplicates(["bucket", "node"])
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "node")
+    dealt = rows.select("deal", *columns.split()).repartition("deal").sortWithinPartitions("deal")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, list) have at least this Jaccard similarity; two empty sets have 1."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("list").alias(f"_{x}")) for x in "ab")
+    """The pairs (a, b) whose sets (node, set) have at least this Jaccard similarity; two empty sets have 1."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("n"), (F.size("_a") + F.size("_b")).alias("m"))
     return common.where((F.col("m") == 0) | (F.col("n") / (F.col("m") - F.col("n")) >= similarity)).select("a", "b")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def groups(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """node and root of the components of near copies among texts (node, text), but for the roots themselves."""
-    met = materialise(meetings(texts, size), "met")
-    held = texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(_lists(held, size, lambda s: s.view(np.int64)), "sets")
-    centres = met.groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES))).alias("c"))
-    first = met.join(centres, "bucket").select("node", F.explode("c").alias("c")).where("node <> c")
-    first = materialise(first.select(*_ordered("node", "c")).distinct(), "pairs")
+    from gleanery.llm.simhash import links_within
+
+    low = least_share(similarity)
+    signed = materialise(texts_signed(texts, size), "signs")
+    rows = signed.select(F.explode("buckets").alias("bucket"), "node")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h")
+    met = materialise(rows.join(shared.select("bucket", "n"), "bucket").distinct(), "met")
+    entities = signed.select("node", "code", F.lit(None).cast("binary").alias("seal")).dropDuplicates(["node"])
+    covered = materialise(links_within(entities, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "covered")
+    wanted = met.select("node").union(covered.select("a")).union(covered.select("b")).distinct()
+    sets = materialise(sets_of(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), size), "sets")
+
+    sketched = met.join(signed.select("node", "sketch").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "node")
+    parts = F.ceil(F.col("n") / LARGE)
+    placed = sketched.withColumn("part", F.pmod(F.xxhash64("bucket", "node"), parts)).withColumn("parts", parts)
+    placed = materialise(placed, "met-sketches")
+
+    def forest(part: pa.Table):
+        links = np.array(spanning_forest(sketches_of(part), low), np.int64).reshape(-1, 2)
+        return links[:, 0], links[:, 1]
+
+    first = pairs_in(placed.withColumn("deal", F.xxhash64("bucket", "part")), forest, "node sketch")
+    first = materialise(first.union(covered).distinct(), "first-pairs")
     links = materialise(confirmed(first, sets, similarity), "links")
-    sizes = sets.select("node", F.size("list").alias("size"))
-    placed = met.join(sizes, "node").join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = placed.groupBy("bucket").agg(F.mode("root").alias("most"), F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h")
-    apart = materialise(placed.join(most.select("bucket", "most"), "bucket"), "apart")
-    rest = apart.where("root <> most").select("bucket", F.col("node").alias("_n"), F.col("root").alias("_r"), F.col("size").alias("_s"))
-    alike = F.least("size", "_s") + 1e-6 >= similarity * F.greatest("size", "_s")  # sets of other sizes can't reach it
-    rest = apart.join(rest, "bucket").where((F.col("root") != F.col("_r")) & alike).select(*_ordered("node", "_n")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    return roots(links.unionByName(confirmed(rest, sets, similarity)))
+
+    def apart(part: pa.Table):
+        sketches, root, asks = sketches_of(part), part["root"].to_numpy(), part["asks"].to_numpy()
+        found = []
+        here = np.flatnonzero(asks == 0)
+        for i in np.flatnonzero(asks == 1).tolist():
+            some = here[root[here] != root[i]]
+            near = some[equal_bytes(sketches[some], sketches[i]) >= low * sketches.shape[1]]
+            found.append(np.stack([np.full(len(near), i), near], axis=1))
+        links = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return links[:, 0], links[:, 1]
+
+    rooted = placed.join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted, "rooted")
+    counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    most = counts.groupBy("bucket").agg(
+        F.max_by("root", F.struct("k", "root")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all")).where("k < all")
+    rest = rooted.join(most.select("bucket", "most", F.ceil((F.col("all") - F.col("k")) / LARGE).alias("blocks")), "bucket")
+    block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))
+    there = rest.withColumn("asks", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    ask = rest.where("root <> most").withColumn("asks", F.lit(1)).withColumn("block", block)
+    ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    keep = ["node", "sketch", "root", "asks", F.xxhash64("bucket", "part", "block").alias("deal")]
+    late = pairs_in(there.select(*keep).union(ask.select(*keep)), apart, "node sketch root asks")
+    return roots(links.union(confirmed(late, sets, similarity)))

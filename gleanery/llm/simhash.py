@@ -198,13 +198,18 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs but for all of a group of near copies (Jaccard similarity of the shingles) save that of the least key.
+    """The rows of docs but for all of a group of near copies (Jaccard similarity of the shingles) save one.
 
-    Rows of null keys stay.
+    That of the least key stays, null keys last; rows of one key stand in order of their texts' hashes, then of a hash of
+    their other columns, so a row is judged by its own text whatever other rows share its key. Of rows equal in all
+    columns one stays. All null and wordless texts are copies of each other; an empty table gives an empty result.
     """
-    coded = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("node"))
-    hung = nearcopies.groups(docs.select(F.xxhash64(docs[text]).alias("node"), docs[text].alias("text")), size, similarity)
-    placed = coded.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("key").alias("least"))
-    copies = placed.join(least, "root").where("key <> least").select(F.col("key").alias("_copy")).distinct()
-    return docs.join(copies, docs[key] == copies["_copy"], "left_anti")
+    others = [c for c in docs.columns if c not in (key, text) and "map<" not in docs.schema[c].dataType.simpleString()]
+    node, tie = F.xxhash64(docs[text]), F.xxhash64(*(docs[c] for c in others)) if others else F.lit(0).cast("long")
+    mark = F.xxhash64(docs[key].isNull(), docs[key], node, tie)
+    rows = docs.select(docs[key].isNull().alias("none"), docs[key].alias("key"), node.alias("node"), tie.alias("tie"), mark.alias("mark"))
+    hung = nearcopies.groups(docs.select(node.alias("node"), docs[text].alias("text")), size, similarity)
+    placed = rows.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("none", "key", "node", "tie", "mark")).alias("least")).select(F.col("least.mark").alias("_kept_mark"))
+    marked = docs.withColumn("_kept_mark", mark)
+    return marked.join(kept, "_kept_mark", "left_semi").dropDuplicates(["_kept_mark"]).select(*docs.columns)

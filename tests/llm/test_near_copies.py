@@ -1,6 +1,8 @@
 """Near copies against brute-force Jaccard, by kind of edit."""
 
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -58,4 +60,58 @@ def test_wordless_and_short_texts(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One  TWO"), (6, "two one"), (7, "a b c d e"), (8, "a b c d")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 6, 7, 8]
-    assert nearcopies.shingle_set("a b a b a b a", 2, {}).size == 2
+    sizes = [len(x) for x in nearcopies.shingle_sets(["a b a b a b a", None, "a", "", "a b", "b a b"], 2)]
+    assert sizes == [2, 0, 1, 0, 1, 2]
+
+
+def brute_force(rows, similarity=0.8):
+    """Component of every text by the exact similarity of all pairs that share a shingle."""
+    def shingled(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    texts = sorted({t or "" for _, t in rows})
+    sets, holders, root = [shingled(t) for t in texts], defaultdict(list), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    wordless = -1
+    for i, s in enumerate(sets):
+        common = Counter(j for g in s for j in holders[g])
+        if not s:
+            common, wordless = ({wordless: 0} if wordless >= 0 else {}), i
+        for j, n in common.items():
+            if not s or n / (len(s) + len(sets[j]) - n) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            holders[g].append(i)
+    place = {t: find(i) for i, t in enumerate(texts)}
+    return {i: place[t or ""] for i, t in rows}
+
+
+@pytest.mark.parametrize("large", [1024, 4])
+def test_documents_match_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(nearcopies, "LARGE", large)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    least = {}
+    for i, c in sorted(brute_force(rows).items()):
+        least.setdefault(c, i)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
+    assert kept == sorted(least.values()) and len(kept) < len(rows)
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    w, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    schema = "doc_id long, text string, _kept_mark string, lang map<string,int>"
+    rows = [(1, w, "a", None), (5, w, "a", None), (5, u, "a", None), (5, u, "a", None), (None, u, "b", None), (7, u, "c", None)]
+    kept = sorted((r["doc_id"], r["text"][0]) for r in simhash.keep_one(spark.createDataFrame(rows, schema).select("doc_id", "text", "lang")).collect())
+    assert kept == [(1, "w"), (5, "u")]
+    lone = spark.createDataFrame([(None, w, "a", None), (None, w, "a", None)], schema).drop("_kept_mark")
+    assert simhash.keep_one(lone).count() == 1
+    assert simhash.keep_one(lone.where("false")).columns == ["doc_id", "text", "lang"]
+    assert simhash.keep_one(lone.where("false")).count() == 0
