@@ -14,6 +14,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_WRITTEN: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -47,19 +48,46 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
+    _WRITTEN.append(path)
     return stored
 
 
-def release(stored: DataFrame) -> None:
-    """Remove the files of a table that materialise() wrote, once nothing reads it any more."""
-    remove_shared(stored.sparkSession, stored.stored_at)
+def release(*stored: DataFrame) -> None:
+    """Remove the files of tables that materialise() wrote, once nothing reads them any more."""
+    for table in stored:
+        _WRITTEN.remove(table.stored_at)
+        remove_shared(table.sparkSession, table.stored_at)
+
+
+def written() -> list[str]:
+    """Where the tables of materialise() lie that haven't been released."""
+    return list(_WRITTEN)
+
+
+def release_new(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
+    """Remove all such tables that weren't there before, but for some."""
+    for path in set(_WRITTEN) - set(before) - {k.stored_at for k in keep}:
+        _WRITTEN.remove(path)
+        remove_shared(spark, path)
+
+
+def files_state(df: DataFrame) -> int:
+    """A digest of the names, sizes and times of the files that df reads."""
+    spark = df.sparkSession
+    conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in sorted(df.inputFiles()):
+        path = make(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return hash(tuple(found))
 
 
 def write_shared_bytes(spark: SparkSession, label: str, content: bytes) -> str:
