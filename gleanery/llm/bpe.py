@@ -1,11 +1,16 @@
 """BPE encoding and decoding with a public tokenizer's vocabulary file.
 
-A text is cut at special tokens, normalised (NFC, runs of white space to one blank, lower case) and cut into pieces;
-each piece starts as one symbol a byte in a doubly linked list, the last one with the word-end mark. A priority queue
+A text is cut at special tokens, normalised by the steps that the file names and cut into pieces by its pattern; each
+piece starts as one symbol a byte in a doubly linked list, the last one with the word-end mark. A priority queue
 holds (rank, position) of every mergeable neighbour pair; entries whose symbols have changed since are stale and
 skipped. Decoding joins vocabulary strings, as the file names no decoder: one blank between tokens.
 
+Letters, digits, lower case and the order of marks are those of the tokenizers library, which knows Unicode 16 for the
+first three and an older one for the last, whatever versions Python and its packages have. A file whose steps aren't
+known here is refused.
+
 Null is taken as the empty text, which gives no tokens. Long texts are encoded whole. Equal texts give equal ids.
+Repeated rows are encoded each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +37,97 @@ PLAIN = re.compile(r"[\t-\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_PIECE = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
+# Letters and digits that came with Unicode 16, beside those of the Unicode 15.1 that Python 3.13 knows.
+ADDED = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 "
+         "11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
+# Capitals of Unicode 16 and 17 with their small letters; a range goes up by one number throughout.
+LOWERED = "1C89>1C8A A7CB>264 A7CC>A7CD A7CE>A7CF A7D2>A7D3 A7D4>A7D5 A7DA>A7DB A7DC>19B 10D50-10D65>10D70 16EA0-16EB8>16EBB"
+# Marks that the library doesn't reorder and a vowel sign that it doesn't compose, as they came after its table.
+UNORDERED = (
+    "898 89C-89F 8CA-8CE 9FE C3C D3B-D3C EBA 1715 1AC1-1AC2 1AC5-1AC9 1ACB-1ACE 1DF6-1DF8 1DFA A82C 10D24-10D27 10EAB-10EAC 10F48-10F4A 10F4C "
+    "10F82 10F84 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 "
+    "1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4ED 1E4EF")
+
+
+def spans_of(listed: str) -> list[tuple[int, int]]:
+    """First and last numbers of the ranges in a list."""
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (x.partition("-") for x in listed.split())]
+
+
+def char_class(spans: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
+
+
+@lru_cache(maxsize=2)
+def category(kind: str) -> str:
+    """The inside of a character class of all letters (L) or digits (N)."""
+    added = spans_of(ADDED[kind])
+    known = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
+    spans = []
+    for c in sorted({*known, *(c for a, b in added for c in range(a, b + 1))}):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return char_class(spans)
+
+
+MARKS = regex.compile(f"[{char_class(spans_of(UNORDERED))}]+")
+SMALL = {}
+for _row in LOWERED.split():
+    _from, _, _to = _row.partition(">")
+    for _a, _b in spans_of(_from):
+        SMALL |= {c: int(_to, 16) + c - _a for c in range(_a, _b + 1)}
+
+
+def composed(text: str) -> str:
+    """NFC, as if the marks of UNORDERED were letters of their own."""
+    if text.isascii() or not MARKS.search(text):
+        return unicodedata.normalize("NFC", text)
+    parts, at = [], 0
+    for m in MARKS.finditer(text):
+        parts += [unicodedata.normalize("NFC", text[at : m.start()]), m[0]]
+        at = m.end()
+    return "".join([*parts, unicodedata.normalize("NFC", text[at:])])
+
+
+def lowered(text: str) -> str:
+    """Lower case, each character by itself: no rule for a final sigma."""
+    text = text.translate(SMALL) if not text.isascii() else text
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
+def pattern_of(spec: dict) -> regex.Pattern:
+    """A pattern of the file, with letters and digits as the library knows them."""
+    if "Regex" not in spec:
+        return regex.compile(regex.escape(spec["String"]))
+    source = spec["Regex"]
+    for kind in "LN":
+        if f"\\p{{{kind}}}" in source:
+            source = source.replace(f"\\p{{{kind}}}", category(kind))
+    if regex.search(r"\\[pP]\{", source) or regex.search(r"(?<!\[|\^|\\s)\\p\{[LN]\}", spec["Regex"].replace(r"\p{L}\p{N}", r"\p{L}")):
+        raise ValueError(f"this pattern isn't supported: {spec['Regex']}")
+    return regex.compile(source)
+
+
+def normaliser(spec: dict | None) -> list:
+    """The steps of a file's normaliser as functions of a text."""
+    if spec is None:
+        return []
+    if spec["type"] == "Sequence":
+        return [f for one in spec["normalizers"] for f in normaliser(one)]
+    if spec["type"] == "NFC":
+        return [composed]
+    if spec["type"] == "Lowercase":
+        return [lowered]
+    if spec["type"] == "Replace":
+        pattern, content = pattern_of(spec["pattern"]), spec["content"]
+        return [lambda text: pattern.sub(lambda _: content, text)]
+    raise ValueError(f"this normaliser isn't supported: {spec['type']}")
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if visible, else the next one from 256 on."""
@@ -73,11 +169,17 @@ class WordBpe:
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.last = [self.vocab.get(c + self.end) for c in alphabet]
-        steps = data["pre_tokenizer"]["pretokenizers"]
-        self.piece = regex.compile(steps[0]["pattern"]["Regex"])
+        first, second = data["pre_tokenizer"]["pretokenizers"]
+        if (first["type"], first["behavior"], first["invert"], second["type"], second["add_prefix_space"], second["use_regex"]) != ("Split", "Removed", True, "ByteLevel", False, False):
+            raise ValueError("these steps before the merges aren't supported")
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")) or data["decoder"]:
+            raise ValueError("this kind of model isn't supported")
+        self.steps = normaliser(data["normalizer"])
+        self.piece = pattern_of(first["pattern"])
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.known = Remembered(self)
-        self.plain = steps[0]["pattern"]["Regex"] == FILE_PATTERN
+        steps = [x["type"] for x in (data["normalizer"] or {}).get("normalizers", [])]
+        self.plain = first["pattern"].get("Regex") == FILE_PATTERN and steps == ["NFC", "Replace", "Lowercase"]
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one piece."""
@@ -108,8 +210,9 @@ class WordBpe:
         return [i for i in ids if i >= 0]
 
     def normal(self, text: str) -> str:
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # no rule for a final sigma
+        for step in self.steps:
+            text = step(text)
+        return text
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text without special tokens."""

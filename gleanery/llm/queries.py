@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, language, media, mixing, placement, quality, simhash, substrings, syncmers, urls
 from gleanery.session import prepare
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Fixed values of the URL query's contract: verdict, host, path.
 URL_RULES = [
     ("allow", "com", "/"),
