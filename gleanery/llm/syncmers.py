@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-Tokens are runs of up to LONGEST characters that aren't white space, so a long run without blanks still gives many.
-Of the windows of K tokens, those are anchors whose least inner pair of tokens (by hash) stands at an edge; whether a
+A run of up to LONGEST characters that aren't white space is one token. In a longer one, as in scripts without blanks,
+so is each such run of letters a-z or of digits, and each other character; so a token depends on its neighbours alone
+and not on where its run begins. Of the windows of K tokens, those are anchors whose least inner pair of tokens (by hash) stands at an edge; whether a
 window is one depends on its own tokens alone, so a passage has the same anchors wherever it stands. The fingerprint is
 the SKETCH smallest distinct anchor hashes, in order, eight hex digits each; equal texts have equal fingerprints.
 
@@ -21,12 +22,23 @@ SKETCH = 64
 MASK = 0xFFFFFFFF
 #: Border points that the driver reads, and rows meant for one bucket between them.
 COARSE, BUCKET_ROWS = 512, 2_000
+#: Numbers of buckets that one task puts in order.
+GROUP = 4_096
 #: Heads of buckets are handed to every executor up to this number.
 MAX_HEADS = 500_000
 
 
+def alone(kind: str) -> str:
+    """A pattern of up to LONGEST characters of a kind between others."""
+    return rf"(?<!{kind}){kind}{{1,{LONGEST}}}+(?!{kind})"
+
+
+VISIBLE = r"[^\x20\x09-\x0D]"
+TOKEN = "|".join([*map(alone, (VISIBLE, "[A-Za-z]", "[0-9]")), VISIBLE])
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{LONGEST}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -116,10 +128,14 @@ def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(docs[key], F.coalesce(docs[text], F.lit("")).alias("text"))
     keys = rows.select(key)
     bucket = bucket_of(keys, key)
-    heads = keys.select(key, bucket.alias("bucket")).groupBy("bucket").agg(F.max(key).alias("head"))
-    order = Window.orderBy(F.desc("bucket"))
-    everywhere = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("head", F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(everywhere)).alias("bucket"))
+    heads = keys.select(key, bucket.alias("bucket")).groupBy("bucket").agg(F.max(key).alias("head")).withColumn("group", F.floor(F.col("bucket") / GROUP))
+    # The bucket before in descending order: of the same group of numbers, else the least of the group before.
+    groups = heads.groupBy("group").agg(F.min("bucket").alias("low"))
+    over = Window.orderBy(F.desc("group"))
+    every = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = groups.select("group", F.coalesce(F.lag("low").over(over), F.last("low").over(every)).alias("before"))
+    inside = Window.partitionBy("group").orderBy(F.desc("bucket"))
+    heads = heads.withColumn("same", F.lag("bucket").over(inside)).join(groups, "group").select("head", F.coalesce("same", "before").alias("bucket"))
     small = heads.count() <= MAX_HEADS
     borders = rows.join(F.broadcast(heads) if small else heads, rows[key].eqNullSafe(heads["head"]))
     both = rows.select(key, "text", bucket.alias("bucket"), F.lit(0).alias("border")).unionByName(
