@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gleanery.llm.columns import slices
+from gleanery.session import materialise
 
 #: WAVE format tags.
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
@@ -201,32 +202,49 @@ def feature_of(codes: np.ndarray, adpcm: np.ndarray) -> str:
             f"alaw={level(ALAW_SAMPLES[codes])};adpcm={level(adpcm)};pcm16k={zlib.crc32(pcm.astype('<i2').tobytes()):08x}")
 
 
-def texts_as_audio(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts stored without loss as 8-bit mu-law samples of a WAV file, read back from it and described.
-
-    media_bytes and media_sha256 are of the stored file; the payload's digests are of the bytes read back. The feature
-    takes the payload as mu-law, as A-law and as ADPCM blocks of UNIT bytes.
-    """
+def audio_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes and content of every row: the text's payload as the mu-law samples of a WAV file."""
     source = docs.select(docs[key], docs[text])
+    names = [key, "n_bytes", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1, 1 << 20):
+            sizes, payloads = zip(*map(payload_of, part.column(1).to_pylist()), strict=True)
+            files = [write_wav(p, MULAW, RATE, 8) for p in payloads]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names)
+
+    kind = source.schema[key].dataType.simpleString()
+    return source.mapInArrow(run, f"{key} {kind}, n_bytes long, content binary")
+
+
+def described(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The digests and features of media rows (key, n_bytes, content) that audio_of_texts made."""
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 2 << 20):
-            sizes, files = [], []
-            for value in part.column(1).to_pylist():
-                n, payload = payload_of(value)
-                sizes.append(n)
-                files.append(write_wav(payload, MULAW, RATE, 8))
+        for part in slices(batches, 2, 1 << 20):
+            files = part.column(2).to_pylist()
             back = [np.frombuffer(read_wav(f)[5], np.uint8) for f in files]
             adpcm = decode_ima(np.concatenate(back).reshape(-1, UNIT))
             ends = np.cumsum([0, *(len(b) // UNIT for b in back)])
             columns = [
-                pa.array(sizes, pa.int64()), pa.array([len(b) for b in back], pa.int64()),
+                part.column(1), pa.array([len(b) for b in back], pa.int64()),
                 pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([zlib.crc32(b[-32:]) for b in back], pa.int64()),
                 pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]),
                 pa.array([feature_of(b, adpcm[ends[i] : ends[i + 1]]) for i, b in enumerate(back)]),
             ]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
-    kind = source.schema[key].dataType.simpleString()
-    return source.mapInArrow(run, f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kind = media.schema[key].dataType.simpleString()
+    return media.mapInArrow(run, f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def texts_as_audio(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts stored without loss as 8-bit mu-law samples of WAV files, read back from the table of these and described.
+
+    media_bytes and media_sha256 are of the stored file; the payload's digests are of the bytes read back. The feature
+    takes the payload as mu-law, as A-law and as ADPCM blocks of UNIT bytes, and has the check sum of the resampled PCM.
+    That PCM itself, four bytes for each of the payload's, is what store_pcm() keeps of such a table. A null text is the
+    empty one; an empty table gives an empty result.
+    """
+    return described(materialise(audio_of_texts(docs, key, text), "media", compression="zstd"), key)
