@@ -68,14 +68,15 @@ def place(
     rows: DataFrame, shards: Sequence[str], key: str = "doc_id", slots: int = SLOTS,
     weights: Mapping[str, int] | None = None, slot: str = "slot", shard: str = "shard",
 ) -> DataFrame:
-    """rows with their slot and shard (the shard's position in the given order)."""
+    """rows with their slot and shard (the shard's position in the given order); columns of these names give way to them."""
     spark = rows.sparkSession
     owners = ",".join(map(str, lookup_table(shards, slots, weights)))
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("_slot", "_owner"))
-    table = table.select(F.col("_slot").cast("long").alias("_slot"), F.col("_owner").cast("long").alias("_owner"))
-    keyed = rows.withColumn(slot, slot_of(rows[key], slots))
-    joined = keyed.join(F.broadcast(table), keyed[slot] == table["_slot"])
-    return joined.withColumn(shard, F.col("_owner")).drop("_slot", "_owner")
+    table = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("at", "owner"))
+    table = table.select(F.col("at").cast("long").alias("at"), F.col("owner").cast("long").alias("owner"))
+    kept = [F.col(f"row.`{c}`") for c in rows.columns if c not in (slot, shard)]
+    keyed = rows.select(F.struct("*").alias("row"), slot_of(rows[key], slots).alias("at"))
+    joined = keyed.join(F.broadcast(table), "at")
+    return joined.select(*kept, F.col("at").alias(slot), F.col("owner").alias(shard))
 
 
 def write_shards(rows: DataFrame, path: str, shards: Sequence[str], key: str = "doc_id", files: int = 1, **options) -> None:
