@@ -1,22 +1,25 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source stand in one stream (documents in order of a hash bucket, then of their key), cut into blocks
-of a fixed length. A source gets as many slots as its target asks for; every slot falls on an output shard by a
-pseudorandom draw, so the counts of a source over the shards are multinomial, given its total. The slots of a source
-go through its blocks in rounds; in each round a keyed permutation of the block numbers ("swap or not", a bijection on
-any range) says which block a slot takes. Slots and documents meet in a join by source and block number.
+of a fixed length. A source has as many slots as its target asks for. Every slot draws one of the output shards, each
+with the same chance, so a source's counts over the shards are a multinomial draw, and the mix of sources in a shard
+varies as one; the totals are fixed, as drawing them too would leave small sources far from their targets. The slots of
+a source go through its blocks in turns; in each turn a keyed permutation of the block numbers ("swap or not", a
+bijection on any range) says which block a slot takes. Slots and documents meet in a join by source and block number,
+and every word taken belongs to the shard that its slot drew.
 
 Sources stand in order of code point, null last, and weigh 1, 2, 3, 1, 2, 3 and so on unless weights are given. A
 source's target stops at LIMIT times its size; the excess goes to the others by weight until none is above. A source
-takes at most LIMIT rounds, so no document gives more than LIMIT times its words. Null and empty texts have size 0 and
-give nothing; repeated rows each count; an empty table gives an empty result. Rows are told apart by key and text:
-mix_documents takes rows that are equal in both as one.
+takes at most LIMIT turns, so no document gives more than LIMIT times its words. Null and empty texts have size 0 and
+give nothing; repeated rows each count; an empty table gives an empty result. Any number of sources will do: their table
+is joined like any other, and only sums over it reach the driver.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,34 +31,13 @@ BLOCK_WORDS = 128
 LIMIT = 3
 WEIGHTS = (1, 2, 3)
 ROUNDS = 24
-#: Rows meant for one bucket of the running sums; slots made by one task; slots of one output shard.
-BUCKET_ROWS, CHUNK_SLOTS, SHARD_SLOTS = 2_000, 50_000, 4_096
-#: The table of sources is worked out by the driver and handed to every executor.
-MAX_SOURCES = 100_000
-
-
-def targets(sizes: Sequence[int], weights: Sequence[float], limit: int = LIMIT) -> list[float]:
-    """Words wanted of each source: shares by weight, none above limit times its size, the excess reshared."""
-    goal = [0.0] * len(sizes)
-    open_ = set(range(len(sizes)))
-    left = float(sum(sizes))
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = [i for i in open_ if weights[i] / weight * left > limit * sizes[i]]
-        if not over:
-            for i in open_:
-                goal[i] = weights[i] / weight * left
-            break
-        for i in over:
-            goal[i] = float(limit * sizes[i])
-            open_.remove(i)
-        left = sum(sizes) - sum(goal[i] for i in range(len(sizes)) if i not in open_)
-    return goal
+#: Slots made by one task; slots meant for one output shard.
+CHUNK_SLOTS, SHARD_SLOTS = 50_000, 65_536
 
 
-def inline(spark, rows: list[dict], schema: str) -> DataFrame:
-    """A small table from the driver as a literal."""
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
+def literal(values: Sequence, kind: str) -> Column:
+    """An array of the driver's values."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
 
 
 def permuted(at: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -68,49 +50,67 @@ def permuted(at: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), at, swap)
 
 
-class Plan:
-    """What the driver knows of a mix: a row for each source, and the small table that carries it to the executors."""
-
-    def __init__(self, sized: DataFrame, weights: Sequence[float] | None, block_words: int, limit: int) -> None:
-        spark = sized.sparkSession
-        found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-        if len(found) > MAX_SOURCES:
-            raise ValueError("more sources than MAX_SOURCES: group them first")
-        rows = sorted(((r["source"], int(r["size"])) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
-        weight = [float(weights[i] if weights else WEIGHTS[i % len(WEIGHTS)]) for i in range(len(rows))]
-        goal = targets([s for _, s in rows], weight, limit)
-        self.sources = []
-        for i, ((name, size), target) in enumerate(zip(rows, goal, strict=True)):
-            blocks = -(-size // block_words)
-            slots = min(round(target * blocks / size), limit * blocks) if size else 0
-            self.sources.append({"sid": i, "name": name, "source_size": size, "target": target, "blocks": blocks, "slots": slots})
-        kinds = "sid int, name string, source_size long, target double, blocks long, slots long"
-        self.table = inline(spark, self.sources, kinds)
-        self.shards = max(1, -(-sum(s["slots"] for s in self.sources) // SHARD_SLOTS))
-
-
-def slots(plan: Plan) -> DataFrame:
-    """Every slot of the mix: sid, slot, block (its number), shard."""
-    spread = plan.table.where("slots > 0").select(
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes (source, size) with sid, the sources' places in order of code point, null last."""
+    placed = sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id())
+    placed = materialise(placed, "mix-sources")
+    part = F.shiftright("at", 33).cast("int")
+    counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each task
+    before = [0]
+    for k in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(k, 0))
+    return placed.select("source", "size", (F.get(literal(before, "bigint"), part) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("sid"))
+
+
+def planned(sized: DataFrame, weights: Sequence[float] | None, block_words: int, limit: int) -> DataFrame:
+    """A row for each source of sized: sid, source, source_size, target, blocks, slots.
+
+    An open source's target is its weight times a rate common to all; those that reach the limit close and the rate
+    rises, until no more close.
+    """
+    weight = F.coalesce(F.get(literal(weights or WEIGHTS, "double"), (F.col("sid") if weights else F.col("sid") % len(WEIGHTS)).cast("int")), F.lit(0.0))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    rows = numbered(sizes).withColumn("weight", weight)
+    most = F.lit(limit) * F.col("size")
+    rate, closed = 0.0, -1
+    while True:
+        over = most < F.lit(rate) * F.col("weight")
+        total, held, free, n = rows.agg(
+            F.sum("size"), F.sum(F.when(over, most).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.sum(over.cast("long"))).first()
+        if n == closed or not free:
+            break
+        rate, closed = (total - held) / free, n
+    target = F.least(most.cast("double"), F.lit(rate) * F.col("weight"))
+    blocks = F.ceil(F.col("size") / block_words)
+    slots = F.when(F.col("size") > 0, F.least(F.round(target * blocks / F.col("size")).cast("long"), limit * blocks)).otherwise(0)
+    found = rows.select("sid", "source", F.col("size").alias("source_size"), target.alias("target"), blocks.cast("long").alias("blocks"), slots.cast("long").alias("slots"))
+    return materialise(found, "mix-plan")
+
+
+def slots(plan: DataFrame) -> DataFrame:
+    """Every slot of the mix: sid, turn, block (its number) and the shard that it draws."""
+    total, chunks = plan.agg(F.sum("slots"), F.sum(F.ceil(F.col("slots") / CHUNK_SLOTS))).first()
+    shards = max(1, -(-(total or 0) // SHARD_SLOTS))
+    spread = plan.where("slots > 0").select(
         "sid", "blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS))).alias("chunk"))
     first = F.col("chunk") * F.lit(CHUNK_SLOTS).cast("long")
-    chunks = max(1, sum(-(-s["slots"] // CHUNK_SLOTS) for s in plan.sources))
-    spread = spread.repartition(min(chunks, 10_000)).select(
+    spread = spread.repartition(min(max(1, chunks or 0), 10_000)).select(
         "sid", "blocks", F.explode(F.sequence(first, F.least(first + F.lit(CHUNK_SLOTS), F.col("slots")) - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64("sid", turn))
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "sid", "slot"), F.lit(plan.shards))
-    return spread.select("sid", "slot", block.alias("block"), shard.alias("shard"))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "sid", "slot"), F.lit(shards))
+    return spread.select("sid", turn.alias("turn"), block.alias("block"), shard.alias("shard"))
 
 
-def offsets(sized: DataFrame, plan: Plan, keys: Sequence[str]) -> DataFrame:
+def offsets(sized: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFrame:
     """sized with sid and start: where in its source's stream a row's words begin.
 
-    Two levels of running sums: over the buckets of a source, then inside one bucket, so that no task holds a source.
+    Two levels of running sums, each over about the square root of the rows: over the buckets of a source, then inside
+    one bucket, so that no task holds a source.
     """
-    small = F.broadcast(plan.table.select("sid", "name", "source_size", "target"))
-    rows = sized.join(small, sized["source"].eqNullSafe(small["name"])).drop("name")
-    buckets = max(1, sized.count() // BUCKET_ROWS)
+    known = plan.select("sid", F.col("source").alias("_name"), "source_size", "target")
+    rows = sized.join(known, sized["source"].eqNullSafe(known["_name"])).drop("_name")
+    buckets = max(1, isqrt(sized.count()))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit("mix"), *keys), F.lit(buckets)))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,52 +130,59 @@ def spans(rows: DataFrame, block_words: int) -> DataFrame:
     return cut.withColumns({"from_word": low - F.col("start"), "n_words": high - low + 1})
 
 
-def taken(rows: DataFrame, plan: Plan, block_words: int) -> DataFrame:
-    """The spans of rows with how often the mix takes them (0 if never)."""
-    # Slots come from a table of one row, so the optimizer takes them for few: it must not broadcast them.
-    times = slots(plan).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
-    return spans(rows, block_words).join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+def taken(rows: DataFrame, plan: DataFrame, block_words: int) -> DataFrame:
+    """The spans of rows with used, the (shard, turn) of each time that the mix takes them."""
+    # Slots come from a table of few rows, so the optimizer takes them for few: it must not broadcast them.
+    used = slots(plan).groupBy("sid", "block").agg(F.collect_list(F.struct("shard", "turn")).alias("used")).hint("merge")  # LIMIT at most
+    return spans(rows, block_words).join(used, ["sid", "block"], "left")
 
 
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[float] | None = None, block_words: int = BLOCK_WORDS, limit: int = LIMIT,
 ) -> DataFrame:
-    """key, size, source_size, target and taken of every row."""
+    """key, size, source_size, target, taken, and shards (the sorted numbers of the output shards with words of it) of every row."""
     sized = docs.select(docs[key].alias("key"), docs[source].alias("source"), count_words(docs[text]).alias("size"))
     sized = materialise(sized, "mix-sizes")
-    plan = Plan(sized, weights, block_words, limit)
+    plan = planned(sized, weights, block_words, limit)
     rows = offsets(sized, plan, ["key"])
     columns = ["key", "size", "source_size", "target"]
-    total = F.sum(F.col("n_words") * F.col("times")).cast("long").alias("taken")
-    found = taken(rows, plan, block_words).groupBy(*columns, "sid", "start").agg(total).select(*columns, "taken")
-    empty = rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
+    total = F.sum(F.col("n_words") * F.coalesce(F.size("used"), F.lit(0))).cast("long").alias("taken")
+    shards = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_list("used")), lambda u: u["shard"]))).alias("shards")
+    found = taken(rows, plan, block_words).withColumn("used", F.coalesce("used", F.array().cast("array<struct<shard:bigint,turn:bigint>>")))
+    found = found.groupBy(*columns, "sid", "start").agg(total, shards).select(*columns, "taken", "shards")
+    empty = rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("shards"))
     return found.unionByName(empty).withColumnRenamed("key", key)
 
 
 def mix_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] | None = None, block_words: int = BLOCK_WORDS, limit: int = LIMIT,
+    weights: Sequence[float] | None = None, block_words: int = BLOCK_WORDS, limit: int = LIMIT, shard: str | None = None,
 ) -> DataFrame:
-    """The mix as rows of docs: a row for each copy of a document, with the text that the mix takes in that copy.
+    """The mix as rows of docs: a row for each document, output shard and turn, with the words that this shard takes then.
 
-    Copy n holds, in order and with the white space before each word, the words of the blocks taken n times or more; a
-    document of which nothing is taken goes. Further columns stay as they are.
+    The words of a row's blocks stand in order, each with the white space before it; a document of which nothing is
+    taken goes. Further columns stay as they are; if a name is given for it, the shard's number is one more.
     """
-    mark = F.xxhash64(text)
-    sized = docs.select(docs[key].alias("key"), docs[source].alias("source"), mark.alias("mark"), count_words(docs[text]).alias("size"))
-    sized = materialise(sized.dropDuplicates(["key", "source", "mark"]), "mix-sizes")
-    plan = Plan(sized, weights, block_words, limit)
-    used = taken(offsets(sized, plan, ["key", "mark"]), plan, block_words).where("times > 0")
-    used = used.groupBy(F.col("key").alias("_mix_key"), F.col("mark").alias("_mix_hash"), F.col("source").alias("_mix_source")).agg(
-        F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("_mix_used"))
-    once = docs.withColumn("_mix_mark", mark).dropDuplicates([key, source, "_mix_mark"])
-    rows = once.join(used, once[key].eqNullSafe(used["_mix_key"]) & (once["_mix_mark"] == used["_mix_hash"])
-                     & once[source].eqNullSafe(used["_mix_source"]))
-    rows = rows.withColumn("_mix_words", F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
-    most = F.array_max(F.transform("_mix_used", lambda u: u["times"])).cast("int")
-    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), most)))
-    parts = F.transform(
-        F.filter("_mix_used", lambda u: u["times"] >= F.col("_mix_copy")),
-        lambda u: F.array_join(F.slice(F.col("_mix_words"), (u["from_word"] + 1).cast("int"), u["n_words"].cast("int")), ""))
-    return rows.withColumn(text, F.array_join(parts, "")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in (key, text, source) and "map<" not in docs.schema[c].dataType.simpleString()]
+    same = F.xxhash64(docs[key].isNull(), docs[key], docs[source].isNull(), docs[source], docs[text])
+    turn = F.row_number().over(Window.partitionBy("_mix_same").orderBy(*([F.xxhash64(*(F.col(c) for c in others))] if others else ["_mix_same"])))
+    rows = docs.withColumn("_mix_same", same).withColumn("_mix_n", turn)  # repeated rows each count
+    sized = rows.select(F.col(key).alias("key"), F.col("_mix_same").alias("same"), F.col("_mix_n").alias("n"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
+    sized = materialise(sized, "mix-sizes")
+    plan = planned(sized, weights, block_words, limit)
+    used = taken(offsets(sized, plan, ["key", "same", "n"]), plan, block_words).where("used IS NOT NULL")
+    used = used.select("same", "n", "from_word", "n_words", F.explode("used").alias("u"))
+    parts = used.groupBy("same", "n", "u.shard", "u.turn").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"))
+    parts = parts.groupBy(F.col("same").alias("_mix_same"), F.col("n").alias("_mix_n")).agg(
+        F.sort_array(F.collect_list(F.struct("shard", "turn", "parts"))).alias("_mix_used"))
+    rows = rows.join(parts, ["_mix_same", "_mix_n"])
+    # Exploded as the only element of an array, so that the words are cut once a document and not once a lookup.
+    rows = rows.withColumn("_mix_words", F.explode(F.array(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))))
+
+    def piece(p: Column) -> Column:
+        return F.array_join(F.slice(F.col("_mix_words"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), "")
+
+    pieces = F.transform("_mix_used", lambda u: F.struct(u["shard"].alias("shard"), F.array_join(F.transform(u["parts"], piece), "").alias("text")))
+    rows = rows.withColumn("_mix_piece", F.explode(pieces)).withColumn(text, F.col("_mix_piece.text"))
+    return rows.select(*docs.columns, *([F.col("_mix_piece.shard").alias(shard)] if shard else []))
