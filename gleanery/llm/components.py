@@ -41,5 +41,7 @@ def roots(links: DataFrame) -> DataFrame:
         release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found.stored_at = edges.stored_at  # for release()
+            return found
         before = now

@@ -7,7 +7,8 @@ fingerprints that differ in r bits at most agree in that table's key: no pair is
 
 Equal fingerprints stand once. The rows of a table's bucket are compared in one task, which yields only a spanning
 forest of the bucket's links. A bucket of over LARGE rows is dealt anew: its rows agree in all bits of the key, so the
-same construction over the remaining bits gives smaller buckets with the same guarantee.
+same construction over the remaining bits gives smaller buckets with the same guarantee. Rows of such a bucket agree in
+about 48 bits, so it holds 2^16 different fingerprints or so at the very most, whatever the data.
 
 Texts are lower-cased in A-Z; words are runs without white space. A text with fewer words than a shingle has one, its
 whole sequence; a null or wordless text has fingerprint 0, which links like any other. Rows with a null key take part;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import nearcopies
 from gleanery.llm.columns import slices
 from gleanery.llm.components import roots
-from gleanery.session import materialise
+from gleanery.session import materialise, release
 
 SEED = 42
 BITS = 64
@@ -151,7 +152,10 @@ def compare(rows: DataFrame, radius: int, most: int | None, large: int | None) -
 
 
 def links_within(entities: DataFrame, radius: int, most: int | None = None, large: int = LARGE) -> DataFrame:
-    """Links (a, b) that connect all entities (node, code, seal) within the radius of each other, directly or over others."""
+    """Links (a, b) that connect all entities (node, code, seal) within the radius of each other, directly or over others.
+
+    The links read a shared table, near, that can be released once they have been used.
+    """
     first = masks(radius)
     tables = F.array(*(F.struct(F.lit(i).alias("mask"), F.lit(m).cast("long").alias("bits")) for i, m in enumerate(first)))
     keep = ["code", "node", "seal"]
@@ -165,6 +169,7 @@ def links_within(entities: DataFrame, radius: int, most: int | None = None, larg
         again = large_rows.select("bucket", "mask", "code", F.col("a").alias("node"), "seal", F.posexplode(F.get(second, F.col("mask"))).alias("n", "bits"))
         again = again.select(F.xxhash64("bucket", "n", F.col("code").bitwiseAND(F.col("bits"))).alias("bucket"), "mask", *keep)
         links = links.unionByName(compare(again, radius, most, None).select("a", "b"))
+    links.near = found
     return links
 
 
@@ -185,7 +190,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     """key, code and component_id of every row: rows link whose fingerprints of word shingles differ in at most radius bits."""
     coded = materialise(with_codes(docs, key, text, size), "codes").withColumn("node", F.col("code"))
     entities = coded.groupBy("node", "code").agg(F.min("key").alias("least"))
-    hung = roots(links_within(entities.select("node", "code", F.lit(None).cast("binary").alias("seal")), radius))
+    links = links_within(entities.select("node", "code", F.lit(None).cast("binary").alias("seal")), radius)
+    hung = roots(links)
+    release(links.near)
     placed = entities.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.select("node", "root").join(named, "root").select("node", "component_id")
