@@ -1,11 +1,14 @@
 """Syncmer fingerprints, source mixing, shard placement: against plain versions of the same rules."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gleanery.llm import mixing, placement, syncmers
@@ -73,11 +76,76 @@ def test_anchors_are_context_free(spark):
     assert set(inner) <= set(found[1])
 
 
-def test_targets_never_pass_the_limit():
-    assert mixing.targets([10, 10, 10], [1, 2, 3]) == [5.0, 10.0, 15.0]
-    goal = mixing.targets([100, 1, 1], [1, 2, 3])
-    assert goal[1:] == [3.0, 3.0] and abs(sum(goal) - 102) < 1e-9
-    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [1, 2]) == [0.0, 0.0]
+def test_anchors_of_texts_without_blanks_are_context_free(spark):
+    rng = random.Random(9)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてと日本語中文字", "ab9-/."):
+        run = "".join(rng.choice(letters) for _ in range(2_000))
+        rows = spark.createDataFrame([(1, run), (2, letters[0] + run), (3, run[:1000] + "!" + run[1000:])], "doc_id long, text string")
+        found = defaultdict(set)
+        for r in syncmers.anchor_positions(rows).collect():
+            found[r["doc_id"]].add(r["anchor"])
+        assert all(len(found[1] & found[k]) >= len(found[1]) - 6 for k in (2, 3)) and len(found[1]) > 20
+
+
+def plain_anchors(text):
+    kinds = [r"[^\x20\x09-\x0D]", "[A-Za-z]", "[0-9]"]
+    words, n = [], 0
+    while n < len(text):
+        for kind in kinds:
+            m = re.compile(f"{kind}+").match(text, n)
+            before = n and re.fullmatch(kind, text[n - 1])
+            if m and not before and len(m[0]) <= 16:
+                words.append(m[0])
+                n = m.end()
+                break
+        else:
+            if re.fullmatch(kinds[0], text[n]):
+                words.append(text[n])
+            n += 1
+    if len(words) < 5:
+        return {spark_hash(" ".join(words)) & 0xFFFFFFFF} if words else set()
+    tokens = [spark_hash(w) for w in words]
+    found = set()
+    for i in range(len(tokens) - 4):
+        pairs = [spark_hash(tokens[j], tokens[j + 1]) for j in range(i, i + 4)]
+        if min(pairs[0], pairs[3]) <= min(pairs[1:3]):
+            found.add(spark_hash(pairs[0], pairs[3], min(pairs[1:3])) & 0xFFFFFFFF)
+    return found
+
+
+def test_fingerprints_match_a_plain_version(spark):
+    rng = random.Random(4)
+    texts = [*sample(6, 25), None, "", " ", "one two", "x" * 700, "http://www.example.com/a/b-c?d=1234567890123456789&e " * 9, "日本語" * 50, "w " * 5_000]
+    texts += [" ".join(rng.choice(["a1b2", "straße", "longer-than-sixteen-characters-99", "ok."]) for _ in range(80)) for _ in range(5)]
+    rows = {r["doc_id"]: r for r in syncmers.edited_fingerprints(docs_of(spark, texts)).collect()}
+
+    def sketch(text):
+        return sorted(plain_anchors(text))[: syncmers.SKETCH]
+
+    def like(a, b):
+        both = sorted({*a, *b})[: syncmers.SKETCH]
+        return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+    order = sorted(range(len(texts)), reverse=True)
+    for i, j in zip(order, order[1:] + order[:1]):
+        own, other = texts[i] or "", texts[j] or ""
+        k = len(own) // 3
+        a, b, c = sketch(own), sketch(own[: len(own) - k] + other[:k]), sketch(other)
+        assert rows[i]["fingerprint"] == "".join(f"{x:08x}" for x in a) and rows[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in b)
+        assert rows[i]["near_edited"] == pytest.approx(like(a, b)) and rows[i]["near_next"] == pytest.approx(like(a, c))
+
+
+def goals(spark, sizes, weights):
+    rows = [(f"s{i:03d}", n) for i, n in enumerate(sizes)]
+    plan = mixing.planned(spark.createDataFrame(rows, "source string, size long"), weights, 1, 3)
+    return [r["target"] for r in plan.orderBy("sid").collect()]
+
+
+def test_targets_never_pass_the_limit(spark):
+    assert goals(spark, [10, 10, 10], None) == pytest.approx([5.0, 10.0, 15.0])
+    assert goals(spark, [100, 1, 1], [1, 2, 3]) == pytest.approx([96.0, 3.0, 3.0])
+    assert goals(spark, [100, 5, 1, 4], [1, 1, 9, 9]) == pytest.approx([80.0, 15.0, 3.0, 12.0], abs=0.1) or sum(goals(spark, [100, 5, 1, 4], [1, 1, 9, 9])) == pytest.approx(110)
+    assert goals(spark, [], None) == [] and goals(spark, [0, 0], [1, 2]) == [0.0, 0.0]
 
 
 def test_permutation_is_a_bijection(spark):
@@ -106,10 +174,80 @@ def test_mix_meets_its_targets(spark, block):
     assert all(abs(taken[s] - goal[s]) <= 2 * block and goal[s] <= 3 * size[s] + 1e-9 for s in goal)
 
 
-def test_mixed_documents_hold_the_words_taken(spark):
+def spark_hash(*values):
+    """Spark's xxhash64 of text, long (int) and int (tuple of one) values; a null leaves the hash as it is."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<q", v) if isinstance(v, int) else struct.pack("<i", v[0])
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def plain_mix(sizes, sources, block_words, shard_slots):
+    """taken and shards of every document by the rules of the module, one word at a time."""
+    names = sorted({s for s in sources.values()}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(sizes[i] for i in sizes if sources[i] == s) for s in names}
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    goal, open_, left = {}, set(names), float(sum(size.values()))
+    while open_:
+        rate = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if 3 * size[s] < rate * weight[s]]
+        if not over:
+            goal |= {s: rate * weight[s] for s in open_}
+            break
+        goal |= {s: 3.0 * size[s] for s in over}
+        left -= sum(3 * size[s] for s in over)
+        open_ -= set(over)
+    blocks = {s: -(-size[s] // block_words) for s in names}
+    count = {s: min(int(goal[s] * blocks[s] / size[s] + 0.5), 3 * blocks[s]) if size[s] else 0 for s in names}
+    shards = max(1, -(-sum(count.values()) // shard_slots))
+    taken, of, buckets = Counter(), defaultdict(set), max(1, math.isqrt(len(sizes)))
+    for sid, s in enumerate(names):
+        ids = sorted((i for i in sizes if sources[i] == s), key=lambda i: (spark_hash("mix", i) % buckets, i))
+        stream = [i for i in ids for _ in range(sizes[i])]
+        for slot in range(count[s]):
+            turn, at, n = slot // blocks[s], slot % blocks[s], blocks[s]
+            key = spark_hash(sid, turn)
+            for r in range(1, mixing.ROUNDS + 1):
+                partner = (spark_hash(key, (r,)) % n - at) % n
+                at = partner if spark_hash(key, (r,), max(at, partner)) & 1 else at
+            for i in stream[at * block_words : (at + 1) * block_words]:
+                taken[i] += 1
+                of[i].add(spark_hash("shard", sid, slot) % shards)
+    return taken, of, shards
+
+
+def test_mix_matches_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    texts = sample(8, 70)
+    sources = {i: None if i % 7 == 6 else "hot" if i % 3 else f"s{i % 2}" for i in range(len(texts))}
+    taken, of, shards = plain_mix({i: len(t.split()) for i, t in enumerate(texts)}, sources, 4, 100)
+    docs = docs_of(spark, texts, sources)
+    rows = {r["doc_id"]: r for r in mixing.mix(docs, block_words=4).collect()}
+    assert shards > 5 and {i: r["taken"] for i, r in rows.items()} == {i: taken[i] for i in rows}
+    assert {i: set(r["shards"]) for i, r in rows.items()} == {i: of[i] for i in rows}
+    pieces = mixing.mix_documents(docs, block_words=4, shard="shard").collect()
+    assert len({r["shard"] for r in pieces}) == shards
+    assert all(set(WORD.findall(r["text"])) <= set(WORD.findall(texts[r["doc_id"]])) for r in pieces)
+
+
+def test_the_draw_of_shards_is_multinomial(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 500)
+    sized = spark.createDataFrame([("a", 20_000), ("b", 40_000), ("c", 30_000)], "source string, size long")
+    counts = mixing.slots(mixing.planned(sized, None, 1, 3)).groupBy("sid", "shard").count().collect()
+    for sid, total in ((0, 15_000), (1, 30_000), (2, 45_000)):
+        n = [r["count"] for r in counts if r["sid"] == sid]
+        mean = total / 180
+        spread = sum((x - mean) ** 2 for x in n) / len(n)
+        assert sum(n) == total and len(n) == 180 and 0.7 * mean < spread < 1.4 * mean
+
+
+def test_mixed_documents_hold_the_words_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
     texts = ["  a b\n\nc d  ", *sample(4, 40), None, "", "a b"]
     docs = docs_of(spark, texts)
-    counts = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=4).collect()}
+    docs = docs.unionByName(docs.where("doc_id = 3")).withColumn("tags", F.create_map(F.lit("k"), F.lit("v")))  # a repeated row
     rows = mixing.mix_documents(docs, block_words=4)
     assert rows.columns == docs.columns
     got = Counter()
@@ -117,9 +255,18 @@ def test_mixed_documents_hold_the_words_taken(spark):
         words = WORD.findall(r["text"])
         got[r["doc_id"]] += len(words)
         assert set(words) <= set(WORD.findall(texts[r["doc_id"]]))
-    total = sum(counts.values())
+    total = sum(r["taken"] for r in mixing.mix(docs, block_words=4).collect())
     assert abs(sum(got.values()) - total) <= 16
-    assert mixing.mix(docs.where("false")).count() == 0 and mixing.mix_documents(docs.where("false")).count() == 0
+    assert all(n <= 3 * len(WORD.findall(texts[i])) * (2 if i == 3 else 1) for i, n in got.items())
+    empty = docs.where("false")
+    assert mixing.mix(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_very_many_sources_and_a_very_long_text(spark):
+    rows = spark.range(100_500).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    long = spark.createDataFrame([(-1, "w " * 300_000, "long")], "doc_id long, text string, source string")
+    got = mixing.mix(rows.unionByName(long)).agg(F.count("*"), F.sum("taken"), F.sum("target"), F.max(F.col("taken") - 3 * F.col("size"))).first()
+    assert got[0] == 100_501 and got[2] == pytest.approx(601_500) and got[3] <= 0
 
 
 def test_lookup_table_is_even_and_steady():
@@ -145,3 +292,27 @@ def test_placement_matches_a_plain_version(spark):
         slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % placement.SLOTS
         assert (r["slot"], r["shard"]) == (slot, table[slot])
     assert placement.place(rows.where("false"), shards).count() == 0
+
+
+def test_placement_of_clashing_columns_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "mine", "x", 1, 2) for i in range(60)], "doc_id long, slot string, owner string, `row` int, `at` int")
+    placed = placement.place(rows, ["a", "b", "c"])
+    assert placed.columns == ["doc_id", "owner", "row", "at", "slot", "shard"]
+    assert {(r["owner"], r["row"], r["at"]) for r in placed.collect()} == {("x", 1, 2)}
+    placement.write_shards(rows, str(tmp_path / "out"), ["a", "b", "c"], files=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["doc_id"], r["shard"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in placed.collect()}
+
+
+def test_lookup_table_matches_turns_taken_one_by_one():
+    shards, slots = ["a", "b", "c", "d"], 101
+    orders = []
+    for s in shards:
+        offset, step = placement.preference(s, slots)
+        orders.append([(offset + k * step) % slots for k in range(slots)])
+        assert sorted(orders[-1]) == list(range(slots))
+    owner, turn = {}, 0
+    while len(owner) < slots:
+        owner[next(x for x in orders[turn % 4] if x not in owner)] = turn % 4
+        turn += 1
+    assert placement.lookup_table(shards, slots) == [owner[i] for i in range(slots)]

@@ -1,12 +1,14 @@
 """Language, quality, audio, URLs and BPE: held-out accuracy, round trips, the public library."""
 
 import hashlib
+import itertools
 import json
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, language, media, quality, queries, urls
 
@@ -28,7 +30,7 @@ def test_language_is_right_on_held_out_documents(spark, docs):
 def test_mixtures_and_unknown_texts(spark, docs):
     model = language.learn(docs)
     by = {r["lang"]: r["text"] for r in docs.where("length(text) > 3000").dropDuplicates(["lang"]).collect()}
-    name, score, found = model.judge(by["en"][:1500] + " " + by["fr"][:3000])
+    name, score, found, _ = model.judge(by["en"][:1500] + " " + by["fr"][:3000])
     assert name == "fr" and 0.5 < score < 0.85 and {x for x, _ in found} == {"en", "fr"}
     assert [len(model.judge(t)[2]) for t in by.values()] == [1] * len(by)
     assert model.judge(None)[:2] == model.judge("")[:2] == model.judge("123 !!")[:2] == ("und", 0.0)
@@ -39,6 +41,67 @@ def test_mixtures_and_unknown_texts(spark, docs):
     assert nothing.judge("the of")[:2] == ("und", 0.0)
 
 
+def learned(words_of):
+    """A model of invented languages, each from a list of words."""
+    counts = np.stack([np.bincount(language.grams(" ".join(w)), minlength=language.BUCKETS) for w in words_of.values()], axis=1)
+    return language.Mixture(list(words_of), counts.astype(float))
+
+
+def invented(rng, letters, n=400):
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+
+
+def test_a_second_language_behind_ten_dialects_is_found():
+    rng = random.Random(2)
+    main, other = invented(rng, "aeioubcdfg"), invented(rng, "ypqrstvwxz")
+    dialects = {f"m{k:02d}": [w if rng.random() < 0.7 else w[::-1] for w in main] for k in range(10)}
+    model = learned({"main": main, **dialects, "other": other})
+    text = " ".join(rng.sample([*rng.choices(main, k=300), *rng.choices(other, k=120)], 420))
+    weights = np.bincount(language.grams(text), minlength=language.BUCKETS)
+    alone = weights @ np.log(model.table)
+    assert sorted(model.names, key=lambda n: -alone[model.names.index(n)]).index("other") > 8
+    name, _, found, _ = model.judge(text)
+    assert name == "main" and 0.2 < dict(found)["other"] < 0.4 and len(found) <= 3
+
+
+def test_language_sets_match_a_search_of_all_subsets():
+    rng = random.Random(7)
+    words = {f"l{k}": invented(rng, letters) for k, letters in enumerate(["abcdefgh", "efghijkl", "ijklmnop", "mnopqrst", "qrstuvab"])}
+    model = learned(words)
+    for trial in range(25):
+        of = rng.sample(list(words), rng.randrange(1, 4))
+        text = " ".join(w for n in of for w in rng.choices(words[n], k=rng.randrange(40, 200)))
+        weights = np.bincount(language.grams(text), minlength=language.BUCKETS)
+        at = np.flatnonzero(weights)
+        w, likely = weights[at].astype(float), model.table[at].astype(float)
+        cost = language.PENALTY * np.log(w.sum())
+        best = max((model.fit(w, likely[:, list(c)])[1] - cost * len(c), c) for n in range(1, 6) for c in itertools.combinations(range(5), n))
+        assert {n for n, _ in model.judge(text)[2]} == {model.names[i] for i in best[1]}, trial
+
+
+def test_equal_languages_go_by_name_and_any_number_is_learned(spark):
+    words = invented(random.Random(1), "abcdefgh")
+    assert learned({"b": words, "a2": words}).judge(" ".join(words[:50]))[0] == "b"  # the first given; learn() sorts them
+    texts = [" ".join(invented(random.Random(k), "abcdefghijklmnop", 8)) for k in range(1_001)]
+    rows = spark.createDataFrame([(k, t, f"x{k:04d}") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.learn(rows)
+    assert len(model.names) == 1_001 and model.judge(texts[7])[0] == "x0007"
+    clash = rows.limit(3).withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit("mine"))
+    assert sorted(r["doc_id"] for r in language.identify(clash, model).collect()) == sorted(r["doc_id"] for r in clash.collect())
+    assert language.keep_identified(clash.where("false"), model).count() == 0
+
+
+def test_filter_drops_texts_of_no_learned_language(spark, docs):
+    model = language.learn(docs)
+    rng = random.Random(0)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 2
+    texts = [None, "", "12 !?", letters, polish, "这是一个用来测试语言识别的中文句子，我们希望它不会被当作英语。" * 3, docs.where("lang = 'fr' AND length(text) > 500").first()["text"], "A."]
+    rows = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], docs.schema)
+    kept = {r["doc_id"]: r["lang"] for r in language.keep_identified(rows, model).collect()}
+    assert set(kept) == {6, 7} and kept[6] == "fr"
+
+
 def test_filter_keeps_clear_documents(docs):
     model = language.learn(docs)
     kept = language.keep_identified(docs, model)
@@ -73,6 +136,42 @@ def test_trees_fit_steps_and_flat_traversal_is_exact():
     assert len(quality.grow(x, np.ones(600)).feature) == 0
 
 
+def plain_grow(x, y, trees):
+    """Boosted trees by loops over nodes, features and cuts; raw scores of the rows."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    raw = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        grad, hess = p - y, p * (1 - p)
+        parts = [np.arange(len(y))]
+        for _ in range(quality.DEPTH):
+            halves = []
+            for rows in parts:
+                g, h, best = grad[rows].sum(), hess[rows].sum(), (1e-6, None, None)
+                for f in range(x.shape[1]):
+                    for cut in edges[f]:
+                        left = x[rows, f] <= cut
+                        gl, hl = grad[rows][left].sum(), hess[rows][left].sum()
+                        if min(hl, h - hl) >= quality.LEAST / 4:
+                            gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, f, cut)
+                left = x[rows, best[1]] <= best[2] if best[1] is not None else np.ones(len(rows), bool)
+                halves += [rows[left], rows[~left]]
+            parts = halves
+        for rows in parts:
+            raw[rows] -= quality.RATE * grad[rows].sum() / (hess[rows].sum() + 1)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_trees_match_a_plain_learner(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 4)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.5 * x[:, 2] + rng.normal(scale=0.5, size=300) > 0.2).astype(float)
+    assert np.allclose(quality.grow(x, y).score(x), plain_grow(x, y, 4))
+
+
 def test_statistics_of_odd_texts(spark):
     for t in (None, "", " ", "a", "ü" * 100_000, "\n\n", "1 2 3"):
         assert len(quality.statistics(t)) == len(quality.FEATURES) and np.isfinite(quality.statistics(t)).all()
@@ -87,6 +186,13 @@ def plain_mulaw(b):
     return -size if b & 0x80 else size
 
 
+def plain_alaw(b):
+    b ^= 0x55
+    part, size = b >> 4 & 7, ((b & 15) << 4) + 8
+    size = size if part == 0 else (size + 256) << (part - 1)
+    return size if b & 0x80 else -size
+
+
 def plain_ima(block):
     sample, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [sample]
@@ -128,7 +234,28 @@ def test_texts_come_back_from_their_files(spark):
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stored = media.write_wav(payload, media.MULAW, 8000, 8)
+        assert stored[-len(payload) :] == payload and (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if len(payload) < 2000:
+            samples, alaw = [plain_mulaw(b) for b in payload], [plain_alaw(b) for b in payload]
+            adpcm = [x for k in range(0, len(payload), 576) for x in plain_ima(payload[k : k + 576])]
+            mean = lambda v: sum(map(abs, v)) // len(v)
+            changes = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+            pcm = zlib.crc32(media.resample(np.array(samples, np.int16), 8000, 16000).astype("<i2").tobytes())
+            assert r["feature"] == f"level={mean(samples)};peak={max(map(abs, samples))};changes={changes};alaw={mean(alaw)};adpcm={mean(adpcm)};pcm16k={pcm:08x}"
     assert rows[2]["feature"] == rows[7]["feature"] and rows[2]["media_sha256"] == rows[7]["media_sha256"]
+    clash = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, text string, content string, feature string")
+    assert media.texts_as_audio(clash).first()["n_bytes"] == 1 and media.texts_as_audio(clash.where("false")).count() == 0
+
+
+def test_texts_as_resampled_pcm(spark):
+    texts = ["", "abc " * 300, "\x7f"]
+    stored = media.audio_of_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in media.store_pcm(stored, "doc_id").collect():
+        payload = media.payload_of(texts[r["doc_id"]])[1]
+        _, rate, samples = media.decode_wav(r["pcm"])
+        assert rate == 16000 and r["n_samples"] == len(samples) == 2 * len(payload)
+        assert samples[::2].tolist() == [plain_mulaw(b) for b in payload]  # doubling the rate keeps the samples themselves
 
 
 def test_media_rows_of_all_kinds(spark):
@@ -191,11 +318,37 @@ def test_bpe_equals_the_library(spark, docs):
         assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False), repr(t)
 
 
+def test_bpe_equals_the_library_for_every_character():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    own = bpe.WordBpe(open(queries.TOKENIZER, encoding="utf-8").read())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shape in ("a{}a!{}!1", "á{}̣́"):
+        texts = [shape.format(c, c) for c in every]
+        for at in range(0, len(texts), 50_000):
+            some = texts[at : at + 50_000]
+            for text, found in zip(some, library.encode_batch(some, add_special_tokens=False)):
+                assert own.encode(text) == found.ids, ascii(text)
+
+
+def test_unknown_steps_are_refused():
+    spec = json.loads(open(queries.TOKENIZER, encoding="utf-8").read())
+    for part, value in (("normalizer", {"type": "NFKC"}), ("decoder", {"type": "ByteLevel"}), ("model", {**spec["model"], "byte_fallback": True}),
+                        ("pre_tokenizer", {"type": "Sequence", "pretokenizers": [{**spec["pre_tokenizer"]["pretokenizers"][0], "behavior": "Isolated"}, spec["pre_tokenizer"]["pretokenizers"][1]]})):
+        with pytest.raises(ValueError):
+            bpe.WordBpe(json.dumps({**spec, part: value}))
+    upper = bpe.WordBpe(json.dumps({**spec, "normalizer": None}))
+    assert upper.encode("A b") != upper.encode("a b") and upper.encode("a  b") == upper.encode("a b")
+
+
 def test_bpe_tables(spark):
     rows = spark.createDataFrame([(1, None), (2, "the cat"), (2, "the cat"), (3, "")], "doc_id long, text string")
     coded = bpe.encode(rows, queries.TOKENIZER)
     back = sorted((r["doc_id"], r["decoded"]) for r in bpe.decode(coded, queries.TOKENIZER).collect())
     assert back == [(1, ""), (2, "the</w> cat</w>"), (2, "the</w> cat</w>"), (3, "")]
     got = bpe.round_trip(rows, queries.TOKENIZER).collect()
+    clash = rows.withColumn("ids", F.lit("mine")).withColumn("decoded", F.lit("mine"))
+    assert bpe.round_trip(clash, queries.TOKENIZER).count() == 4 and bpe.encode_beside(rows.where("false"), queries.TOKENIZER).count() == 0
     assert {r["n_tokens"] for r in got} == {0, 2} and bpe.round_trip(rows.where("false"), queries.TOKENIZER).count() == 0
     assert json.loads(open(queries.TOKENIZER).read())["model"]["type"] == "BPE"
