@@ -7,13 +7,14 @@ average, far beyond any radius with a bearable number of tables, so min-hash ban
 is taken in BANDS * ROWS orders, and texts that agree in all ROWS orders of a band meet in a bucket. A pair of similarity
 s meets nowhere with chance (1 - s^ROWS)^BANDS, 5e-6 at 0.8, wherever in the text it differs.
 
-Texts that meet are compared by their sketches, a byte of each least hash; the share of equal bytes estimates the
-similarity with a deviation of 0.026 at 0.8. A pair is passed over only MARGIN = 4.5 deviations below the bound (3e-6).
-First each bucket gives a spanning forest of its most similar pairs; these pairs and those of the SimHash tables are
-confirmed by their sets, and their components found. Then all pairs of a bucket that lie in different components and
-whose estimate allows it are confirmed too. So every pair that meets and reaches the bound lies in one component, while
-a family that hangs together costs one pair a text. A family whose members mostly stay below the bound costs as many
-pairs as its members have with estimates near the bound.
+Texts that meet are compared in the task of their bucket: by their sets if both have EXACT shingles or fewer, else by
+their sizes and their sketches, a byte of each least hash. The share of equal bytes estimates the similarity with a
+deviation of 0.026 at 0.8; a pair is passed over only MARGIN = 4.5 deviations below the bound (3e-6). First each bucket
+gives a spanning forest of its most similar pairs; these pairs and those of the SimHash tables are confirmed by their
+sets, and their components found. Then the other pairs of a bucket that lie in different components and may reach the
+bound are confirmed too. So every pair that meets and reaches the bound lies in one component, while a family that hangs
+together costs one pair a text. Only a family of long texts whose members mostly stay just below the bound costs as many
+pairs as have estimates near it.
 
 A bucket of over LARGE texts is dealt by hash into parts of about LARGE, each its own task, for the forests; for the
 remaining pairs blocks of the texts outside the bucket's largest component meet each part. Nothing holds a whole bucket.
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 from gleanery.llm.columns import slices
 from gleanery.llm.components import roots
 from gleanery.llm.substrings import word_hashes
-from gleanery.session import materialise
+from gleanery.session import materialise, release
 
 BANDS, ROWS = 40, 6
 RADIUS = 4
 MARGIN = 4.5
-#: Texts of a bucket that are compared in one task.
-LARGE = 1_024
+#: Texts of a bucket that are compared in one task; shingles of a set that is kept beside its sketch.
+LARGE, EXACT = 1_024, 256
 #: Hashes that are put into all orders at once.
 CHUNK = 256
 _ODD = np.random.Generator(np.random.PCG64(42)).integers(0, 2**64, BANDS * ROWS + 64, np.uint64) | np.uint64(1)
@@ -80,15 +81,8 @@ def signs(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys, (spread >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def least_share(similarity: float) -> float:
-    """The share of equal sketch bytes below which a pair is passed over."""
-    n = BANDS * ROWS
-    low = similarity - MARGIN * (similarity * (1 - similarity) / n) ** 0.5
-    return low + (1 - low) / 256
-
-
 def texts_signed(texts: DataFrame, size: int) -> DataFrame:
-    """node, code (SimHash of the set), buckets and sketch of the texts (node, text); of equal texts in one task, one."""
+    """node, code (SimHash of the set), size, buckets, sketch and, if small, the set (four bytes a hash) of the texts (node, text); of equal texts in one task, one."""
     from gleanery.llm.simhash import majority
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,20 +91,23 @@ def texts_signed(texts: DataFrame, size: int) -> DataFrame:
             nodes = part.column(0).to_pylist()
             new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
             values = part.column(1).take(pa.array(new, pa.int64())).to_pylist()
-            codes, keys, sketches = [], [], []
+            codes, keys, sketches, sizes, small = [], [], [], [], []
             for hashes in shingle_sets(values, size):
                 bits = majority(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)) if len(hashes) else bytes(8)
                 codes.append(int.from_bytes(bits, "little", signed=True))
                 buckets, sketch = signs(hashes)
                 keys.append(buckets)
                 sketches.append(sketch)
+                sizes.append(len(hashes))
+                small.append((hashes >> np.uint64(32)).astype("<u4").tobytes() if len(hashes) <= EXACT else None)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in new], pa.int64()), pa.array(codes, pa.int64()), lists, pa.array(sketches, pa.binary())],
-                ["node", "code", "buckets", "sketch"])
+                [pa.array([nodes[i] for i in new], pa.int64()), pa.array(codes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary()),
+                 pa.array(small, pa.binary())],
+                ["node", "code", "size", "buckets", "sketch", "small"])
 
-    return texts.mapInArrow(run, "node long, code long, buckets array<long>, sketch binary")
+    return texts.mapInArrow(run, "node long, code long, size int, buckets array<long>, sketch binary, small binary")
 
 
 def sets_of(texts: DataFrame, size: int) -> DataFrame:
@@ -144,26 +141,57 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def sketches_of(part: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
-
-
-def equal_bytes(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.count_nonzero(sketches == one, axis=1)
-
-
-def spanning_forest(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """The pairs of a spanning forest of greatest shares of equal bytes, of those with this share at least."""
-    n, low = len(sketches), least * sketches.shape[1]
-    best, source, out, links = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool), []
+def common(sets: list[bytes]) -> np.ndarray:
+    """How many hashes each two of some sets share."""
+    lengths = [len(x) // 4 for x in sets]
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    values, at, n = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1  # hashes of one set alone are shared by none
+    shared = n[at] > 1
+    owner, at = owner[shared], place[at[shared]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4_096):
+        a, b = np.searchsorted(at, (low, low + 4_096))
+        held = np.zeros((len(sets), 4_096), np.float32)
+        held[owner[a:b], at[a:b] - low] = 1
+        out += held @ held.T
+    return out
+
+
+def likeness(part: pa.Table, similarity: float) -> np.ndarray:
+    """The similarity of each two rows (size, sketch, small): exact or estimated; -1 for those that can't reach the bound."""
+    size = part["size"].to_numpy().astype(np.float64)
+    sketches = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
+    out = np.empty((len(size), len(size)))
+    for i, one in enumerate(sketches):
+        out[i] = np.count_nonzero(sketches == one, axis=1)
+    out = (out / sketches.shape[1] - 1 / 256) / (1 - 1 / 256)
+    few, many = np.minimum.outer(size, size), np.maximum.outer(size, size)
+    out[(out < similarity - MARGIN * (similarity * (1 - similarity) / sketches.shape[1]) ** 0.5) | (few < similarity * many)] = -1
+    small = part["small"].to_pylist()
+    exact = np.array([i for i, x in enumerate(small) if x is not None], np.int64)
+    if len(exact) > 1:
+        both = common([small[i] for i in exact])
+        whole = np.add.outer(size[exact], size[exact]) - both
+        share = np.where(whole == 0, 1.0, both / np.maximum(whole, 1))
+        # Sets of the first 32 bits of their hashes: equal ones by chance may hide or feign a shingle or two.
+        out[np.ix_(exact, exact)] = np.where(share >= similarity - 2 / np.maximum(whole, 1), share, -1)
+    return out
+
+
+def spanning_forest(like: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of a spanning forest of greatest similarity, without those of -1."""
+    n = len(like)
+    best, source, out, links = np.full(n, -1.0), np.zeros(n, np.int64), np.ones(n, bool), []
     at = 0
     for _ in range(n - 1):
         out[at] = False
-        same = equal_bytes(sketches, sketches[at])
-        nearer = same > best
-        best[nearer], source[nearer] = same[nearer], at
+        nearer = like[at] > best
+        best[nearer], source[nearer] = like[at][nearer], at
         at = int(np.where(out, best, -2).argmax())
-        if best[at] >= low:
+        if best[at] >= 0:
             links.append((int(source[at]), at))
     return links
 
@@ -196,42 +224,38 @@ def groups(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """node and root of the components of near copies among texts (node, text), but for the roots themselves."""
     from gleanery.llm.simhash import links_within
 
-    low = least_share(similarity)
     signed = materialise(texts_signed(texts, size), "signs")
     rows = signed.select(F.explode("buckets").alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.min("node").alias("l"), F.max("node").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h")
-    met = materialise(rows.join(shared.select("bucket", "n"), "bucket").distinct(), "met")
-    entities = signed.select("node", "code", F.lit(None).cast("binary").alias("seal")).dropDuplicates(["node"])
-    covered = materialise(links_within(entities, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "covered")
-    wanted = met.select("node").union(covered.select("a")).union(covered.select("b")).distinct()
-    sets = materialise(sets_of(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), size), "sets")
-
-    sketched = met.join(signed.select("node", "sketch").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "node")
     parts = F.ceil(F.col("n") / LARGE)
-    placed = sketched.withColumn("part", F.pmod(F.xxhash64("bucket", "node"), parts)).withColumn("parts", parts)
-    placed = materialise(placed, "met-sketches")
+    met = rows.join(shared.select("bucket", "n"), "bucket").distinct()
+    met = materialise(met.select("bucket", "node", parts.alias("parts"), F.pmod(F.xxhash64("bucket", "node"), parts).alias("part")), "met")
+    codes = signed.groupBy("code").agg(F.min("node").alias("least"), F.max("node").alias("h"))
+    equal = signed.select("node", "code").join(codes.where("least <> h"), "code").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    close = links_within(codes.select(F.col("least").alias("node"), "code", F.lit(None).cast("binary").alias("seal")), RADIUS)
+    covered = materialise(equal.union(close.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "covered")
+    wanted = met.select("node").union(covered.select("a")).union(covered.select("b")).distinct()
+    sets = materialise(sets_of(texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi"), size), "sets")
+    sketches = signed.select("node", "size", "sketch", "small").dropDuplicates(["node"]).join(met.select("node").distinct(), "node", "left_semi")
+    sketches = materialise(sketches, "sketches")
 
     def forest(part: pa.Table):
-        links = np.array(spanning_forest(sketches_of(part), low), np.int64).reshape(-1, 2)
+        links = np.array(spanning_forest(likeness(part, similarity)), np.int64).reshape(-1, 2)
         return links[:, 0], links[:, 1]
 
-    first = pairs_in(placed.withColumn("deal", F.xxhash64("bucket", "part")), forest, "node sketch")
+    first = pairs_in(met.withColumn("deal", F.xxhash64("bucket", "part")).join(sketches, "node"), forest, "node size sketch small")
     first = materialise(first.union(covered).distinct(), "first-pairs")
     links = materialise(confirmed(first, sets, similarity), "links")
 
     def apart(part: pa.Table):
-        sketches, root, asks = sketches_of(part), part["root"].to_numpy(), part["asks"].to_numpy()
-        found = []
-        here = np.flatnonzero(asks == 0)
-        for i in np.flatnonzero(asks == 1).tolist():
-            some = here[root[here] != root[i]]
-            near = some[equal_bytes(sketches[some], sketches[i]) >= low * sketches.shape[1]]
-            found.append(np.stack([np.full(len(near), i), near], axis=1))
-        links = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return links[:, 0], links[:, 1]
-
-    rooted = placed.join(roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted, "rooted")
+        root, asks = part["root"].to_numpy(), part["asks"].to_numpy() == 1
+        if asks.all() or not asks.any():
+            return [], []
+        near = (likeness(part, similarity) >= 0) & asks[:, None] & ~asks[None, :] & (root[:, None] != root[None, :])
+        return np.nonzero(near)
+
+    hung = roots(links)
+    rooted = materialise(met.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     most = counts.groupBy("bucket").agg(
         F.max_by("root", F.struct("k", "root")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all")).where("k < all")
@@ -240,6 +264,8 @@ def groups(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     there = rest.withColumn("asks", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     ask = rest.where("root <> most").withColumn("asks", F.lit(1)).withColumn("block", block)
     ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    keep = ["node", "sketch", "root", "asks", F.xxhash64("bucket", "part", "block").alias("deal")]
-    late = pairs_in(there.select(*keep).union(ask.select(*keep)), apart, "node sketch root asks")
-    return roots(links.union(confirmed(late, sets, similarity)))
+    keep = ["node", "root", "asks", F.xxhash64("bucket", "part", "block").alias("deal")]
+    late = pairs_in(there.select(*keep).union(ask.select(*keep)).join(sketches, "node"), apart, "node size sketch small root asks")
+    found = roots(links.union(confirmed(late, sets, similarity)))
+    release(close.near, signed, met, covered, sets, sketches, first, links, rooted, hung)
+    return found

@@ -1,6 +1,6 @@
 """The pipeline stage by stage on the smallest tables, each against its input."""
 
-from gleanery.session import materialise
+from gleanery.session import materialise, release_new, written
 
 import corpus_pipeline
 
@@ -23,6 +23,28 @@ def test_stages_hand_on_documents(spark):
     assert docs.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_run_gives_the_rows_of_its_stages(spark):
+    before = written()
+    rows = corpus_pipeline.run(spark, SF).select("doc_id", "source", "n_tokens", "ids").collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), name)
+    key = lambda r: (r["doc_id"], str(r["source"]), r["ids"])
+    assert sorted(map(key, rows)) == sorted(map(key, docs.collect())) and len(rows) > 150
+    release_new(spark, before)
+    assert written() == before
+
+
+def test_stages_over_no_rows_and_over_odd_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty = docs.where("false")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "x " * 50_000, None, None, 1), (7, "x " * 50_000, None, None, 1)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and (name == "tokens" or out.columns == corpus_pipeline.COLUMNS)
+        assert stage(spark, odd, SF).collect() is not None
+
+
 def test_copies_and_repeats_of_planted_documents(spark):
     words = [f"w{i}" for i in range(120)]
     passage = [f"p{i}" for i in range(60)]
