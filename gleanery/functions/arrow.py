@@ -6,10 +6,27 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the named string column holds about limit bytes in each; a longer text stands alone."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for i, size in enumerate(lengths.tolist()):
+            if held and held + size > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        yield batch.slice(start, n - start)
+
+
 def scalar(function: Callable, kind: str):
     """An iterator pandas function of one string column; null goes in as None."""
 
@@ -30,7 +47,7 @@ def generate(rows: DataFrame, keys: list[str], texts: list[str], function: Calla
     names = [*keys, *(f for f, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, n):
             at, values = [], []
             for i, parts in enumerate(zip(*(batch.column(n + k).to_pylist() for k in range(len(texts))), strict=True)):
                 for row in function(*parts):

@@ -12,10 +12,29 @@ from dataclasses import dataclass, field
 
 # Languages by file ending, and those of which only the presence is told.
 LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "javascript",
-    ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp",
-    ".html": "html", ".css": "css", ".ipynb": "notebook"}
-BARE = frozenset({"html", "css"})
+    ".py": "python",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".java": "java",
+    ".c": "c",
+    ".h": "cpp",
+    ".cc": "cpp",
+    ".cpp": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".hxx": "cpp",
+    ".toml": "toml",
+    ".html": "html",
+    ".css": "css",
+}
+BARE = frozenset({"toml", "html", "css"})
+#: Endings beside those.
+LANGUAGES |= {".pyi": "python", ".mts": "typescript", ".cts": "typescript", ".ipynb": "notebook"}
 LONGEST_UNIT, WINDOW_LINES = 120, 80
 COMMENT_STARTS = ("#", "//", "/*", "*", "*/", "@")
 
@@ -258,9 +277,15 @@ def supertypes(signature: str) -> list[str]:
 
 
 def skeleton_diff(old: Skeleton, new: Skeleton) -> list[str]:
-    """Lines + and - for imports and symbols, ~ for changed signatures."""
-    out = [f"- import {x}" for x in old.imports if x not in new.imports] + [f"+ import {x}" for x in new.imports if x not in old.imports]
-    a, b = ({(s[0], s[2], s[1]): s[3] for s in k.symbols} for k in (old, new))
-    name = lambda k: f"{k[0]} {k[1] + '.' if k[1] else ''}{k[2]}"
-    out += [f"- {name(k)}" for k in a if k not in b] + [f"+ {name(k)}" for k in b if k not in a]
-    return out + [f"~ {name(k)}: {a[k]} -> {b[k]}" for k in b if k in a and a[k] != b[k]]
+    """What changed in shape: + and - for imports (deferred ones count) and for symbols, then symbols of another signature."""
+
+    def named(kind: str, name: str, parent: str) -> str:
+        return f"{kind} {parent}.{name}" if parent else f"{kind} {name}"
+
+    def changes(before, after, label) -> list[str]:
+        return [f"{sign} {label(x)}" for sign, some in (("+", after - before), ("-", before - after)) for x in sorted(some)]
+
+    a, b = ({s[:3]: s[3] for s in k.symbols} for k in (old, new))
+    out = changes({*old.imports, *old.deferred}, {*new.imports, *new.deferred}, lambda x: f"import {x}")
+    out += changes(set(a), set(b), lambda x: named(*x))
+    return out + [f"signature changed: {named('', *x[1:]).strip()}" for x in sorted(set(a) & set(b)) if a[x] != b[x]]

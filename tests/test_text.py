@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.functions import markdown
 from gleanery.functions import text as T
 from gleanery.functions import units
 from gleanery.operators import windows
@@ -63,7 +64,7 @@ def test_cleaning(spark):
     assert one(spark, T.doi("text"), "see 10.1000/xyz123.") == "10.1000/xyz123" and one(spark, T.arxiv("text"), "arXiv:2401.01234v2") == "2401.01234"
     assert str(one(spark, T.source_date("text"), "D:20240229120000")) == "2024-02-29" and one(spark, T.source_date("text"), "2023-02-30") is None
     assert one(spark, T.balanced("text"), "[[a]] $$x$$ `[[`") and not one(spark, T.balanced("text"), "[[a $$x")
-    assert one(spark, T.section_kind("text"), "## 7 References\nx") == "references" and one(spark, T.section_kind("text"), "# Intro\nx") == ""
+    assert markdown.section_kind("## 7 References\nx") == "references" and markdown.section_kind("# Intro\nx") == ""
 
 
 def test_sections_carry_offsets_lines_and_titles(spark):
@@ -99,3 +100,42 @@ def test_several_windows_are_disjoint_and_in_order(spark):
     found = [r["w"] for r in windows.with_windows(rows, "text", [("alpha", 1.0)], 100, 3, "w").collect()]
     assert len(found[0]) == 2 and found[0] == sorted(found[0]) and found[0][1] - found[0][0] >= 100
     assert found[1:] == [[0], [0]]
+
+
+def test_html_blocks():
+    page = """<head><title>no</title></head><body><h2>A  <b>b</b></h2>x<img alt="fig 1" src="a.png">y<img alt="12"><ul><li>one</li><li>two<br>more</li></ul>
+    <table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td></td><td>2 &amp; 3</td></tr></table><pre>a
+      b</pre><script>if (1 < 2) {}</script><p>end</p></body>"""
+    assert markdown.html_to_markdown(page) == "## A b\n\nx\n\n[image: fig 1]\n\ny\n\n- one\n- two more\n\nk | v\n1 | 2 & 3\n\n```\na\n      b\n```\n\nend"
+    assert markdown.html_to_markdown(None) == markdown.html_to_markdown("<p> </p>") == ""
+
+
+def test_captions_break_at_pauses_only_if_asked():
+    cues = "WEBVTT\n\n00:00.000 --> 00:02.000\n<v A>one &amp; two\n\n1\n00:02.000 --> 00:03.000\none & two\nthree\n\n01:00:08.000 --> 01:00:09.000\nfour"
+    assert markdown.vtt_to_text(cues) == "one & two\nthree\nfour" and markdown.vtt_to_text(cues, 2.0) == "one & two\nthree\n\nfour"
+
+
+def test_apparatus_sections():
+    kinds = {
+        "## 7. **References**\nx": "references", "# Works  Cited": "references", "### riferimenti bibliografici": "references", "# Contents": "boilerplate", "# NeurIPS Paper Checklist": "boilerplate",
+        "## 1. Claims\nQuestion: q\nAnswer: [Yes]\nJustification: j": "boilerplate", "text\n**Answer**: [ N/A ]\n**Justification**: j": "boilerplate", "## Guidelines:\nThe answer  NA means": "boilerplate",
+        "# Intro\n# References": "", "Answer: [Yes]": "", "# References and notes": "", "x" * 700 + "\nAnswer: [Yes]\nJustification: j": "", "": ""}
+    assert {k: markdown.section_kind(k) for k in kinds} == kinds and markdown.section_kind(None) == ""
+
+
+def test_cleaning_keeps_all_parts_of_a_link(spark):
+    note = "---\na: b\n---\ncaf&eacute; &#8212; [[A|b#c|d]] [t](u) ![[clip.mp4]] ![[doc.PDF|300]] www.x.y/z ^abcd12 a|b"
+    assert one(spark, T.clean_body("text", True), note).split() == ["café", "—", "A", "b", "c", "d", "t", "u", "a|b"]
+    assert one(spark, T.imbalances("text"), "``` [[a $$x ==") == ["unclosed code fence", "unbalanced $$ block", "unbalanced == highlight", "unbalanced [[wikilink]]"]
+    assert one(spark, T.unescape_newlines("text"), "a\\r\\nb\\tc") == "a\nb\tc"
+
+
+def test_language_map_and_shape_changes():
+    from gleanery.functions import code
+
+    assert [code.language_for(x) for x in ("a.h", "a.cxx", "b.HH", "c.hxx", "d.toml", "e.c", "f.pyi", "g.rs")] == ["cpp", "cpp", "cpp", "cpp", "toml", "c", "python", None]
+    assert code.skeleton("x = 1", "toml").symbols == []
+    old = code.skeleton("import os\nclass A:\n    def f(self):\n        pass\n\n\ndef gone():\n    pass\n", "python")
+    new = code.skeleton("import sys\nclass A:\n    def f(self, x):\n        import json\n\n    def g(self):\n        pass\n", "python")
+    assert code.skeleton_diff(old, new) == ["+ import json", "+ import sys", "- import os", "+ method A.g", "- function gone", "signature changed: A.f"]
+    assert code.skeleton_diff(old, old) == []
