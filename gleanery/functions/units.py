@@ -10,22 +10,23 @@ from gleanery.functions import text as T
 HEADING_CUT = r"(?md)^(?=#{1,4} )"
 
 
-def _with_offsets(parts: Column) -> Column:
-    """(offset, text) of parts that stand end to end."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<off:int,text:string>>").alias("out"))
-    return F.aggregate(parts, start, lambda acc, p: F.struct(
-        (acc["at"] + F.length(p)).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(acc["at"].alias("off"), p.alias("text")))).alias("out")), lambda acc: acc["out"])
+def before_each(numbers: Column) -> Column:
+    """For each of an array of numbers the sum of those before it."""
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(numbers, start, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")), lambda acc: acc["out"])
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, off, text, title, line of every part that a heading of level 1 to 4 begins, and of a preamble; blank parts go."""
-    parts = F.split(T.text_of(text), HEADING_CUT)
-    rows = docs.select(key, F.col(text).alias("_whole"), F.explode(_with_offsets(parts)).alias("p")).select(key, "_whole", "p.off", F.col("p.text").alias("text"))
+    rows = docs.select(key, F.split(T.text_of(text), HEADING_CUT).alias("_parts"))
+    rows = rows.withColumn("_off", before_each(F.transform("_parts", lambda p: F.length(p))))
+    rows = rows.withColumn("_line", before_each(F.transform("_parts", lambda p: F.regexp_count(p, F.lit("\n")))))
+    rows = rows.select(key, F.explode(F.arrays_zip("_off", "_parts", "_line")).alias("p")).select(
+        key, F.col("p._off").alias("off"), F.col("p._parts").alias("text"), (F.col("p._line") + 1).cast("long").alias("line"))
     rows = rows.where(F.length(F.trim(F.regexp_replace("text", r"\s", " "))) > 0)
     first = F.regexp_extract("text", r"(?d)^([^\n]*)", 1)
     title = F.when(first.rlike(r"^#{1,4} "), F.trim(F.regexp_replace(first, r"^#+", ""))).otherwise("")
-    return rows.select(key, "off", "text", title.alias("title"), line_at(F.col("_whole"), F.col("off")).alias("line"))
+    return rows.select(key, "off", "text", title.alias("title"), "line")
 
 
 def line_at(text: Column, offset: Column) -> Column:
@@ -41,10 +42,14 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def terms(units: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
-    """keys, term, tf and dl: dl counts every emitted token, so it is known before the rows spread."""
-    rows = units.select(*keys, tokens.alias("_tokens"))
-    rows = rows.select(*keys, F.size("_tokens").cast("long").alias("dl"), F.explode("_tokens").alias("term"))
-    return rows.groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """keys, term, tf and dl: dl counts every emitted token. A unit's tokens are sorted and counted in place, so nothing is shuffled."""
+    rows = units.select(*keys, F.sort_array(tokens).alias("_sorted"))
+    rows = rows.withColumn("_starts", F.when(F.size("_sorted") > 0, F.filter(
+        F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))))
+    counted = F.transform("_starts", lambda i, n: F.struct(
+        F.get("_sorted", i).alias("term"), (F.coalesce(F.get("_starts", n + 1), F.size("_sorted")) - i).cast("long").alias("tf")))
+    rows = rows.select(*keys, F.size("_sorted").cast("long").alias("dl"), F.explode(counted).alias("t"))
+    return rows.select(*keys, "dl", "t.term", "t.tf")
 
 
 def embedding_text(stem: Column, title: Column, text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import units
+from gleanery.session import materialise
 
 K1, B = 1.5, 0.75
 MAX_QUERY_TERMS = 200_000
@@ -43,11 +44,12 @@ class Index:
 
 
 def index(docs: DataFrame, key: str, tokens: Column) -> Index:
-    rows = docs.select(key, tokens.alias("_tokens"))
-    documents = rows.select(key, F.size("_tokens").cast("long").alias("dl"))
-    postings = units.terms(docs, [key], tokens)
+    """The index of docs, its postings written to the shared folder: each text is cut into tokens once, whatever reads them."""
+    documents = docs.select(key, F.size(tokens).cast("long").alias("dl"))
+    postings = materialise(units.terms(docs, [key], tokens), "postings")
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = documents.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    n = docs.count()
+    stats = postings.agg(F.lit(n).alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(n, 1)))).alias("avgdl"))
     return Index(key, postings, documents, frequencies, stats)
 
 
@@ -113,16 +115,15 @@ def pool_size(k: int) -> int:
     return max(3 * k, 10)
 
 
-def score_sections(section_terms: DataFrame, pool: DataFrame, weights: DataFrame, keys: list[str], broadcast_pool: bool = True) -> DataFrame:
+def score_sections(section_terms: DataFrame, pool: DataFrame, weights: DataFrame, keys: list[str], lengths: DataFrame | None = None) -> DataFrame:
     """qid, keys, score, matched, mass of the sections (keys, dl, term, tf) in each query's pool (qid and the first key).
 
-    The weight of a term is the corpus's, the average length that of the sections in the query's pool. A pool has a few
-    rows for each query; for more queries than MAX_QUERY_TERMS pass broadcast_pool=False.
+    The weight of a term is the corpus's, the average length that of the sections in the query's pool: of lengths (keys,
+    dl), or of the sections that section_terms has.
     """
-    wanted = pool.select("qid", keys[0])
-    wanted = F.broadcast(wanted) if broadcast_pool else wanted
     owner = keys[0]
-    lengths = section_terms.select(*keys, "dl").distinct()
+    wanted = pool.select("qid", owner)
+    lengths = section_terms.select(*keys, "dl").distinct() if lengths is None else lengths
     pooled = lengths.join(wanted, owner)
     mean = pooled.groupBy("qid").agg(F.avg("dl").alias("pool_avgdl"))
     known = weights.where("df > 0")

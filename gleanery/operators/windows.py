@@ -6,6 +6,8 @@ walk from the start of the text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +24,23 @@ def density(part: Column, terms: Terms | Column) -> Column:
 
 
 def with_densities(rows: DataFrame, text: str, terms: Terms | Column, width: int, out: str) -> DataFrame:
-    """rows with an array of struct(hits, back) of all windows: back is the start offset with its sign turned."""
+    """rows with an array of struct(hits, back) of all windows: back is the start offset with its sign turned.
+
+    A text without any of the terms has just its first window.
+    """
     step = max(1, width // 4)
-    pieces = f"_{out}_pieces"
-    rows = rows.withColumn(pieces, F.regexp_extract_all(F.lower(T.text_of(text)), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    pieces, low = f"_{out}_pieces", f"_{out}_low"
+    rows = rows.withColumn(low, F.lower(T.text_of(text)))
+    holds = F.exists(terms, lambda t: F.contains(F.col(low), t["term"])) if isinstance(terms, Column) else reduce(
+        Column.__or__, (F.contains(F.col(low), F.lit(t)) for t, _ in terms), F.lit(False))
+    rows = rows.withColumn(pieces, F.when(holds, F.regexp_extract_all(low, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))))
     count = F.floor((F.greatest(F.lit(1), F.length(text) - width) + (step - 1)) / step).cast("int") + 1
     at = lambda i: F.coalesce(F.get(F.col(pieces), i), F.lit(""))
     full, rest = divmod(width, step)
     window = lambda i: F.concat(*(at(i + k) for k in range(full)), *([F.substring(at(i + full), 1, rest)] if rest else []))
     tried = F.transform(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1), lambda i: F.struct(density(window(i), terms).alias("hits"), (-i * step).alias("back")))
-    return rows.withColumn(out, tried).drop(pieces)
+    first = F.array(F.struct(F.lit(0.0).alias("hits"), F.lit(0).alias("back")))
+    return rows.withColumn(out, F.when(F.col(pieces).isNotNull(), tried).otherwise(first)).drop(pieces, low)
 
 
 def with_densest(rows: DataFrame, text: str, terms: Terms | Column, width: int, off: str = "off", hits: str = "hits") -> DataFrame:

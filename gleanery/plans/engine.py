@@ -1,14 +1,20 @@
 """Engine: one object over a corpus of notes and code that answers searches, reads, inventories, links and packs.
 
 The corpus is a table notes (path, mtime, text) and optionally sources (path, text), no_text (path, mtime, reason),
-failures (path, reason) and vectors (path, off, mtime, v). The index is three tables in a folder, written by path; a
-refresh recomputes only what changed.
+failures (path, reason) and vectors (path, off, mtime, v).
+
+The index is a list of segments in a folder. A build writes one more segment with the rows of new and changed paths and
+a list of the paths whose rows in earlier segments are dead; a small file, replaced at once, names the segments. After
+MAX_SEGMENTS builds they are merged. Postings stand in ranges of terms, so a search reads the row groups of its own
+terms. Raw links are stored beside them; those of changed notes alone are parsed again. One build runs at a time.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +23,11 @@ from gleanery.functions import code, markdown, units
 from gleanery.functions import text as T
 from gleanery.functions.arrow import generate
 from gleanery.operators import codegraph, files, fusion, lexical, links, refresh, windows
-from gleanery.session import prepare
+from gleanery.session import only_writer, prepare, read_text, remove_shared, replace_text
 
-VERSIONS = {"tokenizer": T.TOKENIZER_VERSION, "graph": 5, "layout": 1}
+VERSIONS = {"tokenizer": T.TOKENIZER_VERSION, "graph": 5, "layout": 2}
+MAX_SEGMENTS = 8
+LINKS = [("kind", "string"), ("target", "string"), ("scaffold", "boolean")]
 
 
 class EngineError(Exception):
@@ -47,14 +55,23 @@ class Engine:
         code_files = self.sources.select("path", F.lit(0.0).alias("mtime"), "text", F.lit(True).alias("is_code"))
         return self.notes.select("path", F.col("mtime").cast("double").alias("mtime"), "text", F.lit(False).alias("is_code")).unionByName(code_files)
 
-    def _stored(self, name: str) -> DataFrame | None:
-        try:
-            meta = self.spark.read.json(f"{self.index_dir}/meta").first()
-            if meta is None or json.loads(meta["versions"]) != VERSIONS:
-                return None
-            return self.spark.read.parquet(f"{self.index_dir}/{meta['generation']}/{name}")
-        except Exception:  # noqa: BLE001  no index yet, or one that can't be read: it is built anew
+    def _meta(self) -> dict | None:
+        """segments, retired, n and avgdl of the index, null if there is none of these versions."""
+        content = read_text(self.spark, f"{self.index_dir}/meta.json")
+        meta = json.loads(content) if content else None
+        return meta if meta and meta["versions"] == VERSIONS else None
+
+    def _stored(self, name: str, meta: dict | None = None) -> DataFrame | None:
+        """The live rows of a table of the index: those of each segment without the paths that a later one declares dead."""
+        meta = meta or self._meta()
+        if meta is None:
             return None
+        read = lambda segment, table: self.spark.read.parquet(f"{self.index_dir}/{segment}/{table}")
+        parts = []
+        for i, segment in enumerate(meta["segments"]):
+            rows, later = read(segment, name), [read(x, "dead") for x in meta["segments"][i + 1 :]]
+            parts.append(rows.join(reduce(DataFrame.union, later).distinct(), "path", "left_anti") if later else rows)
+        return reduce(DataFrame.unionByName, parts)
 
     def _changes(self) -> DataFrame:
         stamps = self._stored("stamps")
@@ -63,7 +80,7 @@ class Engine:
         return refresh.changes(self._live().select("path", "mtime"), stamps.select("path", "mtime"))
 
     def state(self) -> dict:
-        row = refresh.state(self._changes(), self._stored("stamps") is not None).first()
+        row = refresh.state(self._changes(), self._meta() is not None).first()
         return {"state": row["state"], "pending": row["pending"]}
 
     def _documents(self, live: DataFrame) -> DataFrame:
@@ -81,40 +98,63 @@ class Engine:
         return both.withColumn("key", F.when(F.col("is_code"), F.concat_ws("#", "path", F.col("off").cast("string"))).otherwise(F.col("path")))
 
     def build(self, rebuild: bool = False) -> dict:
-        """Bring the index up to the live files; unchanged paths keep their rows. The old generation serves until the new one is whole."""
-        import uuid
-
+        """Bring the index up to the live files; unchanged paths keep their rows. The old segments serve until the new one is whole."""
+        with only_writer(self.spark, f"{self.index_dir}/lock") as mine:
+            if not mine:
+                raise EngineError("changed", "another build of this index is running")
+            return self._build(rebuild)
+
+    def _build(self, rebuild: bool) -> dict:
+        meta = self._meta()
+        kept = None if rebuild else meta
+        for segment in (meta or {}).get("retired", []):
+            remove_shared(self.spark, f"{self.index_dir}/{segment}")
         changed = self._changes().cache()
-        kept = None if rebuild else self._stored("stamps")
+        counts = {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
+        told = {"changed": counts.get("new", 0) + counts.get("changed", 0), "gone": counts.get("gone", 0)}
+        if kept is not None and not any(told.values()):
+            changed.unpersist()
+            return told
         live = self._live()
         todo = live if kept is None else live.join(changed.where("change IN ('new', 'changed')").select("path"), "path", "left_semi")
+        dead = changed.where("change IN ('changed', 'gone')").select("path")
         docs, sections = self._documents(todo), self._sections(todo)
-        tables = {
+        segment = uuid.uuid4().hex
+        self._write(segment, {
             "postings": units.terms(docs, ["key", "path"], T.index_tokens("text")),
             "documents": docs.select("key", "path", F.size(T.index_tokens("text")).cast("long").alias("dl"), "is_code"),
             "section_terms": units.terms(sections, ["key", "path", "off"], T.index_tokens("text")),
-            "sections": sections.select("key", "path", "off", "title", "text", "is_code"),
+            "sections": sections.select("key", "path", "off", "title", "text", "is_code", F.size(T.index_tokens("text")).cast("long").alias("dl")),
             "stamps": todo.select("path", "mtime"),
-        }
-        generation = uuid.uuid4().hex
-        same = changed.where("change = 'same'").select("path")
-        for name, fresh in tables.items():
-            if kept is not None:
-                fresh = self._stored(name).join(same, "path", "left_semi").unionByName(fresh)
-            fresh.write.parquet(f"{self.index_dir}/{generation}/{name}")
-        meta = [(generation, json.dumps(VERSIONS))]
-        self.spark.createDataFrame(meta, "generation string, versions string").coalesce(1).write.mode("overwrite").json(f"{self.index_dir}/meta")
-        counts = {r["change"]: r["count"] for r in changed.groupBy("change").count().collect()}
+            "links": self._parsed_links(todo.where(~F.col("is_code"))),
+            "dead": dead if kept is not None else dead.where("false"),
+        })
+        new = {"versions": VERSIONS, "segments": [*(kept["segments"] if kept else []), segment], "retired": [] if kept or not meta else meta["segments"]}
+        if len(new["segments"]) > MAX_SEGMENTS:
+            merged = uuid.uuid4().hex
+            names = ("postings", "documents", "section_terms", "sections", "stamps", "links")
+            self._write(merged, {name: self._stored(name, new) for name in names} | {"dead": dead.where("false")})
+            new |= {"segments": [merged], "retired": new["segments"]}
+        n, total = self._stored("documents", new).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        replace_text(self.spark, f"{self.index_dir}/meta.json", json.dumps(new | {"n": n, "avgdl": total / n if n else 1.0}))
         changed.unpersist()
-        return {"changed": counts.get("new", 0) + counts.get("changed", 0), "gone": counts.get("gone", 0)}
-
-    def _index(self) -> lexical.Index:
-        postings, documents = self._stored("postings"), self._stored("documents")
-        if postings is None:
+        return told
+
+    def _write(self, segment: str, tables: dict[str, DataFrame]) -> None:
+        for name, rows in tables.items():
+            if "term" in rows.columns:  # ranges of terms, those of a very common one cut by key
+                rows = rows.repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+            rows.write.parquet(f"{self.index_dir}/{segment}/{name}")
+
+    def _index(self, terms: Sequence[str]) -> lexical.Index:
+        """The part of the index that knows these terms."""
+        meta = self._meta()
+        if meta is None:
             raise EngineError("index_cold")
+        postings = self._stored("postings", meta).where(F.col("term").isin(*terms) if terms else F.lit(False))
         frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        stats = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-        return lexical.Index("key", postings, documents, frequencies, stats)
+        stats = self.spark.range(1).select(F.lit(meta["n"]).alias("n"), F.lit(float(meta["avgdl"])).alias("avgdl"))
+        return lexical.Index("key", postings, self._stored("documents", meta), frequencies, stats)
 
     # Search ---------------------------------------------------------------------------------------
 
@@ -125,9 +165,10 @@ class Engine:
             self.build()
             state = self.state()
         groups = [query, *(q for q in queries if q.strip())]
-        ix = self._index()
         asked = self.spark.createDataFrame(list(enumerate(groups)), "grp int, text string")
         grouped = lexical.query_terms(asked, "grp", T.index_tokens("text")).cache()
+        terms = sorted({r["term"] for r in grouped.collect()})  # those of one query
+        ix = self._index(terms)
         whole = grouped.select(F.lit(0).alias("qid"), "term").distinct()
         weights = lexical.weigh(ix, whole).cache()
         known = weights.where("df > 0").select("term", "df", "idf")
@@ -152,7 +193,7 @@ class Engine:
                 "key", "path", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), "fused")
         order = order.withColumn("qid", F.lit(0)).cache()
         pool = lexical.top(order, lexical.pool_size(k), [F.desc("fused"), F.asc("key")]).cache()
-        hits = self._hits(pool, by_group, weights, groups, dense, k, per_doc, width, mass)
+        hits = self._hits(pool, by_group, weights, groups, dense, k, per_doc, width, terms)
         idf = {r["term"]: r["idf"] for r in known.collect()}  # the query's own terms
         share = lambda matched: round(sum(idf.get(t, 0.0) for t in matched) / mass, 2)
         found_paths = {h["path"] for h in hits}
@@ -189,11 +230,14 @@ class Engine:
         found = fusion.cosine(vectors.withColumn("v", fusion.unit(F.col("v"))).withColumn("at", F.struct("path", "off", "is_code")), q, "at", "path", "v")
         return found.select(F.when(F.col("at.is_code"), F.concat_ws("#", "at.path", F.col("at.off").cast("string"))).otherwise(F.col("at.path")).alias("key"), F.col("at.path").alias("path"), F.col("at.off").alias("off"), "cosine")
 
-    def _hits(self, pool, by_group, weights, groups, dense, k, per_doc, width, mass) -> list[dict]:
-        section_terms, sections = self._stored("section_terms"), self._stored("sections")
+    def _hits(self, pool, by_group, weights, groups, dense, k, per_doc, width, terms) -> list[dict]:
+        meta = self._meta()
+        section_terms, sections = self._stored("section_terms", meta), self._stored("sections", meta)
+        section_terms = section_terms.where(F.col("term").isin(*terms) if terms else F.lit(False))
         keys = ["key", "path", "off"]
+        lengths = sections.where("dl > 0").select(*keys, "dl")
         wanted = pool.select("qid", "key")
-        scored = lexical.score_sections(section_terms, wanted, weights, keys)
+        scored = lexical.score_sections(section_terms, wanted, weights, keys, lengths)
         by = [F.desc("score"), F.asc("path"), F.asc("off")]
         if dense is not None:
             near = dense.join(wanted.select("key"), "key", "left_semi").select(F.lit(0).alias("qid"), *keys, "cosine")
@@ -205,13 +249,16 @@ class Engine:
         else:
             at = F.struct(*keys)
             group_pool = by_group.select("qid").distinct().crossJoin(F.broadcast(wanted.select("key")))
-            lists = [fusion.ranked(lexical.score_sections(section_terms, group_pool, by_group, keys).withColumn("at", at), "bm25", "at", [F.desc("score"), F.asc("at")]).withColumn("qid", F.lit(0))]
+            lists = [fusion.ranked(lexical.score_sections(section_terms, group_pool, by_group, keys, lengths).withColumn("at", at), "bm25", "at", [F.desc("score"), F.asc("at")]).withColumn("qid", F.lit(0))]
             if dense is not None:
                 lists.append(fusion.ranked(near.withColumn("at", at), "dense", "at", [F.desc("cosine"), F.asc("at")]))
             fused = fusion.rrf(lists, "at").select("at", "fused")
             ranked, order = scored.withColumn("at", at).join(fused, "at").drop("at"), [F.desc("fused"), F.asc("path"), F.asc("off")]
         best = lexical.cap(ranked, "path", per_doc, k, order)
-        rows = best.join(sections, keys).join(self._live().select("path", F.col("text").alias("_whole")), "path")
+        best = best.cache()
+        found = [r["path"] for r in best.select("path").distinct().collect()]  # k at most
+        live = self._live().where(F.col("path").isin(*found) if found else F.lit(False))
+        rows = best.join(sections.drop("dl"), keys).join(live.select("path", F.col("text").alias("_whole")), "path")
         idf = [(r["term"], r["idf"]) for r in weights.where("df > 0").collect()]
         asked = self.spark.range(1).select(T.window_terms(F.lit(" ".join(groups))).alias("t")).first()["t"]
         lookup = dict(idf)
@@ -268,11 +315,22 @@ class Engine:
         page, following = files.page(rows.where(F.col("status") == status) if status else rows, limit, cursor)
         return {"files": [r.asDict() for r in page.collect()], "counts": counts, "next_cursor": following}
 
+    def _parsed_links(self, notes: DataFrame) -> DataFrame:
+        """path, target, scaffold of notes; those without any mark of a link are never parsed."""
+        marked = notes.where(F.col("text").rlike(r"\[|<|ADR-|&#|&l")).select("path", "text")
+        rows = generate(marked, ["path"], ["text"], lambda t: markdown.link_rows(t), LINKS)
+        return rows.where("kind = 'link'").select("path", "target", "scaffold")
+
     def raw_links(self) -> DataFrame:
-        """src, target, scaffold of all notes; notes without any mark of a link are never parsed."""
-        marked = self.notes.where(F.col("text").rlike(r"\[|<|ADR-|&#|&l"))
-        rows = generate(marked, ["path"], ["text"], lambda t: markdown.link_rows(t), [("kind", "string"), ("target", "string"), ("scaffold", "boolean")])
-        return rows.where("kind = 'link'").select(F.col("path").alias("src"), "target", "scaffold")
+        """src, target, scaffold of all notes: stored ones of unchanged notes, and those of new and changed notes."""
+        meta, notes = self._meta(), self.notes
+        if meta is None:
+            rows = self._parsed_links(notes)
+        else:
+            changed = self._changes()
+            fresh = notes.join(changed.where("change IN ('new', 'changed')").select("path"), "path", "left_semi")
+            rows = self._stored("links", meta).join(changed.where("change = 'same'").select("path"), "path", "left_semi").unionByName(self._parsed_links(fresh))
+        return rows.withColumnRenamed("path", "src")
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         resolved = links.resolve(self.raw_links(), self.notes.select("path"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +106,55 @@ def write_shared_bytes(spark: SparkSession, label: str, content: bytes) -> str:
     return str(fs.makeQualified(path).toString())
 
 
+def path_of(spark: SparkSession, name: str):
+    """A Hadoop path and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, name: str) -> str | None:
+    """The content of a small file, null if there is none."""
+    path, fs = path_of(spark, name)
+    return spark.read.text(name, wholetext=True).first()[0] if fs.exists(path) else None
+
+
+def replace_text(spark: SparkSession, name: str, content: str) -> None:
+    """Write a small file whole under another name and move it into place at once."""
+    jvm = spark.sparkContext._jvm
+    new, fs = path_of(spark, f"{name}.{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = overwrite
+    place, _ = path_of(spark, name)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(place), options)
+
+
+@contextlib.contextmanager
+def only_writer(spark: SparkSession, name: str, stale_s: float = 6 * 3600) -> Iterator[bool]:
+    """Whether this application made the lock file and so is the one writer; a lock older than stale_s seconds is taken over."""
+    path, fs = path_of(spark, name)
+    if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_s:
+        fs.delete(path, False)
+    fs.mkdirs(path.getParent())
+    try:
+        mine = fs.createNewFile(path)
+    except Exception as e:  # some file systems raise where others answer False
+        if not fs.exists(path):
+            raise e
+        mine = False
+    try:
+        yield mine
+    finally:
+        if mine:
+            fs.delete(path, False)
+
+
 def remove_shared(spark: SparkSession, uri: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)

@@ -4,6 +4,7 @@ import pytest
 
 from gleanery.operators import links, refresh
 from gleanery.plans.engine import Engine, EngineError
+from gleanery.session import only_writer
 
 LSM = "intro\n\n# 1 Write path\n\nmemtable flushes sorted runs\n\n# 2 Compaction\n\nleveled compaction bounds read amplification\n"
 NOTES = [("papers/lsm.md", 1.0, LSM), ("papers/btree.md", 1.0, "# B-trees\n\nsorted pages, see [[lsm]] and [[Missing]]\n")]
@@ -72,6 +73,46 @@ def test_refresh_rebuilds_only_what_changed(spark, tmp_path):
     assert [h["path"] for h in e.search("zebra")["hits"]] == ["papers/new.md"] and e.state()["pending"] == 0
 
 
+def test_builds_add_segments_and_merge_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gleanery.plans.engine.MAX_SEGMENTS", 3)
+    texts = {f"n{i}.md": (1.0, f"word{i} common [[n0]]") for i in range(4)}
+    e = Engine(spark, notes_of(spark, [(p, m, t) for p, (m, t) in texts.items()]), f"file://{tmp_path}/ix")
+    e.build()
+    for step in range(1, 5):
+        texts[f"n{step % 3}.md"] = (1.0 + step, f"fresh{step} common [[n1]] [[gone]]")
+        texts.pop("n3.md", None)
+        texts[f"x{step}.md"] = (1.0, f"extra{step} common")
+        e.notes = notes_of(spark, [(p, m, t) for p, (m, t) in texts.items()])
+        assert e.build() == {"changed": 2, "gone": 1 if step == 1 else 0} and len(e._meta()["segments"]) <= 3
+        assert e.build() == {"changed": 0, "gone": 0}
+        if step in (2, 4):  # two segments more, and merged ones
+            whole = Engine(spark, e.notes, f"file://{tmp_path}/whole{step}")
+            whole.build()
+            for q in (f"common fresh{step}", f"word2 extra{step} zebra"):
+                mine, anew = e.search(q), whole.search(q)
+                assert mine["hits"] == anew["hits"] and mine["documents"] == anew["documents"] and mine["terms_absent"] == anew["terms_absent"]
+            assert e.backlinks_of("n1.md") == whole.backlinks_of("n1.md") and e.unresolved() == whole.unresolved()
+
+
+def test_one_build_at_a_time_and_broken_indexes_are_told(spark, tmp_path):
+    e = Engine(spark, notes_of(spark, NOTES), f"file://{tmp_path}/ix")
+    with only_writer(spark, f"file://{tmp_path}/ix/lock") as first:
+        assert first
+        with pytest.raises(EngineError):
+            e.build()
+    e.build()
+    (tmp_path / "ix" / e._meta()["segments"][0] / "stamps").rename(tmp_path / "away")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        e.state()
+
+
+def test_a_search_reads_its_own_terms(spark, tmp_path):
+    e = Engine(spark, notes_of(spark, NOTES), f"file://{tmp_path}/ix")
+    e.build()
+    plan = e._index(["compaction"]).postings._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(term,compaction)" in plan
+
+
 def test_vectors_of_changed_documents_drop_out(spark, tmp_path):
     vectors = spark.createDataFrame([("papers/lsm.md", LSM.index("# 2"), 1.0, [1.0, 0.0]), ("papers/btree.md", 0, 0.0, [0.0, 1.0])], "path string, off int, mtime double, v array<double>")
     e = Engine(spark, notes_of(spark, NOTES), f"file://{tmp_path}/ix", vectors=vectors, embed=lambda q: [1.0, 0.1])
