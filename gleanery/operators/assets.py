@@ -25,7 +25,7 @@ def resolve(refs: DataFrame, assets: DataFrame) -> DataFrame:
     wanted = F.lower(F.regexp_replace("target", r"^(\./)+", ""))
     found = refs.withColumn("_w", wanted).join(tails, F.col("_w") == F.col("tail"))
     folder = F.regexp_extract("src", r"^(.*/)?[^/]*$", 1)
-    order = Window.partitionBy("src", "target", "kind").orderBy(F.when(F.startswith("path", folder), 0).otherwise(1), F.size(F.split("path", "/")), F.lower("path"))
+    order = Window.partitionBy("src", "target", "kind").orderBy(F.when(F.startswith("path", folder), 0).otherwise(1), F.size(F.split("path", "/")), F.lower("path"), "path")
     best = found.withColumn("_o", F.row_number().over(order)).where("_o = 1").select("src", "target", "kind", F.col("path").alias("asset"))
     return refs.join(best, ["src", "target", "kind"], "left")
 

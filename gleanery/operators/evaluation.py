@@ -29,37 +29,43 @@ def metrics(run: DataFrame, qrels: DataFrame, k: int = 10, doc: str = "doc_id")
 def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str, resamples: int = 4_000, seed: int = 7) -> DataFrame:
     """One row: mean gain of a over b, its 2.5 and 97.5 percentiles over resamples, wins, losses, ties.
 
-    A query's weight in a resample is drawn by its own hash (Poisson), so no list of queries is gathered.
+    A resample draws as many queries as there are, with replacement; each draw is a hash of the seed, the resample and
+    its number, so reruns agree. Queries are numbered in one task: there is one row for each judged query.
     """
     pair = a.select("qid", F.col(metric).alias("x")).join(b.select("qid", F.col(metric).alias("y")), "qid").select("qid", (F.col("x") - F.col("y")).alias("d"))
-    u = (F.pmod(F.xxhash64("qid", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for i in range(8):
-        total += p
-        cuts.append(total)
-        p /= i + 1
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    draws = pair.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    means = draws.groupBy("r").agg((F.sum(F.col("d") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    pair = pair.withColumn("at", F.row_number().over(Window.orderBy("qid")) - 1)
+    n = pair.count()
+    spark = pair.sparkSession
+    draw = spark.range(resamples * n).select(F.floor(F.col("id") / max(n, 1)).alias("r"), (F.col("id") % max(n, 1)).alias("j"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "r", "j").cast("binary")), 1, 15), 16, 10).cast("long")
+    draw = draw.select("r", (number % max(n, 1)).cast("int").alias("at"))
+    means = draw.join(pair.select("at", "d"), "at").groupBy("r").agg(F.avg("d").alias("m"))
     band = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     whole = pair.agg(F.avg("d").alias("gain"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"))
-    return whole.crossJoin(band)
+    return whole.crossJoin(band)  # one row each
 
 
 def code_hits(hits: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
-    """task_id, file_hit, symbol_hit, rr, recall: hits (task_id, file, start, end, rank) against gold (task_id, file, line).
+    """task_id, file_hit, symbol_hit, rr, recall, symbol_recall: hits (task_id, file, start, end, anchor, rank) against gold (task_id, file, start, end).
 
-    Files count once each, in order of their first hit. A span is hit if it holds the gold line and isn't over three
-    times a window of ten lines around it.
+    Files count once each, in order of their first hit among the first k. A gold span is located by a hit in its file
+    whose anchor lies inside, or that overlaps it and is no longer than three times the span and ten lines more. Gold
+    rows without a span count for files only; symbol columns are null where a task has no span.
     """
+    first = hits.where(F.col("rank") <= k)
     order = Window.partitionBy("task_id").orderBy("first_rank", "file")
-    files = hits.groupBy("task_id", "file").agg(F.min("rank").alias("first_rank")).withColumn("file_rank", F.row_number().over(order)).where(F.col("file_rank") <= k)
+    files = first.groupBy("task_id", "file").agg(F.min("rank").alias("first_rank")).withColumn("file_rank", F.row_number().over(order))
     wanted = gold.select("task_id", "file").distinct()
     found = files.join(wanted, ["task_id", "file"]).groupBy("task_id").agg(F.min("file_rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    symbol = hits.where(F.col("rank") <= k).join(gold, ["task_id", "file"]).where("line BETWEEN start AND end").select("task_id").distinct().withColumn("s", F.lit(1))
-    rows = wanted.groupBy("task_id").agg(F.count(F.lit(1)).alias("g")).join(found, "task_id", "left").join(symbol, "task_id", "left")
-    return rows.select("task_id", F.col("first").isNotNull().alias("file_hit"), F.col("s").isNotNull().alias("symbol_hit"),
-                       F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce(F.col("n") / F.col("g"), F.lit(0.0)).alias("recall"))
+    spans = gold.where("start IS NOT NULL").select("task_id", "file", F.col("start").alias("s"), F.col("end").alias("e")).distinct()
+    near = first.join(spans, ["task_id", "file"]).where(
+        "anchor BETWEEN s AND e OR (end >= s AND start <= e AND end - start + 1 <= 3 * (e - s + 1) + 10)")
+    located = near.select("task_id", "file", "s", "e").distinct().groupBy("task_id").agg(F.count(F.lit(1)).alias("l"))
+    symbols = spans.groupBy("task_id").agg(F.count(F.lit(1)).alias("t")).join(located, "task_id", "left")
+    rows = wanted.groupBy("task_id").agg(F.count(F.lit(1)).alias("g")).join(found, "task_id", "left").join(symbols, "task_id", "left")
+    share = F.when(F.col("t").isNotNull(), F.coalesce(F.col("l"), F.lit(0)) / F.col("t"))
+    return rows.select("task_id", F.col("first").isNotNull().alias("file_hit"), (share > 0).alias("symbol_hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"),
+                       F.coalesce(F.col("n") / F.col("g"), F.lit(0.0)).alias("recall"), share.alias("symbol_recall"))
 
 
 def means(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stated queries are handed to every executor up to this number.
+MAX_QUERIES = 10_000
+
+
 def bare(path: Column) -> Column:
     return F.regexp_replace(path, r"(?i)\.md$", "")
 
@@ -42,31 +46,55 @@ def suffixes(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.explode(tails).alias("t")).select("path", "t.suffix", "t.whole")
 
 
+def ancestors(path: Column) -> Column:
+    """The folders that a path lies in, from the top."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def first_of(named: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """named (path, name): the first path of each name, and of each name below each folder; one row a name, however common it is.
+
+    First is the path with the least number of slashes, then the least without regard to case.
+    """
+    best = F.min(F.struct(depth(F.col("path")).alias("d"), F.lower("path").alias("l"), "path"))["path"]
+    below = named.select(name, "path", F.explode(ancestors(F.col("path"))).alias("below"))
+    return named.groupBy(name).agg(best.alias("path")), below.groupBy(name, "below").agg(best.alias("path"))
+
+
 def resolve(raw_links: DataFrame, notes: DataFrame) -> DataFrame:
     """src, target, scaffold, dst: dst is null where no note fits.
 
     An anchor is the note itself; a relative target is normalised; a target with a slash is a whole path, else a path's
     end; a name is a file's stem, else a numbered decision record. Of several notes those under the source's folder come
-    first, then the least number of slashes, then the least lower-case path.
+    first, then the least number of slashes, then the least lower-case path. Each lookup meets one row a name.
     """
-    links = raw_links.withColumn("_n", F.xxhash64("src", "target", "scaffold"))
     clean = bare(F.regexp_replace(F.col("target"), r"[#^|].*$", ""))
     is_rel = F.col("target").rlike(r"^\.{1,2}/")
     wanted = F.lower(F.when(is_rel, bare(relative(F.col("src"), F.col("target")))).otherwise(clean))
-    links = links.withColumns({"_wanted": wanted, "_self": F.col("target").rlike(r"^[#^]") | (F.trim(clean) == "")})
-    tails = suffixes(notes)
-    named = links.where(~F.col("_self") & F.col("_wanted").isNotNull()).join(tails, F.col("_wanted") == F.col("suffix"))
-    named = named.where(~is_rel | F.col("whole")).withColumn("_rank", F.when(F.col("_wanted").contains("/") & F.col("whole"), 0).otherwise(1))
-    number = F.regexp_extract(F.col("_wanted"), r"^adr[- ]?(\d{1,4})$", 1)
-    records = notes.select("path", F.regexp_extract(F.lower("path"), r"(?:^|/)0*(\d{1,4})-[^/]*$", 1).alias("_number")).where("_number <> ''")
-    adr = links.where(number != "").withColumn("_number", F.regexp_replace(number, "^0+", "")).join(records, "_number").drop("_number")
-    adr = adr.withColumns({"suffix": F.lit(None).cast("string"), "whole": F.lit(False), "_rank": F.when(F.lower("path").rlike(r"(^|/)adrs?/"), 2).otherwise(3)})
-    found = named.unionByName(adr)
-    near = (F.startswith(F.col("path"), F.concat(folder(F.col("src")), F.lit("/")))) & (folder(F.col("src")) != "")
-    order = Window.partitionBy("_n", "src", "target").orderBy("_rank", F.when(near, 0).otherwise(1), depth(F.col("path")), F.lower("path"), "path")
-    best = found.withColumn("_o", F.row_number().over(order)).where("_o = 1").select("_n", F.col("path").alias("_dst"))
-    rows = links.join(best.distinct(), "_n", "left")
-    return rows.select("src", "target", "scaffold", F.when(F.col("_self"), F.col("src")).otherwise(F.col("_dst")).alias("dst"))
+    rows = raw_links.select("src", "target", "scaffold", wanted.alias("_wanted"), (F.col("target").rlike(r"^[#^]") | (F.trim(clean) == "")).alias("_self"),
+                            is_rel.alias("_rel"), folder(F.col("src")).alias("_from"))
+    rows = rows.withColumn("_number", F.regexp_replace(F.regexp_extract("_wanted", r"^adr[- ]?(\d{1,4})$", 1), "^0+", ""))
+    tails = suffixes(notes).select("path", F.col("suffix").alias("name"), "whole").distinct()
+    records = notes.select("path", F.regexp_extract(F.lower("path"), r"(?:^|/)0*(\d{1,4})-[^/]*$", 1).alias("name")).where("name <> ''").distinct()
+    in_records = F.lower("path").rlike(r"(^|/)adrs?/")
+    slash = F.contains(F.col("_wanted"), F.lit("/"))
+    tries = [  # key, when to look, among which
+        ("_wanted", slash | F.col("_rel"), tails.where("whole")), ("_wanted", ~F.col("_rel"), tails),
+        ("_number", F.col("_number") != "", records.where(in_records)), ("_number", F.col("_number") != "", records.where(~in_records))]
+    found = []
+    for i, (key, ask, among) in enumerate(tries):
+        anywhere, below = first_of(among, "name")
+        wish = F.when(ask & ~F.col("_self"), F.col(key))
+        for kind, table, keys in (("near", below, ["name", "below"]), ("any", anywhere, ["name"])):
+            names = {"name": f"_k{i}{kind}", "below": f"_b{i}{kind}", "path": f"_p{i}{kind}"}
+            table = table.select(*(F.col(c).alias(names[c]) for c in [*keys, "path"]))
+            on = wish == F.col(names["name"])
+            if kind == "near":
+                on = on & (F.when(F.col("_from") != "", F.col("_from")) == F.col(names["below"]))
+            rows = rows.join(table, on, "left").drop(*(names[k] for k in keys))
+            found.append(names["path"])
+    return rows.select("src", "target", "scaffold", F.when(F.col("_self"), F.col("src")).otherwise(F.coalesce(*found)).alias("dst"))
 
 
 def edges(resolved: DataFrame) -> DataFrame:
@@ -113,7 +141,8 @@ def search_names(notes: DataFrame, text: str) -> DataFrame:
 def context_search(lines: DataFrame, queries: DataFrame, per_note: int = 20) -> DataFrame:
     """qid, path, line, snippet, note_matches: lines (path, line, text) that hold a stated query (qid, q), the first per_note of a note."""
     low = lines.select("path", "line", F.col("text").alias("snippet"), F.lower("text").alias("_low"))
-    stated = F.broadcast(queries.select("qid", F.lower("q").alias("_q")).where("_q <> ''"))
+    stated = queries.select("qid", F.lower("q").alias("_q")).where("_q <> ''")
+    stated = F.broadcast(stated) if stated.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else stated  # beyond it Spark deals both sides
     hits = low.join(stated, F.contains(F.col("_low"), F.col("_q")))
     count = ((F.length("_low") - F.length(F.replace(F.col("_low"), F.col("_q"), F.lit("")))) / F.length("_q")).cast("long")
     each, first = Window.partitionBy("qid", "path"), Window.partitionBy("qid", "path").orderBy("line")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import markdown, units
 from gleanery.functions import text as T
-from gleanery.functions import units
-from gleanery.operators import evaluation, files, fusion, langid, lexical, links, refresh, windows
-from gleanery.session import prepare
+from gleanery.functions.arrow import scalar
+from gleanery.operators import evaluation, files, fusion, langid, lexical, links, pages, refresh, windows
+from gleanery.session import files_state, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,8 +69,16 @@ sc AS (
   FROM tf JOIN w ON w.term = tf.term AND df > 0 JOIN dl ON dl.k = tf.k, st GROUP BY qid, tf.k)"""
 
 
+INDEXES: dict[tuple, lexical.Index] = {}
+
+
 def documents_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    return lexical.index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", T.words("text"))
+    """The index of the documents; built anew when their files have changed, else shared by all queries of an application."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    state = (spark.sparkContext.applicationId, files_state(docs))
+    if state not in INDEXES:
+        INDEXES[state] = lexical.index(docs, "doc_id", T.words("text"))
+    return INDEXES[state]
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +288,7 @@ HITS = " + ".join(f"(length(p) - length(replace(p, '{t}', ''))) / {len(t)}" for
 WINDOW_SQL = f"""
 tried AS (
   SELECT doc_id, text, lower(text) AS low, unnest(CASE WHEN length(text) <= 600 THEN [0] ELSE range(0, length(text) - 600 + 150, 150) END) AS off
-  FROM documents WHERE text IS NOT NULL),
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 den AS (SELECT doc_id, text, off, CAST({HITS} AS BIGINT) AS hits FROM (SELECT *, substr(low, off + 1, 600) AS p FROM tried)),
 win AS (
   SELECT doc_id, text, CAST(off AS INT) AS off, CASE WHEN length(text) <= 600 THEN 0 ELSE hits END AS hits FROM (
@@ -287,7 +296,7 @@ win AS (
 
 
 def found_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.text_of("text").alias("text"))
     rows = windows.with_densest(docs, "text", [(t, 1.0) for t in WINDOW_TERMS], 600)
     return rows.withColumn("hits", F.col("hits").cast("long"))
 
@@ -498,12 +507,20 @@ def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.metrics(*run_and_qrels(spark, sf_dir)).select("qid", r6("recall").alias("recall"))
 
 
-@query()
+@query(f"WITH {RUN}" + """,
+other AS (SELECT qid, sum(1 / log2(11 - rank + 1)) AS dcg FROM hit GROUP BY qid),
+p AS (SELECT ideal.qid, coalesce(got.dcg / idcg, 0) - coalesce(other.dcg / idcg, 0) AS d, row_number() OVER (ORDER BY ideal.qid) - 1 AS place, count(*) OVER () AS n
+      FROM ideal LEFT JOIN got ON got.qid = ideal.qid LEFT JOIN other ON other.qid = ideal.qid),
+draw AS (SELECT r, CAST(('0x' || substr(md5('7-' || r || '-' || j), 1, 15)) AS BIGINT) % n AS place FROM (SELECT DISTINCT n FROM p), range(0, 1000) AS a(r), range(0, n) AS b(j)),
+m AS (SELECT r, avg(d) AS m FROM draw JOIN p USING (place) GROUP BY r),
+band AS (SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m)
+SELECT round(avg(d), 6) AS gain, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, any_value(low) AS low, any_value(high) AS high FROM p, band""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25's nDCG against that of the reversed order, with a paired interval."""
     run, qrels = run_and_qrels(spark, sf_dir)
     other = run.withColumn("rank", F.lit(K + 1) - F.col("rank"))
-    return evaluation.paired_bootstrap(evaluation.metrics(run, qrels), evaluation.metrics(other, qrels), "ndcg")
+    found = evaluation.paired_bootstrap(evaluation.metrics(run, qrels), evaluation.metrics(other, qrels), "ndcg", 1_000)
+    return found.select(r6("gain").alias("gain"), "wins", "losses", "ties", r6("low").alias("low"), r6("high").alias("high"))
 
 
 # Text ---------------------------------------------------------------------------------------------
@@ -538,6 +555,142 @@ def sentence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'bibliography') AND regexp_matches(text, '(?mi)^#{1,6}\\s*bibliography\\s*$') THEN 'references' ELSE '' END AS kind FROM documents")
 def section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.section_kind("text").alias("kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalar(markdown.section_kind, "string")("text").alias("kind"))
+
+
+
+
+@query("SELECT p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(lower(coalesce(p_name, '')), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug FROM part")
+def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))
+
+
+def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the text of every document, followed by marks that hold its id: none of the texts has any of its own."""
+    n = F.col("doc_id").cast("string")
+    parts = [T.text_of("text"), "\n$x_", n, "$ and $$y\n", n, "$$ \\alpha{z} ![[fig", n, ".PNG|300]] ![t](a/", n, ".pdf)\n\n\n\n<b> doi:10.1234/ab.", n, " arXiv: 2401.", F.lpad(n, 5, "0"), "v2"]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
+
+
+MARKED = """marked AS (SELECT doc_id, coalesce(text, '') || chr(10) || '$x_' || doc_id || '$ and $$y' || chr(10) || doc_id || '$$ \\alpha{z} ![[fig' || doc_id || '.PNG|300]] ![t](a/' || doc_id
+  || '.pdf)' || repeat(chr(10), 4) || '<b> doi:10.1234/ab.' || doc_id || ' arXiv: 2401.' || CASE WHEN length(CAST(doc_id AS VARCHAR)) < 5 THEN lpad(CAST(doc_id AS VARCHAR), 5, '0') ELSE substr(CAST(doc_id AS VARCHAR), 1, 5) END || 'v2' AS text FROM documents)"""
+
+
+@query(f"WITH {MARKED}" + r""" SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$|\$[^$\n]*?\$|\\\[.*?\\\]|\\\(.*?\\\)', ' ', 'g'), '\\[a-zA-Z]+\*?', ' ', 'g')) AS without_math,
+  md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)!\[\[[^\]\n]*\.(?:jpe?g|png|gif|webp|svg|bmp|tiff?|avif|mp4|mov|avi|mkv|pdf)(?:\|[^\]\n]*)?\]\][ \t]*', '', 'g'),
+    '!\[[^\]\n]*\]\([^)\n]*\)[ \t]*', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS without_images FROM marked""")
+def spans_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.md5(c.cast("binary"))
+    return marked_up(spark, sf_dir).select("doc_id", digest(T.strip_math("text")).alias("without_math"), digest(T.strip_images("text")).alias("without_images"))
 
 
+@query(f"WITH {MARKED}" + r""" SELECT doc_id, nullif(regexp_extract(substr(text, 1, 8000), '\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]*[A-Za-z0-9])', 1), '') AS doi,
+  nullif(regexp_extract(substr(text, 1, 8000), '(?i)arxiv:\s*(\d{4}\.\d{4,5})(?:v\d+)?', 1), '') AS arxiv FROM marked""")
+def papers_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_up(spark, sf_dir).select("doc_id", T.doi("text").alias("doi"), T.arxiv("text").alias("arxiv"))
+
+
+@query("SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS term FROM conversations".join(["WITH t AS (", ") SELECT * FROM t WHERE length(term) > 3"]))
+def turn_window_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.window_terms("text")).alias("term")).distinct()
+
+
+@query("SELECT conv_id, turn, md5(CASE WHEN role <> '' THEN 'conversation › ' || role ELSE 'conversation' END || chr(10) || substr(coalesce(text, ''), 1, 6000)) AS embedded FROM conversations WHERE role IS NOT NULL")
+def turns_as_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("role IS NOT NULL")
+    return rows.select("conv_id", "turn", F.md5(units.embedding_text(F.lit("conversation"), F.col("role"), T.text_of("text")).cast("binary")).alias("embedded"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS body FROM documents WHERE NOT contains(coalesce(text, ''), '\\')")
+def line_ends_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose line ends and tabs were written as backslash and letter come back as they were."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.text_of("text").alias("text")).where(~F.contains("text", F.lit("\\")))
+    one = F.contains("text", F.lit("\n"))
+    escaped = F.when(one, F.replace(F.replace("text", F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))).otherwise(F.col("text"))
+    return docs.select("doc_id", F.md5(T.unescape_newlines(escaped).cast("binary")).alias("body"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as document metadata writes them, in three forms by turns."""
+    form = F.col("o_orderkey") % 3
+    day = F.col("o_orderdate")
+    said = F.when(form == 0, F.date_format(day, "'D:'yyyyMMddHHmmss")).when(form == 1, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(day, "yyyyMMdd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.source_date(said).alias("day"))
+
+
+LINTED = f"{VAULT}, mx AS (SELECT max(doc_id) + 1 AS n FROM documents), said AS (SELECT path, CAST((doc_id * 7 + 3) % (n + n // 10 + 1) AS VARCHAR) AS target, 1 AS line FROM vault, mx" + """
+  UNION ALL SELECT path, upper(coalesce(lang, 'und')) || '/' || coalesce(source, 'none') || '/' || CAST((doc_id * 3) % n AS VARCHAR), 3 FROM vault, mx)"""
+
+
+@query(f"WITH {LINTED}" + """ SELECT path, CAST(line AS BIGINT) AS line, target FROM said WHERE lower(target) NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)
+  AND lower(target) NOT IN (SELECT lower(regexp_replace(path, '\\.md$', '')) FROM vault)""")
+def lint_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of the documents with a made-up link each on their first and third line."""
+    notes = vault(spark, sf_dir)
+    rows = notes.crossJoin(F.broadcast(notes.agg((F.max("doc_id") + 1).alias("n"))))  # one row
+    name = ((F.col("doc_id") * 7 + 3) % (F.col("n") + F.floor(F.col("n") / 10) + 1)).cast("string")
+    whole = F.concat_ws("/", F.upper(F.coalesce("lang", F.lit("und"))), F.coalesce("source", F.lit("none")), ((F.col("doc_id") * 3) % F.col("n")).cast("string"))
+    texts = rows.select("path", F.concat(F.lit("see [["), name, F.lit("|x]]\n\n[["), whole, F.lit("#part]] end")).alias("text"))
+    return links.lint(texts, notes.select("path"))
+
+
+HITS_SQL = """
+h AS (SELECT l_suppkey AS task_id, l_partkey % 5 AS file, l_linenumber * 10 AS start, l_linenumber * 10 + CAST(floor(l_quantity) AS INT) AS "end", l_linenumber * 10 + l_linenumber AS anchor,
+        row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS rank FROM lineitem),
+g AS (SELECT DISTINCT ps.s_suppkey AS task_id, f AS file, CASE WHEN f = 3 THEN NULL ELSE f * 12 + 5 END AS start, CASE WHEN f = 3 THEN NULL ELSE f * 12 + 6 + ps.s_suppkey % 4 END AS "end"
+      FROM supplier ps, range(0, 4) AS r(f)),
+t AS (SELECT * FROM h WHERE rank <= 10),
+fs AS (SELECT task_id, file, row_number() OVER (PARTITION BY task_id ORDER BY min(rank), file) AS n FROM t GROUP BY task_id, file),
+ff AS (SELECT task_id, min(n) AS first, count(*) AS found FROM fs JOIN (SELECT DISTINCT task_id, file FROM g) USING (task_id, file) GROUP BY task_id),
+loc AS (SELECT DISTINCT g.task_id, g.file FROM g JOIN t ON t.task_id = g.task_id AND t.file = g.file
+  WHERE t.anchor BETWEEN g.start AND g."end" OR (t."end" >= g.start AND t.start <= g."end" AND t."end" - t.start + 1 <= 3 * (g."end" - g.start + 1) + 10)),
+s AS (SELECT task_id, count(*) AS l FROM loc GROUP BY task_id)"""
+
+
+@query(f"WITH {HITS_SQL}" + """ SELECT s_suppkey AS task_id, first IS NOT NULL AS file_hit, coalesce(l, 0) > 0 AS symbol_hit, round(coalesce(1.0 / first, 0), 6) AS rr,
+  round(coalesce(found, 0) / 4.0, 6) AS recall, round(coalesce(l, 0) / 3.0, 6) AS symbol_recall FROM supplier LEFT JOIN ff ON ff.task_id = s_suppkey LEFT JOIN s ON s.task_id = s_suppkey""")
+def code_hits_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as hits of suppliers' tasks: files by part, spans by line number and quantity; four gold files a task, three with a span."""
+    lines = table(spark, sf_dir, "lineitem")
+    at = F.col("l_linenumber") * 10
+    nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    hits = lines.select(F.col("l_suppkey").alias("task_id"), (F.col("l_partkey") % 5).alias("file"), at.alias("start"), (at + F.floor("l_quantity").cast("int")).alias("end"),
+                        (at + F.col("l_linenumber")).alias("anchor"), nth.alias("rank"))
+    gold = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("file"))
+    spanned = F.col("file") != 3
+    gold = gold.withColumns({"start": F.when(spanned, F.col("file") * 12 + 5), "end": F.when(spanned, F.col("file") * 12 + 6 + F.col("task_id") % 4)})
+    rows = evaluation.code_hits(hits, gold)
+    return rows.select("task_id", "file_hit", "symbol_hit", r6("rr").alias("rr"), r6("recall").alias("recall"), r6("symbol_recall").alias("symbol_recall"))
+
+
+# Pages: a conversation is a document, a turn a page -------------------------------------------------
+
+
+@query("""WITH p AS (SELECT conv_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) AS t FROM conversations)
+SELECT conv_id AS path, turn AS page, CAST(1 + coalesce(sum(length(t) - length(replace(t, chr(10), ''))) OVER w, 0) AS BIGINT) AS line, CAST(coalesce(sum(length(t)) OVER w, 0) AS BIGINT) AS off,
+  'p. ' || turn AS title, md5(t) AS body FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("page"), "text")
+    return pages.page_map(rows).select("path", "page", "line", "off", "title", F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+PAGE_LINES = """
+pl AS (SELECT p_partkey % 20 AS page, p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN (p_partkey % 130) || '.' || (p_partkey % 3 + 1) || ' ' || p_name WHEN p_partkey % 11 = 0 THEN 'Related Work'
+  WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name END AS text, 8.0 + (p_size % 5) AS size FROM part),
+sz AS (SELECT page, size, count(*) AS c, count(*) FILTER (length(text) >= 40) AS l, min(n) AS f, min(n) FILTER (length(text) >= 40) AS fl FROM pl GROUP BY ALL),
+bs AS (SELECT page, CASE WHEN max(l) > 0 THEN arg_max(size, l * 1e12 - coalesce(fl, 1e9)) ELSE arg_max(size, c * 1e12 - f) END AS body FROM sz GROUP BY page)"""
+
+
+@query(f"WITH {PAGE_LINES}" + r""",
+b AS (SELECT pl.*, body, len(regexp_split_to_array(trim(text), '\s+')) AS words, regexp_extract(text, '^(\d+(?:\.\d+){0,3})\.?\s+\p{L}', 1) AS num FROM pl JOIN bs USING (page)),
+g AS (SELECT *, count(*) FILTER (size >= body * 1.15 AND words <= 12) OVER (PARTITION BY page) AS big FROM b)
+SELECT page, n, CAST(CASE WHEN words > 12 OR NOT regexp_matches(text, '\p{L}') OR size < body * 0.95 THEN 0 WHEN num <> '' AND CAST(string_split(num, '.')[1] AS INT) <= 99 THEN len(string_split(num, '.'))
+  WHEN lower(text) = 'related work' THEN 1 WHEN size >= body * 1.15 AND big <= 8 THEN CASE WHEN size >= body * 1.4 THEN 1 ELSE 2 END ELSE 0 END AS INT) AS level FROM g""")
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of twenty pages: names with and without numbers, in five sizes."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    numbered = F.concat((key % 130).cast("string"), F.lit("."), (key % 3 + 1).cast("string"), F.lit(" "), name)
+    text = F.when(key % 7 == 0, numbered).when(key % 11 == 0, "Related Work").when(key % 3 == 0, name).otherwise(F.concat_ws(" ", name, "p_type", "p_brand", name))
+    lines = table(spark, sf_dir, "part").select(F.lit(0).alias("path"), (key % 20).alias("page"), key.alias("n"), text.alias("text"), (8.0 + F.col("p_size") % 5).alias("size"))
+    return pages.leveled(lines).select("page", "n", F.col("level").cast("int").alias("level"))

@@ -70,12 +70,12 @@ def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(expected([
-    ("shop/users.py", "shop/users.py", "helper", "UserStore", 10), ("shop/app.py", "shop/base.py", "connect", "main", 7), ("shop/app.py", "shop/users.py", "helper", "main", 8)],
+    ("shop/users.py", "shop/users.py", "helper", "UserStore", 10), ("shop/app.py", "shop/base.py", "connect", "main", 7), ("shop/app.py", "shop/users.py", "helper", "main", 8),
+    ("src/main/java/a/App.java", "src/main/java/a/util/Text.java", "trim", "run", 6)],
     "src, target, callee, caller, line"))
 def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sources(spark)
-    python = found.where("path LIKE '%.py'")
-    return codegraph.calls(python, codegraph.imports(found), codegraph.symbols(found))
+    found = codegraph.parsed(sources(spark))
+    return codegraph.calls(found, codegraph.imports(found), codegraph.symbols(found))
 
 
 @query(expected([
@@ -153,7 +153,7 @@ def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 VTT = "WEBVTT\n\n00:00.000 --> 00:02.000\nhello <b>there</b>\n\n00:02.000 --> 00:03.000\nhello there\n\n00:08.000 --> 00:09.000\nagain\n"
 
 
-@query(expected([(1, "hello there\n\nagain")], "id, text"))
+@query(expected([(1, "hello there\nagain")], "id, text"))
 def vtt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal(spark, [(1, VTT)], "id int, text string").select("id", scalar(markdown.vtt_to_text, "string")("text").alias("text"))
 

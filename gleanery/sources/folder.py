@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import subprocess
 import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,6 +138,19 @@ def with_provenance(converted: DataFrame, originals: DataFrame) -> DataFrame:
     return rows.select(F.concat(listing.stem(F.col("source")), F.lit(".md")).alias("path"), text.alias("text"), "source", F.col("sha").alias("text_sha256"))
 
 
+def identity(root: str) -> dict:
+    """path, files, sha256 of a local folder: over the path and bytes of every file, folder by folder; hidden ones and links apart."""
+    digest, n = hashlib.sha256(), 0
+    for place, inner, found in Path(root).walk():
+        inner[:] = sorted(x for x in inner if not x.startswith("."))
+        for name in sorted(x for x in found if not x.startswith(".")):
+            if not (file := place / name).is_symlink() and file.is_file():
+                for part in (file.relative_to(root).as_posix().encode(), file.read_bytes()):
+                    digest.update(part + b"\0")
+                n += 1
+    return {"path": str(root), "files": n, "sha256": digest.hexdigest()}
+
+
 # Git ----------------------------------------------------------------------------------------------
 
 

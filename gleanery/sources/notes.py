@@ -94,21 +94,45 @@ def lock(path: str, wait: bool = True) -> Iterator[bool]:
         yield True
 
 
+def structure(body: str) -> list[str]:
+    """What a body leaves open: fences, math, highlights, link brackets; code counts only for its fences."""
+    prose = markdown.without_code(body)
+    found = {
+        "unclosed code fence": body.count("```") % 2, "unbalanced $$ block": prose.count("$$") % 2,
+        "unbalanced == highlight": prose.count("==") % 2, "unbalanced [[wikilink]]": prose.count("[[") - prose.count("]]")}
+    return [name for name, odd in found.items() if odd]
+
+
+def lint(root: str, text: str) -> list[dict]:
+    """Structural issues of a note, and its note links that no note of the folder answers: by base name, or by path with or without ending."""
+    names = set()
+    for p in Path(root).rglob("*.md"):
+        rel = p.relative_to(root).as_posix()
+        names |= {p.stem.casefold(), rel.casefold(), rel[:-3].casefold()}
+    found = [{"kind": "structure", "target": x, "line": 0} for x in structure(text)]
+    for m in re.finditer(r"\[\[([^\[\]|#^\n]+)", text):
+        if m[1].strip().casefold() not in names:
+            found.append({"kind": "unresolved_link", "target": m[1].strip(), "line": text.count("\n", 0, m.start()) + 1})
+    return found
+
+
 def write_note(root: str, path: str, body: str, props: dict | None = None, expect_version: str | None = None, create_only: bool = False) -> dict:
-    """Write one note and tell its path and new version."""
+    """Write one note and tell its path, its new version, whether it is new, and what is wrong with it."""
     rel = relative(root, path)
     full = contained(root, rel)
-    if full.exists():
-        old = full.read_text("utf-8", "replace")
-        if create_only or (expect_version and expect_version != version(old)):
-            raise EngineError("changed", rel)
-    elif expect_version:
+    exists = full.exists()
+    if exists and create_only:
+        raise EngineError("bad_argument", f"{rel} exists")
+    if exists and expect_version and expect_version != version(full.read_text("utf-8", "replace")):
+        raise EngineError("changed", rel)
+    if expect_version and not exists:
         raise EngineError("not_found", rel)
-    if "\n" not in body and "\\n" in body:
-        body = body.replace("\\n", "\n").replace("\\t", "\t")
+    if "\n" not in body and "\\n" in body:  # line ends came as backslash and letter
+        for written, meant in (("\\r\\n", "\n"), ("\\n", "\n"), ("\\t", "\t")):
+            body = body.replace(written, meant)
     text = with_props(body, props) if props else body
     write_bytes(full, text.encode())
-    return {"path": rel, "version": version(text)}
+    return {"path": rel, "version": version(text), "created": not exists, "lint": lint(root, text)}
 
 
 def with_props(text: str, props: dict) -> str:

@@ -20,6 +20,19 @@ def test_paths_stay_inside(tmp_path):
     assert notes.is_artifact("log.md") and not notes.is_artifact("a/log.md") and notes.is_source_leaf("sources/x.md") and notes.is_inbox("_inbox/x.md")
 
 
+def test_written_notes_are_linted(tmp_path):
+    root = str(tmp_path)
+    first = notes.write_note(root, "sub/one", "# One\nsee [[Two]] and [[one|itself]] $$x\n```")
+    assert first["created"] and [(x["kind"], x["target"], x["line"]) for x in first["lint"]] == [
+        ("structure", "unclosed code fence", 0), ("structure", "unbalanced $$ block", 0), ("unresolved_link", "Two", 2)]
+    second = notes.write_note(root, "two", "a\\r\\nb\\tc [[sub/one]] [[SUB/ONE.md]]")
+    assert second["lint"] == [] and (tmp_path / "two.md").read_bytes() == b"a\nb\tc [[sub/one]] [[SUB/ONE.md]]"
+    assert not notes.write_note(root, "two", "plain `$$` ==x==")["created"]
+    with pytest.raises(EngineError) as e:
+        notes.write_note(root, "two", "x", create_only=True)
+    assert e.value.code == "bad_argument"
+
+
 def test_writing_guards_versions_and_props(tmp_path):
     root = str(tmp_path)
     made = notes.write_note(root, "a/n", "line one\\nline two", {"tags": ["x"]}, create_only=True)
