@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.arrow import slices  # noqa: F401  the operators take it from here
+
 #: The characters that separate words, as a Java and a Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def texts(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns: further columns, whatever their names, never reach an operator."""
-    return docs.select(*(docs[n] for n in names))
-
-
 def count_words(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the named string column holds about limit bytes in each; a longer text stands alone."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        start = held = 0
-        for i, size in enumerate(lengths.tolist()):
-            if held and held + size > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        yield batch.slice(start, n - start)

@@ -64,6 +64,13 @@ def test_repeated_ids_nulls_and_no_rows(spark):
     assert syncmers.edited_fingerprints(rows.where("false")).count() == 0
 
 
+def test_columns_of_clashing_names_stay_out(spark):
+    rows = spark.createDataFrame([(i, t, "x", 5, 6) for i, t in enumerate(sample(2, 12))], "doc_id long, text string, sketch string, bucket int, next_text int")
+    plain = rows.select("doc_id", "text")
+    for made in (syncmers.edited_fingerprints, syncmers.fingerprints):
+        assert sorted(map(tuple, made(rows).collect())) == sorted(map(tuple, made(plain).collect()))
+
+
 def test_anchors_are_context_free(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = spark.createDataFrame([(1, "x y z " + passage), (2, passage + " q r s t")], "doc_id long, text string")

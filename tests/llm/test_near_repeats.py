@@ -108,6 +108,14 @@ def test_null_and_repeated_keys(spark):
     assert simhash.keep_one(rows.where("false")).count() == 0
 
 
+def test_very_long_texts_link_by_their_fingerprints(spark):
+    words = [f"w{i * i % 7919}" for i in range(60_000)]
+    changed = words[:100] + ["x"] + words[101:]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.fingerprint_components(rows).collect()}
+    assert got[2] == 1 and got[3] == 3
+
+
 def test_keep_one_drops_copies_and_keeps_the_rest(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(5000)}" for _ in range(400)]
