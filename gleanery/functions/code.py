@@ -56,6 +56,16 @@ class Skeleton:
     parse_error: bool = False
 
 
+# How lines of a licence begin, and characters of lines that only rule off.
+LICENCE = re.compile(r"^(SPDX-[\w-]+:|Copyright\b|All rights reserved)", re.I)
+RULES = "-=_*#~+ "
+
+
+def clean_comment(block: str) -> str:
+    """A comment's lines but for those of a licence, rules and blanks."""
+    return "\n".join(x for x in block.splitlines() if x.strip(RULES + "\t") and not LICENCE.match(x.strip())).strip()
+
+
 def language_for(path: str) -> str | None:
     return next((v for k, v in LANGUAGES.items() if path.lower().endswith(k)), None)
 
@@ -167,7 +177,7 @@ def _braced(text: str, language: str) -> Skeleton:
             if not row.strip().startswith(("//", "/*", "*", "@")):
                 break
             block.insert(0, row.strip().strip("/*").strip())
-        return next((b for b in block if b and not b.startswith("@")), "")
+        return next((b for b in clean_comment("\n".join(block)).split("\n") if b and not b.startswith("@")), "")
 
     def add(kind: str, m: re.Match, parent: str, name: str) -> tuple[int, int]:
         start = m.start() + len(m[0]) - len(m[0].lstrip())

@@ -35,10 +35,16 @@ def backlinks(resolved: DataFrame) -> DataFrame:
     return resolved.where("asset IS NOT NULL").select("asset", "src", "kind").distinct()
 
 
-def expand(seeds: DataFrame, edges: DataFrame, weights: dict[str, float], hops: int = 2, decay: float = 0.5, fan: int = 50, k: int = 60) -> DataFrame:
+#: What a node's score is multiplied by where its name shares a term with the query.
+NAMED = 1.5
+
+
+def expand(seeds: DataFrame, edges: DataFrame, weights: dict[str, float], hops: int = 2, decay: float = 0.5, fan: int = 50, k: int = 60, asked: DataFrame | None = None) -> DataFrame:
     """qid, node, score: seeds (qid, node, rank) spread over edges (src, dst, kind), at most fan edges of a kind from a node and hop.
 
-    A step's weight is the kind's over k + rank, less by decay a hop and by the logarithm of the target's in-degree.
+    A step's weight is the kind's over k + rank, less by decay a hop and by the logarithm of the target's in-degree. With
+    asked (qid, terms) a node whose name (the last part of its path, cut into words) has one of the terms scores NAMED
+    times as much.
     """
     w = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
     degree = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).select(F.col("dst").alias("node"), F.log2(1.0 + F.col("n")).alias("damp"))
@@ -52,4 +58,9 @@ def expand(seeds: DataFrame, edges: DataFrame, weights: dict[str, float], hops:
         reached = step.groupBy("qid", "node", "hop").agg(F.max("share").alias("share"), F.min("rank").alias("rank")).select("qid", "node", "share", "rank", "hop")
         whole = whole.unionByName(reached)
     scored = whole.join(degree, "node", "left").withColumn("part", F.col("share") / (k + F.col("rank")) / (1.0 + F.coalesce("damp", F.lit(0.0))))
-    return scored.groupBy("qid", "node").agg(F.sum("part").alias("score"))
+    found = scored.groupBy("qid", "node").agg(F.sum("part").alias("score"))
+    if asked is None:
+        return found
+    name = F.filter(F.split(F.lower(F.regexp_extract(F.col("node").cast("string"), r"([^/]*?)(?:\.[^./]*)?$", 1)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    factor = F.when(F.arrays_overlap(name, F.coalesce("terms", F.array().cast("array<string>"))), NAMED).otherwise(1.0)
+    return found.join(asked.select("qid", "terms"), "qid", "left").select("qid", "node", (F.col("score") * factor).alias("score"))

@@ -6,9 +6,15 @@ the notes in an equi-join on suffixes written out once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import markdown
+from gleanery.functions import text as T
+from gleanery.functions.arrow import generate
+
 
 #: Stated queries are handed to every executor up to this number.
 MAX_QUERIES = 10_000
@@ -134,6 +140,31 @@ def lint(texts: DataFrame, notes: DataFrame) -> DataFrame:
     return rows.join(known.distinct(), F.lower(bare(F.col("target"))) == F.col("_known"), "left_anti")
 
 
+def alias_index(notes: DataFrame) -> DataFrame:
+    """alias (lower case), path: other names that notes (path, text) give themselves in their frontmatter."""
+    marked = notes.where(F.startswith("text", F.lit("---")))
+    found = generate(marked.select("path", "text"), ["path"], ["text"], lambda t: [(a.lower(),) for a in markdown.aliases(t)], [("alias", "string")])
+    return found.select("alias", "path").distinct()
+
+
+def properties(notes: DataFrame) -> DataFrame:
+    """path, name, value (as JSON) of the frontmatter of notes (path, text)."""
+
+    def one(text: str | None) -> list[tuple[str, str]]:
+        return [(str(k), json.dumps(v, ensure_ascii=False, default=str)) for k, v in (markdown.frontmatter(text)[0] or {}).items()]
+
+    marked = notes.where(F.startswith("text", F.lit("---")))
+    return generate(marked.select("path", "text"), ["path"], ["text"], one, [("name", "string"), ("value", "string")])
+
+
+def path_mentions(notes: DataFrame) -> DataFrame:
+    """path, mention: paths that notes (path, text) name between backticks, outside fences: a folder and a file, or a file with an ending."""
+    prose = F.regexp_replace(T.text_of("text"), T.FENCED, " ")
+    spans = F.regexp_extract_all(prose, F.lit(r"`([^`\n]+)`"), F.lit(1))
+    paths = F.filter(spans, lambda x: x.rlike(r"^[\w.-]+(/[\w.-]+)+/?$|^[\w-]+(\.[\w-]+)*\.[A-Za-z]{1,5}$"))
+    return notes.select("path", F.explode(F.array_distinct(paths)).alias("mention"))
+
+
 def search_names(notes: DataFrame, text: str) -> DataFrame:
     return notes.where(F.contains(F.lower("path"), F.lit(text.lower()))).orderBy("path")
 

@@ -11,7 +11,7 @@ from gleanery.functions import markdown, units
 from gleanery.functions import text as T
 from gleanery.functions.arrow import scalar
 from gleanery.operators import evaluation, files, fusion, langid, lexical, links, pages, refresh, windows
-from gleanery.session import files_state, prepare
+from gleanery.session import exists, files_state, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,7 +76,7 @@ def documents_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The index of the documents; built anew when their files have changed, else shared by all queries of an application."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     state = (spark.sparkContext.applicationId, files_state(docs))
-    if state not in INDEXES:
+    if state not in INDEXES or not exists(spark, INDEXES[state].postings.stored_at):
         INDEXES[state] = lexical.index(docs, "doc_id", T.words("text"))
     return INDEXES[state]
 

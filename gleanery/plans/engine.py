@@ -359,7 +359,15 @@ class Engine:
 
     def status(self) -> DataFrame:
         """check, verdict: what a user would look at first."""
-        state = self.state()
-        rows = [("index", "ok" if state["state"] == "ready" else "warn", f"{state['state']}, {state['pending']} pending"),
-                ("failures", "ok" if self.failures.limit(1).count() == 0 else "warn", ""), ("vectors", "ok" if self.vectors is not None else "warn", "")]
+        state, meta = self.state(), self._meta()
+        some = lambda frame: frame.limit(1).count() > 0
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        rows = [
+            ("corpus", "ok" if some(self.notes) or some(self.sources) else "fail", "" if some(self.notes) else "no notes"),
+            ("index", "ok" if state["state"] == "ready" else "warn", f"{state['state']}, {state['pending']} pending"),
+            ("segments", "ok" if meta and len(meta["segments"]) <= MAX_SEGMENTS else "warn", str(len(meta["segments"])) if meta else "no index"),
+            ("unconverted", "ok" if not some(self.no_text) else "warn", "files without text" if some(self.no_text) else ""),
+            ("failures", "ok" if not some(self.failures) else "warn", ""),
+            ("vectors", "ok" if self.vectors is not None and self.embed is not None else "warn", "" if self.embed is not None else "no embedder"),
+            ("shared folder", "ok" if shared else "warn", shared or "spark.checkpoint.dir is not set")]
         return self.spark.createDataFrame(rows, "check string, verdict string, note string")

@@ -1,13 +1,15 @@
-"""Queries over small stated inputs: parsers of code, notebooks, captions and pages, each beside the tables they need."""
+"""Queries of the parsers: code, notebooks, captions, pages and notes, most of them over texts made of the tables' rows."""
 
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import code, markdown
+from gleanery.functions import text as T
 from gleanery.functions.arrow import generate, scalar
 from gleanery.operators import codegraph
 from gleanery.plans.catalog import query, table
@@ -38,81 +40,88 @@ def sources(spark: SparkSession) -> DataFrame:
     return literal(spark, SOURCES, "path string, text string")
 
 
-def values(rows: list[tuple]) -> str:
-    quote = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+# Code made of the parts: each is a small file in one of four languages that uses the file of the part four keys on --------
 
 
-def expected(rows: list[tuple], names: str) -> str:
-    """What the stated input gives, written out by hand."""
-    return f"SELECT * FROM (VALUES {values(rows)}) t({names})"
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: of every fortieth file the text can't be parsed."""
+    key = F.col("p_partkey")
+    k, j, kind = key.cast("string"), (key + 4).cast("string"), key % 4
 
+    def filled(template: str) -> Column:
+        parts = re.split("([KJ])(?![a-z])", template)
+        return F.concat(*(k if x == "K" else j if x == "J" else F.lit(x) for x in parts if x))
 
-@query(expected([
-    ("shop/users.py", 5, 5, "constant", "LIMIT", ""), ("shop/users.py", 8, 13, "class", "UserStore", ""), ("shop/users.py", 9, 10, "method", "get_user_profile", "UserStore"),
-    ("shop/users.py", 12, 13, "method", "purge", "UserStore"), ("shop/users.py", 16, 17, "function", "helper", ""), ("shop/base.py", 1, 2, "class", "Base", ""),
-    ("shop/base.py", 5, 6, "function", "connect", ""), ("shop/app.py", 6, 8, "function", "main", ""), ("web/view.ts", 2, 2, "function", "render", ""),
-    ("src/main/java/a/App.java", 4, 8, "class", "App", ""), ("src/main/java/a/App.java", 5, 7, "method", "run", "App"), ("src/main/java/a/util/Text.java", 2, 6, "class", "Text", ""),
-    ("src/main/java/a/util/Text.java", 3, 5, "method", "trim", "Text"), ("c/add.c", 3, 5, "function", "add", ""), ("c/add.h", 1, 1, "function", "add", "")],
-    "path, line, end_line, kind, name, parent"))
+    path = F.when(kind == 0, filled("py/mK.py")).when(kind == 1, filled("web/vK.ts")).when(kind == 2, filled("src/main/java/a/xK.java")).otherwise(filled("c/uK.c"))
+    text = F.when(key % 40 == 0, "def broken(:\n").when(kind == 0, filled(
+        "import os\nfrom py.mJ import fJ\n__all__ = ['fJ']\n\nclass cK(cJ):\n    def go(self):\n        return fJ(1)\n\n\ndef fK(x):\n    return x\n"))
+    text = text.when(kind == 1, filled("import { gJ } from './vJ';\nexport function gK(x) {\n  return gJ(x);\n}\n"))
+    text = text.when(kind == 2, filled("package a;\nimport a.xJ;\nimport java.util.List;\npublic class xK extends xJ {\n  public int run(int x) {\n    return xJ.run(x);\n  }\n}\n"))
+    text = text.otherwise(filled('#include "uJ.c"\n#include <stdio.h>\nint addK(int a) {\n  return addJ(a);\n}\n'))
+    return codegraph.parsed(table(spark, sf_dir, "part").select(path.alias("path"), text.alias("text")))
+
+
+PARTS = """n AS (SELECT p_partkey AS k, p_partkey + 4 AS j, p_partkey % 4 AS kind, p_partkey % 40 = 0 AS broken FROM part),
+f AS (SELECT n.*, CASE kind WHEN 0 THEN 'py/m' || k || '.py' WHEN 1 THEN 'web/v' || k || '.ts' WHEN 2 THEN 'src/main/java/a/x' || k || '.java' ELSE 'c/u' || k || '.c' END AS path FROM n),
+e AS (SELECT f.*, g.path AS dst, g.broken AS dst_broken FROM f LEFT JOIN f g ON g.k = f.j)"""
+
+
+@query(f"WITH {PARTS}" + """ SELECT path, line, end_line, x.kind, name, parent FROM f, LATERAL (VALUES
+  (0, 5, 7, 'class', 'c' || k, ''), (0, 6, 7, 'method', 'go', 'c' || k), (0, 10, 11, 'function', 'f' || k, ''), (1, 2, 4, 'function', 'g' || k, ''),
+  (2, 4, 8, 'class', 'x' || k, ''), (2, 5, 7, 'method', 'run', 'x' || k), (3, 3, 5, 'function', 'add' || k, '')) x(l, line, end_line, kind, name, parent) WHERE l = f.kind AND NOT broken""")
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codegraph.symbols(sources(spark)).select("path", "line", "end_line", "kind", "name", "parent")
+    return codegraph.symbols(part_files(spark, sf_dir)).select("path", "line", "end_line", "kind", "name", "parent")
 
 
-@query(expected([
-    ("shop/__init__.py", "shop.users.UserStore", "shop/users.py", "resolved"), ("shop/users.py", "os", None, "external"), ("shop/users.py", "shop.base.Base", "shop/base.py", "resolved"),
-    ("shop/app.py", "shop.users", "shop/users.py", "resolved"), ("shop/app.py", ".base.connect", "shop/base.py", "resolved"), ("shop/app.py", "missing_package", None, "external"),
-    ("web/index.ts", "./view", "web/view.ts", "resolved"), ("web/view.ts", "../api/client", None, "unresolved"),
-    ("src/main/java/a/App.java", "a.util.Text", "src/main/java/a/util/Text.java", "resolved"), ("src/main/java/a/App.java", "java.util.List", None, "external"),
-    ("c/add.c", '"add.h', "c/add.h", "resolved"), ("c/add.c", "<stdio.h", None, "external")], "src, name, dst, kind"))
+@query(f"WITH {PARTS}" + """ SELECT path AS src, name, CASE WHEN own THEN dst END AS dst, CASE WHEN own AND dst IS NOT NULL THEN 'resolved' WHEN own AND kind > 0 THEN 'unresolved' ELSE 'external' END AS kind
+FROM e, LATERAL (VALUES (0, 'os', false), (0, 'py.m' || j || '.f' || j, true), (1, './v' || j, true), (2, 'a.x' || j, true), (2, 'java.util.List', false), (3, '"u' || j || '.c', true), (3, '<stdio.h', false)) x(l, name, own)
+WHERE l = e.kind AND NOT broken""")
 def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codegraph.imports(sources(spark)).select("src", "name", "dst", "kind")
+    return codegraph.imports(part_files(spark, sf_dir)).select("src", "name", "dst", "kind")
 
 
-@query(expected([
-    ("shop/users.py", "shop/users.py", "helper", "UserStore", 10), ("shop/app.py", "shop/base.py", "connect", "main", 7), ("shop/app.py", "shop/users.py", "helper", "main", 8),
-    ("src/main/java/a/App.java", "src/main/java/a/util/Text.java", "trim", "run", 6)],
-    "src, target, callee, caller, line"))
+@query(f"WITH {PARTS}" + """ SELECT path AS src, dst AS target, callee, caller, line FROM e, LATERAL (VALUES
+  (0, 'f' || j, 'c' || k, 7), (1, 'g' || j, 'g' || k, 3), (2, 'run', 'run', 6), (3, 'add' || j, 'add' || k, 4)) x(l, callee, caller, line) WHERE l = e.kind AND NOT broken AND dst IS NOT NULL""")
 def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = codegraph.parsed(sources(spark))
+    found = part_files(spark, sf_dir)
     return codegraph.calls(found, codegraph.imports(found), codegraph.symbols(found))
 
 
-@query(expected([
-    ("shop/__init__.py", 0), ("shop/users.py", 2), ("shop/base.py", 2), ("shop/app.py", 0), ("web/index.ts", 0), ("web/view.ts", 1), ("src/main/java/a/App.java", 0),
-    ("src/main/java/a/util/Text.java", 1), ("c/add.c", 0), ("c/add.h", 1), ("broken.py", 0)], "path, n").replace("SELECT *", "SELECT path, CAST(n AS BIGINT) AS fan_in"))
+@query(f"WITH {PARTS} SELECT path, CAST((SELECT count(*) FROM e WHERE e.dst = f.path AND NOT e.broken) AS BIGINT) AS fan_in FROM f")
 def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sources(spark)
+    found = part_files(spark, sf_dir)
     return codegraph.fan_in(found, codegraph.imports(found))
 
 
-@query(expected([
-    ("shop/users.py", "shop/__init__.py"), ("shop/users.py", "shop/app.py"), ("shop/base.py", "shop/users.py"), ("shop/base.py", "shop/app.py"), ("web/view.ts", "web/index.ts"),
-    ("src/main/java/a/util/Text.java", "src/main/java/a/App.java"), ("c/add.h", "c/add.c")], "path, importer"))
+@query(f"WITH {PARTS} SELECT dst AS path, path AS importer FROM e WHERE dst IS NOT NULL AND NOT broken")
 def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codegraph.importers(codegraph.imports(sources(spark)))
+    return codegraph.importers(codegraph.imports(part_files(spark, sf_dir)))
 
 
-@query(expected([("shop/users.py", "UserStore", "Base", "shop/base.py"), ("src/main/java/a/App.java", "App", "Base", "shop/base.py"), ("src/main/java/a/App.java", "App", "Runnable", None)], "path, name, base, base_path"))
+@query(f"WITH {PARTS} SELECT path, x || k AS name, x || j AS base, CASE WHEN NOT dst_broken THEN dst END AS base_path FROM (SELECT *, CASE kind WHEN 0 THEN 'c' ELSE 'x' END AS x FROM e) WHERE kind IN (0, 2) AND NOT broken")
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codegraph.hierarchy(codegraph.symbols(sources(spark)))
+    return codegraph.hierarchy(codegraph.symbols(part_files(spark, sf_dir)))
 
 
-@query(expected([("shop/__init__.py", "UserStore", "shop/users.py"), ("web/index.ts", "draw", "web/view.ts")], "path, name, source"))
+@query(f"WITH {PARTS} SELECT path, 'f' || j AS name, dst AS source FROM e WHERE kind = 0 AND NOT broken AND dst IS NOT NULL")
 def reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sources(spark)
+    found = part_files(spark, sf_dir)
     return codegraph.reexports(found, codegraph.imports(found))
 
 
-@query(expected([("shop/users.py", 5, "LIMIT", ""), ("shop/users.py", 9, "get_user_profile", "UserStore"), ("shop/users.py", 13, "purge", "UserStore"), ("shop/users.py", 8, "UserStore", "")], "path, line, name, parent").replace("SELECT *", "SELECT path, line AS at, name, parent"))
+@query(f"WITH {PARTS}" + """ SELECT path, "at", name, parent FROM f, LATERAL (VALUES (0, 5, 'c' || k, ''), (0, 7, 'go', 'c' || k), (0, 11, 'f' || k, ''), (1, 3, 'g' || k, ''), (2, 7, 'run', 'x' || k),
+  (2, 8, 'x' || k, ''), (3, 3, 'add' || k, ''), (3, 5, 'add' || k, '')) x(l, "at", name, parent) WHERE l = f.kind AND NOT broken""")
 def line_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = literal(spark, [("shop/users.py", n) for n in (1, 5, 8, 9, 13, 14)], "path string, at int")
-    return codegraph.owner_of_line(codegraph.symbols(sources(spark)), lines)
+    """Who owns the lines 1, 5, 7, 8 and 11, and in scripts and C the third."""
+    found = part_files(spark, sf_dir)
+    few = F.when(F.col("path").rlike("ts$"), F.array(F.lit(3))).when(F.col("path").rlike("c$"), F.array(F.lit(1), F.lit(3), F.lit(5)))
+    few = few.when(F.col("path").rlike("java$"), F.array(F.lit(1), F.lit(7), F.lit(8))).otherwise(F.array(F.lit(1), F.lit(5), F.lit(7), F.lit(11)))
+    return codegraph.owner_of_line(codegraph.symbols(found), found.select("path", F.explode(few).alias("at")))
 
 
-@query(expected([(p, not_ok) for p, not_ok in ((p, p == "broken.py") for p, _ in SOURCES)], "path, parse_error"))
+@query(f"WITH {PARTS} SELECT path, CASE kind WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'java' ELSE 'c' END AS language, broken AS parse_error FROM f")
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codegraph.files(sources(spark)).select("path", "parse_error")
+    return codegraph.files(part_files(spark, sf_dir)).select("path", "language", "parse_error")
 
 
 @query()
@@ -131,31 +140,37 @@ def code_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal(spark, [("shop/users.py#helper", json.dumps(codegraph.pack(sources(spark), "shop/users.py#helper"), sort_keys=True))], "target string, pack string")
 
 
-@query(expected([(1, "- function f"), (1, "+ function g"), (1, "+ import os")], "id, change"))
+@query("""SELECT p_partkey AS id, unnest(['+ import m' || p_partkey, '+ function g' || p_partkey, '- function f' || p_partkey, 'signature changed: C.h' || p_partkey]) AS change FROM part""")
 def skeleton_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = literal(spark, [(1, "def f():\n    pass\n", "import os\n\ndef g():\n    pass\n")], "id int, old string, new string")
+    """Of every part a file before and after: a function of another name, an import, a method of another signature."""
+    k = F.col("p_partkey").cast("string")
+    old = F.concat(F.lit("def f"), k, F.lit("():\n    pass\n\nclass C:\n    def h"), k, F.lit("(self):\n        pass\n"))
+    new = F.concat(F.lit("class C:\n    def h"), k, F.lit("(self, x):\n        import m"), k, F.lit("\n\ndef g"), k, F.lit("():\n    pass\n"))
+    pair = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), old.alias("old"), new.alias("new"))
     diff = lambda a, b: [(x,) for x in code.skeleton_diff(code.skeleton(a, "python"), code.skeleton(b, "python"))]
     return generate(pair, ["id"], ["old", "new"], diff, [("change", "string")])
 
 
-NOTEBOOK = json.dumps({"cells": [{"cell_type": "markdown", "source": ["# T\n", "x"]}, {"cell_type": "code", "source": "%magic\nx = 1\n!ls"}, {"cell_type": "code", "source": ["y = 2"]}],
-                       "metadata": {"kernelspec": {"language": "python"}}})
-
-
-@query(expected([("# T\nx", "x = 1\n\ny = 2", "python")], "prose, code, language"))
+@query("""SELECT p_partkey AS id, '# ' || p_name || chr(10) || 'x' || chr(10) || chr(10) || p_brand AS prose, 'x = ' || p_size || chr(10) || chr(10) || 'y = 2' AS code, 'python' AS language FROM part""")
 def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A notebook by built-in JSON functions: irregular cells fall back to the scanner elsewhere."""
-    rows = literal(spark, [(1, NOTEBOOK)], "id int, text string")
+    """Every part as a notebook of two cells of prose and two of code."""
+    cell = lambda kind, source: F.struct(F.lit(kind).alias("cell_type"), source.alias("source"))
+    cells = F.array(
+        cell("markdown", F.array(F.concat(F.lit("# "), "p_name", F.lit("\n")), F.lit("x"))), cell("code", F.array(F.lit("%magic\n"), F.concat(F.lit("x = "), "p_size", F.lit("\n")), F.lit("!ls"))),
+        cell("markdown", F.array("p_brand")), cell("code", F.array(F.lit("y = 2"))))
+    text = F.to_json(F.struct(cells.alias("cells"), F.struct(F.struct(F.lit("python").alias("language")).alias("kernelspec")).alias("metadata")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
     one = lambda t: [("\n\n".join(c[0]), c[1], c[2])] if (c := markdown.notebook_cells(t)) else []
-    return generate(rows, ["id"], ["text"], one, [("prose", "string"), ("code", "string"), ("language", "string")]).drop("id")
-
+    return generate(rows, ["id"], ["text"], one, [("prose", "string"), ("code", "string"), ("language", "string")])
 
-VTT = "WEBVTT\n\n00:00.000 --> 00:02.000\nhello <b>there</b>\n\n00:02.000 --> 00:03.000\nhello there\n\n00:08.000 --> 00:09.000\nagain\n"
 
-
-@query(expected([(1, "hello there\nagain")], "id, text"))
+@query("SELECT p_partkey AS id, p_name || chr(10) || p_brand || ' & ' || p_size || chr(10) || chr(10) || 'again' AS text FROM part")
 def vtt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, [(1, VTT)], "id int, text string").select("id", scalar(markdown.vtt_to_text, "string")("text").alias("text"))
+    """Every part as captions of four cues, one of them said twice, with a pause before the last."""
+    cue = lambda a, b, said: F.concat(F.lit(f"00:{a}.000 --> 00:{b}.000\n"), said, F.lit("\n\n"))
+    brand = F.concat("p_brand", F.lit(" &amp; "), "p_size")
+    text = F.concat(F.lit("WEBVTT\n\n"), cue("00", "02", F.concat(F.lit("<v Ann>"), "p_name")), cue("02", "03", F.col("p_name")), cue("03", "04", brand), cue("09", "10", F.lit("again")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scalar(lambda t: markdown.vtt_to_text(t, 2.0), "string")(text).alias("text"))
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
@@ -196,33 +211,40 @@ def events_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Notes, files and vectors --------------------------------------------------------------------------
 
-NOTES = [
-    ("a/one.md", "---\ndocuments: papers/deep.pdf\n---\n# One\nsee ![[pic.png]] and [[two#part|x]] `[[no]]`\n"),
-    ("b/two.md", "# [[one]]\n![alt](img/pic.png) [t](../a/one.md) [web](https://x.y)\n"),
-    ("c/three.md", "plain\n```\n[[fence]]\n```\nADR-0012 and [[Nowhere]]\n"),
-]
-ASSETS = [("a/pic.png",), ("b/img/pic.png",), ("papers/deep.pdf",)]
+def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text, doc_id: every document as a note with frontmatter, headings, links to the next one, files, and links in code that are none."""
+    key = F.col("doc_id")
+    me, other = key.cast("string"), (key + 1).cast("string")
+    before = F.concat(F.lit("---\ndocuments: papers/d"), me, F.lit(".pdf\n---\n# Note "), me, F.lit("\nsee ![[pic"), me, F.lit(".png]] and [[n"), other, F.lit("#part|x]] `[[no]]`\n\n```\n[[fence]]\n# no heading\n```\n\n"))
+    after = F.concat(F.lit("\n\n## Links ##\n\n[t](../up/n"), other, F.lit(".md) [w](https://x.y) ADR-0012 &#91;&#91;Nowhere]]\n"))
+    line = F.regexp_replace(F.regexp_extract(T.text_of("text"), r"^([^\n]*)", 1), r"[^\p{L}\p{N} ]", "")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("notes/n"), me, F.lit(".md")).alias("path"), F.concat(before, line, after).alias("text"), "doc_id")
 
 
-@query(expected([("a/one.md", "two", False), ("b/two.md", "one", True), ("b/two.md", "../a/one.md", False), ("c/three.md", "ADR-0012", False), ("c/three.md", "Nowhere", False)], "src, target, scaffold"))
+@query("""SELECT 'notes/n' || doc_id || '.md' AS src, unnest(['n' || (doc_id + 1), '../up/n' || (doc_id + 1) || '.md', 'ADR-0012', 'Nowhere']) AS target, false AS scaffold FROM documents""")
 def links_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = literal(spark, NOTES, "path string, text string")
-    rows = generate(notes, ["path"], ["text"], lambda t: markdown.link_rows(t), [("kind", "string"), ("target", "string"), ("scaffold", "boolean")])
+    rows = generate(document_notes(spark, sf_dir), ["path"], ["text"], lambda t: markdown.link_rows(t), [("kind", "string"), ("target", "string"), ("scaffold", "boolean")])
     return rows.where("kind = 'link'").select(F.col("path").alias("src"), "target", "scaffold")
 
 
-@query(expected([("a/one.md", "pic.png", "embed", "a/pic.png"), ("a/one.md", "papers/deep.pdf", "documents", "papers/deep.pdf"), ("b/two.md", "img/pic.png", "embed", "b/img/pic.png")], "src, target, kind, asset"))
+@query("""SELECT 'notes/n' || doc_id || '.md' AS src, x.target, x.kind, x.asset FROM documents, LATERAL (VALUES
+  ('pic' || doc_id || '.png', 'embed', CASE WHEN doc_id % 3 = 0 THEN 'notes/img/pic' || doc_id || '.png' WHEN doc_id % 3 = 1 THEN 'pic' || doc_id || '.png' END),
+  ('papers/d' || doc_id || '.pdf', 'documents', 'deep/papers/d' || doc_id || '.pdf')) x(target, kind, asset)""")
 def assets_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pictures lie near the note, at the top, or nowhere; a third of those near have a namesake at the top."""
     from gleanery.operators import assets
 
-    return assets.resolve(assets.references(literal(spark, NOTES, "path string, text string")), literal(spark, ASSETS, "path string"))
+    notes = document_notes(spark, sf_dir)
+    name = F.concat(F.lit("pic"), F.col("doc_id").cast("string"), F.lit(".png"))
+    near, top = notes.where("doc_id % 3 = 0").select(F.concat(F.lit("notes/img/"), name).alias("path")), notes.where("doc_id % 3 = 1 OR doc_id % 9 = 0").select(name.alias("path"))
+    papers = notes.select(F.concat(F.lit("deep/papers/d"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"))
+    return assets.resolve(assets.references(notes.select("path", "text")), near.union(top).union(papers))
 
 
-@query(expected([("a/one.md", 1, "One", 4), ("b/two.md", 1, "[[one]]", 1)], "path, level, title, line"))
+@query("SELECT 'notes/n' || doc_id || '.md' AS path, x.* FROM documents, LATERAL (VALUES (1, 'Note ' || doc_id, 4), (2, 'Links', 14)) x(level, title, line)")
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = literal(spark, NOTES, "path string, text string")
     fields = [("level", "int"), ("title", "string"), ("line", "int"), ("end_line", "int")]
-    return generate(notes, ["path"], ["text"], lambda t: markdown.headings(t), fields).drop("end_line")
+    return generate(document_notes(spark, sf_dir), ["path"], ["text"], lambda t: markdown.headings(t), fields).drop("end_line")
 
 
 @query("""WITH e AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, CAST(turn AS INT) AS turn, 256 AS size FROM e WHERE len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) >= 3""")

@@ -112,10 +112,14 @@ def path_of(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    path, fs = path_of(spark, name)
+    return fs.exists(path)
+
+
 def read_text(spark: SparkSession, name: str) -> str | None:
     """The content of a small file, null if there is none."""
-    path, fs = path_of(spark, name)
-    return spark.read.text(name, wholetext=True).first()[0] if fs.exists(path) else None
+    return spark.read.text(name, wholetext=True).first()[0] if exists(spark, name) else None
 
 
 def replace_text(spark: SparkSession, name: str, content: str) -> None:
@@ -156,9 +160,8 @@ def only_writer(spark: SparkSession, name: str, stale_s: float = 6 * 3600) -> It
 
 
 def remove_shared(spark: SparkSession, uri: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, fs = path_of(spark, uri)
+    fs.delete(path, True)
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:

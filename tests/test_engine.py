@@ -146,3 +146,34 @@ def test_empty_corpus(spark, tmp_path):
     e.build()
     reply = e.search("anything")
     assert reply["hits"] == [] and reply["terms_absent"] == ["anything"]
+
+
+def test_aliases_properties_and_mentions(spark):
+    notes = spark.createDataFrame([("a.md", "---\naliases: [First, Other]\nn: 3\n---\nsee `src/x.py`, `x.py`, `f(x)` and `and/or`\n```\n`no/way.py`\n```\n"), ("b.md", "plain `a b`"), ("c.md", None)], "path string, text string")
+    assert sorted(map(tuple, links.alias_index(notes).collect())) == [("first", "a.md"), ("other", "a.md")]
+    assert sorted(map(tuple, links.properties(notes).collect())) == [("a.md", "aliases", '["First", "Other"]'), ("a.md", "n", "3")]
+    assert sorted(r["mention"] for r in links.path_mentions(notes).collect()) == ["and/or", "src/x.py", "x.py"]
+
+
+def test_packs_show_what_the_text_mentions(spark):
+    from gleanery.operators import codegraph
+
+    files = {
+        "p/__init__.py": "", "p/used.py": "class Thing:\n    def make(self):\n        pass\n\n    def _hide(self):\n        pass\n\n\nclass _Inner:\n    def seen(self):\n        pass\n",
+        "p/first.py": "def first(a):\n    return a\n", "p/unused.py": "def never():\n    pass\n",
+        "p/main.py": "from p.used import (\n    Thing,\n)\nfrom p.first import first\nfrom p.unused import never\n\n\ndef run():\n    first(1)\n    return Thing()\n",
+        "j/A.java": "package j;\npublic class A {\n  public int go() {\n    return new B().one();\n  }\n}\n",
+        "j/B.java": "package j;\npublic class B {\n  public int one() {\n    return 1;\n  }\n  private int two() {\n    return 2;\n  }\n}\n", "j/C.java": "package j;\npublic class C {\n}\n",
+    }
+    sources = spark.createDataFrame(list(files.items()), "path string, text string")
+    near = codegraph.pack(sources, "p/main.py")["sections"]["neighbourhood"]
+    assert near == ["p/first.py\ndef first(a)", "p/used.py\nclass Thing\n  def make(self)"]
+    assert codegraph.pack(sources, "j/A.java")["sections"]["neighbourhood"] == ["j/B.java\npublic class B\n  public int one()"]
+    masked = codegraph.without_imports("import {\n  a,\n} from './m';\nx = (1\nimport os  # TODO(\n\nos.x()\n")
+    assert masked.split() == ["x", "=", "(1", "os.x()"] and len(masked) == 62
+
+
+def test_status_has_seven_checks(engine):
+    found = {r["check"]: r["verdict"] for r in engine.status().collect()}
+    assert found.pop("shared folder") == ("ok" if engine.spark.conf.get("spark.checkpoint.dir", None) else "warn")
+    assert found == {"corpus": "ok", "index": "ok", "segments": "ok", "unconverted": "warn", "failures": "ok", "vectors": "warn"}

@@ -81,3 +81,11 @@ def test_walks_stop_at_the_fan(spark):
     seeds = spark.createDataFrame([(1, "s", 1)], "qid int, node string, rank int")
     got = {r["node"]: r["score"] for r in assets.expand(seeds, edges, {"link": 1.0}, 2, fan=2).collect()}
     assert set(got) == {"s", "n0", "n1", "far"} and got["n0"] > got["far"]
+
+
+def test_named_nodes_score_more(spark):
+    edges = spark.createDataFrame([("s", "x/Alpha beta.md", "link"), ("s", "x/gamma.md", "link")], "src string, dst string, kind string")
+    seeds = spark.createDataFrame([(1, "s", 1)], "qid int, node string, rank int")
+    asked = spark.createDataFrame([(1, ["alpha", "md"])], "qid int, terms array<string>")
+    got = {r["node"]: r["score"] for r in assets.expand(seeds, edges, {"link": 1.0}, hops=1, asked=asked).collect()}
+    assert got["x/Alpha beta.md"] == pytest.approx(1.5 * got["x/gamma.md"])

@@ -139,3 +139,12 @@ def test_language_map_and_shape_changes():
     new = code.skeleton("import sys\nclass A:\n    def f(self, x):\n        import json\n\n    def g(self):\n        pass\n", "python")
     assert code.skeleton_diff(old, new) == ["+ import json", "+ import sys", "- import os", "+ method A.g", "- function gone", "signature changed: A.f"]
     assert code.skeleton_diff(old, old) == []
+
+
+def test_drawings_and_comments(spark):
+    from gleanery.functions import code
+
+    assert one(spark, T.is_drawing("text"), "---\nexcalidraw-plugin: parsed\n---\nx") and not one(spark, T.is_drawing("text"), "---\na: excalidraw-plugin\n---\nexcalidraw-plugin: x")
+    assert code.clean_comment("Copyright 2020 X\n-----\nSPDX-License-Identifier: MIT\n\nAdds numbers.\n== ==\nAll rights reserved.") == "Adds numbers."
+    found = code.skeleton("// Copyright me\n// ======\n// Adds one.\nint add(int a) {\n  return a + 1;\n}\n", "c")
+    assert found.symbols[0][4] == "Adds one."
