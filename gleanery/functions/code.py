@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from dataclasses import dataclass, field
+from itertools import groupby
 
 # Languages by file ending, and those of which only the presence is told.
 LANGUAGES = {
@@ -36,7 +37,8 @@ BARE = frozenset({"toml", "html", "css"})
 #: Endings beside those.
 LANGUAGES |= {".pyi": "python", ".mts": "typescript", ".cts": "typescript", ".ipynb": "notebook"}
 LONGEST_UNIT, WINDOW_LINES = 120, 80
-COMMENT_STARTS = ("#", "//", "/*", "*", "*/", "@")
+# How lines of comments begin.
+COMMENT_STARTS = ("#", "//", "/*", "*", "*/", "--", ";")
 
 
 @dataclass
@@ -247,27 +249,27 @@ def skeleton(text: str | None, language: str | None) -> Skeleton:
 
 
 def units(path: str, text: str | None) -> list[tuple[int, str, str]]:
-    """(offset, text, title): runs of lines that one innermost symbol owns, with the comment right above; long runs in windows."""
+    """(offset, text, title): runs of lines that one innermost symbol owns; long runs in windows.
+
+    A run of nothing but comments and blank lines goes with the symbol below it.
+    """
     lines = (text or "").splitlines(keepends=True)
-    found = skeleton(text, language_for(path))
     owner = [""] * len(lines)
-    for _, name, parent, _, _, first, last in sorted(found.symbols, key=lambda s: (s[5], -s[6])):
-        title = f"{parent}.{name}" if parent else name
-        owner[first - 1 : min(last, len(lines))] = [title] * (min(last, len(lines)) - first + 1)
-    # A block of comments belongs to the symbol below it.
-    for i in range(len(lines) - 2, -1, -1):
-        if not owner[i] and owner[i + 1] and lines[i].strip().startswith(COMMENT_STARTS) and (i + 1 == len(lines) or lines[i + 1].strip()):
-            owner[i] = owner[i + 1]
-    out, start, offset = [], 0, 0
-    for i in range(1, len(lines) + 1):
-        if i == len(lines) or owner[i] != owner[start]:
-            size = i - start if i - start <= LONGEST_UNIT else WINDOW_LINES
-            for a in range(start, i, size):
-                part = "".join(lines[a : min(a + size, i)])
-                if part.strip():
-                    out.append((offset, part, owner[start]))
-                offset += len(part)
-            start = i
+    for _, name, parent, _, _, first, last in sorted(skeleton(text, language_for(path)).symbols, key=lambda s: (s[5], -s[6])):
+        owner[first - 1 : min(last, len(lines))] = [f"{parent}.{name}" if parent else name] * (min(last, len(lines)) - first + 1)
+    runs = [(title, [line for _, line in part]) for title, part in groupby(zip(owner, lines, strict=True), key=lambda x: x[0])]
+    out, held, offset = [], [], 0
+    for (title, part), (following, _) in zip(runs, [*runs[1:], ("", [])], strict=True):
+        held += part
+        if following and all(not x.strip() or x.strip().startswith(COMMENT_STARTS) for x in part):
+            continue
+        size = len(held) if len(held) <= LONGEST_UNIT else WINDOW_LINES
+        for at in range(0, len(held), size):
+            piece = "".join(held[at : at + size])
+            if piece.strip():
+                out.append((offset, piece, title))
+            offset += len(piece)
+        held = []
     return out
 
 

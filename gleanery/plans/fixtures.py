@@ -124,14 +124,31 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codegraph.files(part_files(spark, sf_dir)).select("path", "language", "parse_error")
 
 
-@query()
+TEXTS = f"""{PARTS}, t AS (SELECT path, kind, broken, k, replace(replace(CASE WHEN broken THEN E'def broken(:\\n'
+  WHEN kind = 0 THEN E'import os\\nfrom py.m~J import f~J\\n__all__ = [\\'f~J\\']\\n\\nclass c~K(c~J):\\n    def go(self):\\n        return f~J(1)\\n\\n\\ndef f~K(x):\\n    return x\\n'
+  WHEN kind = 1 THEN E'import {{ g~J }} from \\'./v~J\\';\\nexport function g~K(x) {{\\n  return g~J(x);\\n}}\\n'
+  WHEN kind = 2 THEN E'package a;\\nimport a.x~J;\\nimport java.util.List;\\npublic class x~K extends x~J {{\\n  public int run(int x) {{\\n    return x~J.run(x);\\n  }}\\n}}\\n'
+  ELSE E'#include "u~J.c"\\n#include <stdio.h>\\nint add~K(int a) {{\\n  return add~J(a);\\n}}\\n' END, '~K', CAST(k AS VARCHAR)), '~J', CAST(j AS VARCHAR)) AS text FROM f)"""
+
+
+@query(f"WITH {TEXTS}" + """ SELECT path, CAST(b AS INT) AS off, title, md5(substr(text, b + 1, e - b)) AS body FROM t, LATERAL (VALUES
+  (9, 0, length(text), ''), (0, 0, instr(text, 'class c') - 1, ''), (0, instr(text, 'class c') - 1, instr(text, '    def go') - 1, 'c' || k), (0, instr(text, '    def go') - 1, instr(text, E'\\n\\n\\ndef f'), 'c' || k || '.go'),
+  (0, instr(text, E'\\n\\n\\ndef f'), length(text), 'f' || k), (1, 0, instr(text, 'export') - 1, ''), (1, instr(text, 'export') - 1, length(text), 'g' || k),
+  (2, 0, instr(text, 'public class') - 1, ''), (2, instr(text, 'public class') - 1, instr(text, '  public int') - 1, 'x' || k), (2, instr(text, '  public int') - 1, length(text) - 2, 'x' || k || '.run'),
+  (2, length(text) - 2, length(text), 'x' || k), (3, 0, length(text), 'add' || k)) x(l, b, e, title)
+  WHERE l = CASE WHEN broken THEN 9 ELSE kind END""")
 def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codegraph.units(sources(spark))
+    return codegraph.units(part_files(spark, sf_dir)).select("path", "off", "title", F.md5(F.col("text").cast("binary")).alias("body"))
 
 
-@query()
+@query(f"WITH {PARTS}" + """, fi AS (SELECT path, kind, broken, k, (SELECT count(*) FROM e WHERE e.dst = f.path AND NOT e.broken) AS n FROM f),
+best AS (SELECT *, row_number() OVER (ORDER BY n DESC, path) AS p FROM fi ORDER BY n DESC, path LIMIT 30),
+w AS (SELECT regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^.]+$', '') AS word, p, 0 AS l FROM best
+  UNION ALL SELECT name, p, line FROM best, LATERAL (VALUES (0, 5, 'c' || k), (0, 10, 'f' || k), (1, 2, 'g' || k), (2, 4, 'x' || k), (3, 3, 'add' || k)) x(q, line, name) WHERE q = kind AND NOT broken),
+m AS (SELECT word, min(p * 1000 + l) AS place FROM w GROUP BY word)
+SELECT word, CAST(row_number() OVER (ORDER BY place, word) AS INT) AS position FROM m""")
 def code_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sources(spark)
+    found = part_files(spark, sf_dir)
     return codegraph.vocabulary(codegraph.symbols(found), codegraph.fan_in(found, codegraph.imports(found)))
 
 

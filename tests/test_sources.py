@@ -33,7 +33,9 @@ def test_code_units_and_errors():
     found = code.units("x.py", source)
     assert [t for _, _, t in found] == ["", "LIMIT", "UserStore", "UserStore.get_user_profile", "UserStore.purge", "unrelated", ""]
     assert all(source[o:].startswith(part) for o, part, _ in found)
-    assert found[2][1].startswith("# about")
+    assert found[2][1].lstrip().startswith("# about") and "# about" not in found[1][1]
+    mixed = code.units("m.py", "import os\n# of the import's run\ndef f():\n    pass\n")
+    assert [t for _, _, t in mixed] == ["", "f"] and "# of" in mixed[0][1]
     long = "def f():\n" + "    x = 1\n" * 200
     assert [t for _, _, t in code.units("y.py", long)] == ["f", "f", "f"]
     assert code.skeleton("def (", "python").parse_error and code.units("z.txt", "a\n" * 200)[0][2] == ""
