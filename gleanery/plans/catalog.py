@@ -11,7 +11,7 @@ from gleanery.functions import markdown, units
 from gleanery.functions import text as T
 from gleanery.functions.arrow import scalar
 from gleanery.operators import evaluation, files, fusion, langid, lexical, links, pages, refresh, windows
-from gleanery.session import exists, files_state, prepare
+from gleanery.session import exists, files_state, prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,7 +77,7 @@ def documents_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     state = (spark.sparkContext.applicationId, files_state(docs))
     if state not in INDEXES or not exists(spark, INDEXES[state].postings.stored_at):
-        INDEXES[state] = lexical.index(docs, "doc_id", T.words("text"))
+        INDEXES[state] = lexical.index(spread(docs), "doc_id", T.words("text"))
     return INDEXES[state]
 
 
@@ -189,7 +189,7 @@ ss AS (
 
 
 def two_stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     sections = units.terms(turns, ["conv_id", "turn"], T.words("text"))
     postings = sections.groupBy("conv_id", "term").agg(F.sum("tf").alias("tf"))
     lengths = turns.groupBy("conv_id").agg(F.sum(F.size(T.words("text"))).cast("long").alias("dl"))
@@ -486,7 +486,7 @@ got AS (SELECT qid, sum(1 / log2(rank + 1)) AS dcg, max(1.0 / rank) AS rr, count
 def run_and_qrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The ten best documents of every passage, and the documents that hold it word for word as the relevant ones."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = lexical.small(items, fusion.MAX_QUERIES)
     qrels = docs.join(asked, F.contains("text", "item")).select("qid", "doc_id", F.lit(1).alias("rel"))
     return bm25_documents(spark, sf_dir), qrels

@@ -17,6 +17,8 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes a core up to which a table may be dealt out to all cores.
+SMALL = 16 << 20
 _WRITTEN: list[str] = []
 
 
@@ -81,18 +83,34 @@ def release_new(spark: SparkSession, before: list[str], *keep: DataFrame) -> Non
         remove_shared(spark, path)
 
 
-def files_state(df: DataFrame) -> int:
-    """A digest of the names, sizes and times of the files that df reads."""
-    spark = df.sparkSession
-    conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    found = []
-    for name in sorted(df.inputFiles()):
-        path = make(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        found.append((name, status.getLen(), status.getModificationTime()))
+def read_bytes(df: DataFrame) -> int:
+    """How many bytes Spark expects df to read, by the sizes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def files_state(df: DataFrame, asked: int = 1_000) -> int:
+    """A digest of the names and the size of the files that df reads, and of their times if there are no more than asked."""
+    names = sorted(df.inputFiles())
+    found: list = [read_bytes(df), *names]
+    if len(names) <= asked:
+        for name in names:
+            path, fs = path_of(df.sparkSession, name)
+            found.append(fs.getFileStatus(path).getModificationTime())
     return hash(tuple(found))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, or dealt out to all cores where it is so small that a few tasks would read it whole.
+
+    A file of one row group is read by one task however many cores wait. Tables of over SMALL bytes a core, and those
+    that are read by more tasks than there are cores, are never dealt out: there it would be a shuffle for nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if read_bytes(df) > SMALL * cores or df._jdf.queryExecution().toRdd().getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
+
+
 def write_shared_bytes(spark: SparkSession, label: str, content: bytes) -> str:
     """Store bytes as one file in the shared folder by Hadoop's file API; returns its URI."""
     jvm = spark.sparkContext._jvm

@@ -190,3 +190,19 @@ def test_a_folder_from_the_shell(tmp_path, capsys):
     assert ask("read", "sub/a.md", "--start", "3", "--end", "3")[1]["text"] == "alpha beta [[b]] [[Nope]]"
     assert ask("read", "none.md")[0] == 1 and ask("read", "none.md")[1]["error"]["code"] == "not_found"
     assert ask("write", "b", "x", "--create-only")[1]["error"]["code"] == "bad_argument" and ask("files")[1]["counts"]["indexed"] == 3
+
+
+def test_only_small_tables_of_few_tasks_are_dealt_out(spark, tmp_path, monkeypatch):
+    from gleanery import session
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(one).rdd.getNumPartitions() == cores and session.spread(one).count() == 100
+    assert session.spread(one.repartition(cores + 1)).rdd.getNumPartitions() == cores + 1
+    state = session.files_state(one)
+    assert state == session.files_state(spark.read.parquet(f"{tmp_path}/one"))
+    monkeypatch.setattr(session, "SMALL", 0)
+    assert session.spread(one) is one
+    spark.range(200).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/one")
+    assert state != session.files_state(spark.read.parquet(f"{tmp_path}/one"))
