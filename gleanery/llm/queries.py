@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, language, media, mixing, placement, quality, simhash, substrings, syncmers, urls
-from gleanery.session import prepare
+from gleanery.session import prepare, spread
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Fixed values of the URL query's contract: verdict, host, path.
@@ -27,23 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents for operators that spend their time on each text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return syncmers.edited_fingerprints(documents(spark, sf_dir))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held = language.held_out(F.col("doc_id"), 4, 2)
     found = language.identify(docs, language.learn(docs.where(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_components(documents(spark, sf_dir))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+    return substrings.removal_digests(documents(spark, sf_dir))
 
 
 OP4_SQL = r"""
@@ -64,7 +69,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.texts_as_audio(table(spark, sf_dir, "documents"))
+    return media.texts_as_audio(documents(spark, sf_dir))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +116,11 @@ SELECT doc_id, source, slot, CAST(owners[slot + 1] AS BIGINT) AS shard FROM s, t
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.round_trip(documents(spark, sf_dir), TOKENIZER)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held = language.held_out(F.col("doc_id"), 5, 0)
     model = quality.learn(docs.select("doc_id", "text").where(~held), table(spark, sf_dir, "labels").where(~held))
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
