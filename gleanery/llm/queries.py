@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, language, media, mixing, placement, quality, simhash, substrings, syncmers, urls
+from gleanery.llm import bpe, language, media, mixing, packing, placement, quality, simhash, substrings, syncmers, urls
 from gleanery.session import prepare, spread
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -126,8 +126,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digests(documents(spark, sf_dir), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_language, op3_simhash, op4_substrings, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality]
+    found = [op1_fingerprints, op2_language, op3_simhash, op4_substrings, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality, op13_packing]
     return {f.__name__: f for f in found}
 
 
