@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BATCH_BYTES = 32 << 20
 #: Bytes a core up to which a table may be dealt out to all cores.
 SMALL = 16 << 20
 _WRITTEN: list[str] = []
@@ -29,6 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     if spark.conf.get(BATCH, "10000") == "10000":
         spark.conf.set(BATCH, "2000")
+    if int(spark.conf.get(BATCH_BYTES, str(2**31 - 1))) > MOST_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, str(MOST_BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
