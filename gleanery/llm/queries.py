@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import bpe, language, media, mixing, packing, placement, quality, simhash, substrings, syncmers, urls
+from gleanery.llm import bpe, centroids, language, media, mixing, negatives, packing, placement, quality, simhash, substrings, syncmers, urls
 from gleanery.session import prepare, spread
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -126,14 +126,76 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_report(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op11_sql() -> str:
+    """The rounds written out one after another; inner products of small integers are exact in doubles."""
+    rounds = []
+    for i in range(centroids.ROUNDS + 1):
+        rounds.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, v, n AS cluster, d FROM (
+    SELECT vec_id, v, n, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, n) AS r FROM (
+      SELECT vec_id, v, n, CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) AS d
+      FROM k, c{i})) WHERE r = 1)""")
+        if i < centroids.ROUNDS:
+            rounds.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT n, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % q) + q) % q) // q AS DOUBLE) ORDER BY p) AS m FROM (
+      SELECT cluster, p, sum(CAST(x AS BIGINT)) AS s, count(*) AS q
+      FROM (SELECT cluster, unnest(v) AS x, unnest(range({centroids.DIMS})) AS p FROM a{i}) GROUP BY cluster, p) GROUP BY cluster)
+  ON n = cluster)""")
+    last = centroids.ROUNDS
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMS}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS n, v AS c
+  FROM (SELECT v, sha256('2:' || CAST(vec_id AS VARCHAR)) AS h FROM k ORDER BY h LIMIT {centroids.CENTROIDS})),{",".join(rounds)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON cluster = n
+"""
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    rows = spread(table(spark, sf_dir, "embeddings")).withColumn("label", F.when(turned, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("key") % 100 == 0)
+
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS n FROM s WHERE same) WHERE n <= 5),
+w AS (
+  SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 10
+"""
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digests(documents(spark, sf_dir), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_language, op3_simhash, op4_substrings, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality, op13_packing]
+    found = [op1_fingerprints, op2_language, op3_simhash, op4_substrings, op5_media, op6_url_filters, op7_mixing, op8_sharding, op9_bpe, op10_quality, op11_centroids, op12_negatives, op13_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": OP4_SQL, "op6_url_filters": OP6_SQL, "op8_sharding": op8_sql()}
+    return {"op4_substrings": OP4_SQL, "op6_url_filters": OP6_SQL, "op8_sharding": op8_sql(), "op11_centroids": op11_sql(), "op12_negatives": OP12_SQL}
