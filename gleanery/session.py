@@ -91,14 +91,20 @@ def read_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def files_state(df: DataFrame, asked: int = 1_000) -> int:
-    """A digest of the names and the size of the files that df reads, and of their times if there are no more than asked."""
-    names = sorted(df.inputFiles())
-    found: list = [read_bytes(df), *names]
-    if len(names) <= asked:
-        for name in names:
-            path, fs = path_of(df.sparkSession, name)
-            found.append(fs.getFileStatus(path).getModificationTime())
+def files_state(df: DataFrame) -> int:
+    """A digest of the names, sizes and times of all files that df reads, as Spark listed them when it made df."""
+    nil = getattr(getattr(df.sparkSession.sparkContext._jvm.scala.collection.immutable, "Nil$"), "MODULE$")
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            raise ValueError(f"not a table of files: {leaf.nodeName()}")
+        listed = leaf.relation().location().listFiles(nil, nil).mkString(" ")  # one call, however many files
+        files = sorted(re.findall(r"FileStatus\{path=(.*?); isDirectory=.*?length=(\d+);.*?modification_time=(\d+)", listed))
+        if listed.count("FileStatus{") != len(files):
+            raise ValueError("this listing of files can't be read")
+        found += files
     return hash(tuple(found))
 
 

@@ -1,6 +1,8 @@
 """Every query with SQL gives the rows that DuckDB gives over the same tables."""
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -33,6 +35,16 @@ def test_query(spark, duck, name):
     assert rows == sorted(repr(tuple(r[i] for i in order)) for r in result.fetchall())
 
 
+@pytest.mark.parametrize("files", [3, 1_001])
+def test_the_shared_index_follows_rewritten_files(spark, tmp_path, files):
+    (tmp_path / "documents.parquet").mkdir()
+    for word in ("alpha", "gamma"):
+        for i in range(files):
+            pq.write_table(pa.table({"doc_id": [i], "text": [word]}), tmp_path / "documents.parquet" / f"{i}.parquet")
+        found = catalog.tokens_tf(spark, str(tmp_path)).groupBy("term").count().collect()
+        assert [tuple(r) for r in found] == [(word, files)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
