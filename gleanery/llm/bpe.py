@@ -47,9 +47,9 @@ ADDED = {
 LOWERED = "1C89>1C8A A7CB>264 A7CC>A7CD A7CE>A7CF A7D2>A7D3 A7D4>A7D5 A7DA>A7DB A7DC>19B 10D50-10D65>10D70 16EA0-16EB8>16EBB"
 # Marks that the library doesn't reorder and a vowel sign that it doesn't compose, as they came after its table.
 UNORDERED = (
-    "898 89C-89F 8CA-8CE 9FE C3C D3B-D3C EBA 1715 1AC1-1AC2 1AC5-1AC9 1ACB-1ACE 1DF6-1DF8 1DFA A82C 10D24-10D27 10EAB-10EAC 10F48-10F4A 10F4C "
-    "10F82 10F84 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 "
-    "1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4ED 1E4EF")
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B "
+    "1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE "
+    "1E2EC-1E2EF 1E4EC-1E4EF")
 
 
 def spans_of(listed: str) -> list[tuple[int, int]]:
