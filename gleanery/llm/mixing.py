@@ -1,12 +1,13 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source stand in one stream (documents in order of a hash bucket, then of their key), cut into blocks
-of a fixed length. A source has as many slots as its target asks for. Every slot draws one of the output shards, each
-with the same chance, so a source's counts over the shards are a multinomial draw, and the mix of sources in a shard
-varies as one; the totals are fixed, as drawing them too would leave small sources far from their targets. The slots of
-a source go through its blocks in turns; in each turn a keyed permutation of the block numbers ("swap or not", a
-bijection on any range) says which block a slot takes. Slots and documents meet in a join by source and block number,
-and every word taken belongs to the shard that its slot drew.
+of a fixed length. A source has as many slots as its target asks for. Output shards of SHARD_SLOTS slots each (the last
+has the rest) draw from the deck of all slots: place i of the mix takes the card that a keyed permutation of the deck
+puts there, and the cards of a shard's places say how many slots each source gives it. These counts are multinomial with
+the sources' totals given, as drawing the totals too would leave small sources far from their targets. A source's slots
+are numbered along its counts, shard by shard. They go through its blocks in turns; in each turn a keyed permutation of
+the block numbers ("swap or not", a bijection on any range) says which block a slot takes. Slots and documents meet in a
+join by source and block number, and every word taken belongs to the shard that drew its slot.
 
 Sources stand in order of code point, null last, and weigh 1, 2, 3, 1, 2, 3 and so on unless weights are given. A
 source's target stops at LIMIT times its size; the excess goes to the others by weight until none is above. A source
@@ -31,8 +32,10 @@ BLOCK_WORDS = 128
 LIMIT = 3
 WEIGHTS = (1, 2, 3)
 ROUNDS = 24
-#: Slots made by one task; slots meant for one output shard.
-CHUNK_SLOTS, SHARD_SLOTS = 50_000, 65_536
+#: Slots made by one task; slots of an output shard, more if there would be over MAX_SHARDS of them.
+CHUNK_SLOTS, SHARD_SLOTS, MAX_SHARDS = 50_000, 65_536, 1_000_000
+#: Sources summed at once, least number of cells of the deck, sources whose places in it are handed to every executor.
+GROUP_SOURCES, CELLS, MAX_BROADCAST = 4_096, 4_096, 100_000
 
 
 def literal(values: Sequence, kind: str) -> Column:
@@ -87,19 +90,43 @@ def planned(sized: DataFrame, weights: Sequence[float] | None, block_words: int,
     return materialise(found, "mix-plan")
 
 
+def deck(plan: DataFrame) -> DataFrame:
+    """sid, first and slots of the sources that have any: where each one's cards begin in the deck, in order of sid."""
+    group = F.floor(F.col("sid") / GROUP_SOURCES)
+    rows = plan.where("slots > 0").select("sid", "slots", group.alias("group"))
+    running = lambda w: F.coalesce(F.sum("slots").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("group").agg(F.sum("slots").alias("slots"))
+    groups = groups.select("group", running(Window.orderBy("group")).alias("before"))  # a row for each GROUP_SOURCES sources
+    rows = rows.withColumn("inner", running(Window.partitionBy("group").orderBy("sid"))).join(groups, "group")
+    return rows.select("sid", (F.col("before") + F.col("inner")).alias("first"), "slots")
+
+
+def counts(plan: DataFrame) -> DataFrame:
+    """shard, sid and n: how many slots every output shard draws from each source, where it draws any."""
+    total, sources = plan.where("slots > 0").agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
+    size = max(SHARD_SLOTS, -(-total // MAX_SHARDS))
+    cell = -(-max(total, 1) // max(CELLS, sources))  # cards meet their source in cells of the deck
+    low, high = F.floor(F.col("first") / cell), F.floor((F.col("first") + F.col("slots") - 1) / cell)
+    owners = deck(plan).select("sid", "first", (F.col("first") + F.col("slots")).alias("end"), F.explode(F.sequence(low, high)).alias("cell"))
+    owners = F.broadcast(owners) if sources <= MAX_BROADCAST else owners  # two rows a source at most, and CELLS
+    places = plan.sparkSession.range(0, total, 1, min(max(1, -(-total // CHUNK_SLOTS)), 10_000))
+    places = places.withColumn("card", permuted(F.col("id"), F.lit(max(total, 1)), F.lit("deck")))
+    places = places.select(F.floor(F.col("id") / size).alias("shard"), "card", F.floor(F.col("card") / cell).alias("cell"))
+    drawn = places.join(owners, (places["cell"] == owners["cell"]) & (F.col("card") >= F.col("first")) & (F.col("card") < F.col("end")))
+    return materialise(drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+
+
 def slots(plan: DataFrame) -> DataFrame:
-    """Every slot of the mix: sid, turn, block (its number) and the shard that it draws."""
-    total, chunks = plan.agg(F.sum("slots"), F.sum(F.ceil(F.col("slots") / CHUNK_SLOTS))).first()
-    shards = max(1, -(-(total or 0) // SHARD_SLOTS))
-    spread = plan.where("slots > 0").select(
-        "sid", "blocks", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS))).alias("chunk"))
-    first = F.col("chunk") * F.lit(CHUNK_SLOTS).cast("long")
-    spread = spread.repartition(min(max(1, chunks or 0), 10_000)).select(
-        "sid", "blocks", F.explode(F.sequence(first, F.least(first + F.lit(CHUNK_SLOTS), F.col("slots")) - 1)).alias("slot"))
+    """Every slot of the mix: sid, turn, block (its number) and the shard that drew it."""
+    drawn = counts(plan)
+    chunks = drawn.agg(F.sum(F.ceil(F.col("n") / CHUNK_SLOTS))).first()[0]
+    earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    first = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    spread = drawn.withColumn("first", first).join(plan.select("sid", "blocks"), "sid").repartition(min(max(1, chunks or 0), 10_000), "sid", "shard")
+    spread = spread.select("sid", "shard", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64("sid", turn))
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "sid", "slot"), F.lit(shards))
-    return spread.select("sid", turn.alias("turn"), block.alias("block"), shard.alias("shard"))
+    return spread.select("sid", turn.alias("turn"), block.alias("block"), "shard")
 
 
 def offsets(sized: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFrame:

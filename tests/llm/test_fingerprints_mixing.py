@@ -191,6 +191,13 @@ def spark_hash(*values):
     return seed - 2**64 if seed >= 2**63 else seed
 
 
+def permuted(at, n, key):
+    for r in range(1, mixing.ROUNDS + 1):
+        partner = (spark_hash(key, (r,)) % n - at) % n
+        at = partner if spark_hash(key, (r,), max(at, partner)) & 1 else at
+    return at
+
+
 def plain_mix(sizes, sources, block_words, shard_slots):
     """taken and shards of every document by the rules of the module, one word at a time."""
     names = sorted({s for s in sources.values()}, key=lambda s: (s is None, s or ""))
@@ -208,32 +215,37 @@ def plain_mix(sizes, sources, block_words, shard_slots):
         open_ -= set(over)
     blocks = {s: -(-size[s] // block_words) for s in names}
     count = {s: min(int(goal[s] * blocks[s] / size[s] + 0.5), 3 * blocks[s]) if size[s] else 0 for s in names}
-    shards = max(1, -(-sum(count.values()) // shard_slots))
+    total = sum(count.values())
+    shards = -(-total // shard_slots)
+    deck = [sid for sid, s in enumerate(names) for _ in range(count[s])]
+    drawn = [Counter(deck[permuted(i, total, "deck")] for i in range(k * shard_slots, min(total, (k + 1) * shard_slots))) for k in range(shards)]
     taken, of, buckets = Counter(), defaultdict(set), max(1, math.isqrt(len(sizes)))
     for sid, s in enumerate(names):
         ids = sorted((i for i in sizes if sources[i] == s), key=lambda i: (spark_hash("mix", i) % buckets, i))
         stream = [i for i in ids for _ in range(sizes[i])]
-        for slot in range(count[s]):
-            turn, at, n = slot // blocks[s], slot % blocks[s], blocks[s]
-            key = spark_hash(sid, turn)
-            for r in range(1, mixing.ROUNDS + 1):
-                partner = (spark_hash(key, (r,)) % n - at) % n
-                at = partner if spark_hash(key, (r,), max(at, partner)) & 1 else at
+        for slot, shard in enumerate(k for k in range(shards) for _ in range(drawn[k][sid])):
+            turn, n = slot // blocks[s], blocks[s]
+            at = permuted(slot % n, n, spark_hash(sid, turn))
             for i in stream[at * block_words : (at + 1) * block_words]:
                 taken[i] += 1
-                of[i].add(spark_hash("shard", sid, slot) % shards)
-    return taken, of, shards
+                of[i].add(shard)
+    return taken, of, drawn
 
 
 def test_mix_matches_a_plain_version(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
     texts = sample(8, 70)
     sources = {i: None if i % 7 == 6 else "hot" if i % 3 else f"s{i % 2}" for i in range(len(texts))}
-    taken, of, shards = plain_mix({i: len(t.split()) for i, t in enumerate(texts)}, sources, 4, 100)
+    taken, of, drawn = plain_mix({i: len(t.split()) for i, t in enumerate(texts)}, sources, 4, 100)
     docs = docs_of(spark, texts, sources)
     rows = {r["doc_id"]: r for r in mixing.mix(docs, block_words=4).collect()}
+    shards = len(drawn)
     assert shards > 5 and {i: r["taken"] for i, r in rows.items()} == {i: taken[i] for i in rows}
     assert {i: set(r["shards"]) for i, r in rows.items()} == {i: of[i] for i in rows}
+    sized = docs.select("source", mixing.count_words(F.col("text")).alias("size"))
+    counts = mixing.counts(mixing.planned(sized, None, 4, 3)).collect()
+    assert {(r["shard"], r["sid"]): r["n"] for r in counts} == {(k, sid): n for k, own in enumerate(drawn) for sid, n in own.items()}
+    assert [sum(own.values()) for own in drawn[:-1]] == [100] * (shards - 1)
     pieces = mixing.mix_documents(docs, block_words=4, shard="shard").collect()
     assert len({r["shard"] for r in pieces}) == shards
     assert all(set(WORD.findall(r["text"])) <= set(WORD.findall(texts[r["doc_id"]])) for r in pieces)
@@ -242,12 +254,32 @@ def test_mix_matches_a_plain_version(spark, monkeypatch):
 def test_the_draw_of_shards_is_multinomial(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 500)
     sized = spark.createDataFrame([("a", 20_000), ("b", 40_000), ("c", 30_000)], "source string, size long")
-    counts = mixing.slots(mixing.planned(sized, None, 1, 3)).groupBy("sid", "shard").count().collect()
+    counts = mixing.counts(mixing.planned(sized, None, 1, 3)).collect()
+    whole = Counter()
+    for r in counts:
+        whole[r["shard"]] += r["n"]
+    assert whole == {k: 500 for k in range(180)}
     for sid, total in ((0, 15_000), (1, 30_000), (2, 45_000)):
-        n = [r["count"] for r in counts if r["sid"] == sid]
-        mean = total / 180
-        spread = sum((x - mean) ** 2 for x in n) / len(n)
-        assert sum(n) == total and len(n) == 180 and 0.7 * mean < spread < 1.4 * mean
+        n = [r["n"] for r in counts if r["sid"] == sid]
+        mean, variance = total / 180, total / 180 * (1 - total / 90_000)
+        assert sum(n) == total and len(n) == 180 and 0.7 * variance < sum((x - mean) ** 2 for x in n) / len(n) < 1.4 * variance
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_many_sources_draw_their_cards(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 7)
+    monkeypatch.setattr(mixing, "CELLS", 5)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 10**6 if few else 0)
+    sized = spark.createDataFrame([(f"s{i:03d}", i * i % 37) for i in range(150)], "source string, size long")
+    plan = mixing.planned(sized, None, 1, 3)
+    wanted = {r["sid"]: r["slots"] for r in plan.collect() if r["slots"]}
+    drawn, whole = Counter(), Counter()
+    for r in mixing.counts(plan).collect():
+        drawn[r["sid"]] += r["n"]
+        whole[r["shard"]] += r["n"]
+    assert drawn == wanted and set(list(whole.values())) <= {64, sum(wanted.values()) % 64}
+    assert mixing.slots(plan).count() == sum(wanted.values())
 
 
 def test_mixed_documents_hold_the_words_taken(spark, monkeypatch):
