@@ -19,6 +19,7 @@ any others, each row by itself; an empty table gives an empty result. Other colu
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanery.llm.bpe import load
+from gleanery.llm import bpe
 from gleanery.llm.columns import slices
 from gleanery.llm.mixing import literal
 from gleanery.session import materialise
@@ -45,7 +46,7 @@ BUCKETS, DIMS, DIM_BITS = 256, 4, 10
 KEY_BITS, ROW_BITS = 12, 11
 PART_TOKENS, MAX_PARTS, SAMPLED = 1 << 20, 100_000, 20
 #: Words remembered by each Python worker, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 1_000_000, 64
 _RANDOM = np.random.Generator(np.random.PCG64(13))
 PROJECTION = np.linalg.qr(_RANDOM.standard_normal((BUCKETS, DIMS)))[0]
 
@@ -88,20 +89,39 @@ class Words:
         hashes = np.random.Generator(np.random.PCG64(7)).integers(0, 2 * BUCKETS, top)
         self.bucket, self.sign = hashes >> 1, (hashes & 1) * 2.0 - 1
         self.known: dict[str, bytes] = {}
+        data = json.loads(spec)
+        steps = [x["type"] for x in (data["normalizer"] or {}).get("normalizers", [])]
+        cuts = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (data["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and cuts == [("Split", bpe.FILE_PATTERN), ("ByteLevel", None)]
+        self.letters = str.maketrans({chr(c): "".join(bpe.byte_alphabet()[x] for x in chr(c).encode()) for c in range(256)})
+
+    def plain_texts(self, texts: pa.Array) -> pa.Array:
+        """Which texts may be lower-cased before they are split: plain ones without the marks of special tokens."""
+        return pc.invert(pc.match_substring_regex(texts, r"[^\t-\r\x20-\x7EÀ-ÖØ-öø-ÿ]|<\|"))
+
+    def ids(self, word: str) -> list[int]:
+        """The library's ids of a word; a plain one is cut here, which spares the library's slow normaliser."""
+        if self.plain and "<|" not in word and bpe.PLAIN.fullmatch(word):
+            return [t.id for piece in bpe.PLAIN_PIECE.findall(word.lower()) for t in self.library.model.tokenize(piece.translate(self.letters))]
+        return self.library.encode(word, add_special_tokens=False).ids
 
     def of(self, words: list[str]) -> list[bytes]:
         found = [self.known.get(w) for w in words]
-        new = [i for i, x in enumerate(found) if x is None]
-        coded = self.library.encode_batch([words[i] for i in new], add_special_tokens=False) if new else []
-        for i, one in zip(new, coded, strict=True):
-            found[i] = np.array(one.ids, self.unit).tobytes()
-            if len(self.known) < CACHE_WORDS and len(words[i]) <= CACHE_LENGTH:
-                self.known[words[i]] = found[i]
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = x = np.array(self.ids(words[i]), self.unit).tobytes()
+                if len(self.known) < CACHE_WORDS and len(words[i]) <= CACHE_LENGTH:
+                    self.known[words[i]] = x
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, an end id after each, and how many each has."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if self.plain:
+            # A mark after a word is a token of its own: apart, both are met more often.
+            apart = pc.replace_substring_regex(pc.utf8_lower(texts), r"([a-zß-öø-ÿ])([.,;:!?]+)(\s|$)", r"\1 \2\3")
+            texts = pc.if_else(self.plain_texts(texts), apart, texts)
+        split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         parts = [*self.of(coded.dictionary.to_pylist()), np.array([end_id], self.unit).tobytes()]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.unit.itemsize
@@ -133,14 +153,14 @@ def words_of(spec: str) -> Words:
 
 def placed(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> DataFrame:
     """key, place, row (a number of its own), tokens (their number) and ids (as bytes of one unit an id) of every row."""
-    spec = load(docs.sparkSession, path)
+    spec = bpe.load(docs.sparkSession, path)
     source = docs.select(docs[key].alias("key"), F.xxhash64(docs[key]).alias("hash"), docs[text].alias("text"))
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(spec.value)
         row = TaskContext.get().partitionId() << 33
-        for part in slices(batches, 2, 1 << 20):
+        for part in slices(batches, 2):
             ids, counts = words.encode(part.column(2), end_id)
             rows = np.arange(row, row + len(counts))
             row += len(counts)
@@ -228,7 +248,7 @@ def sequences(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def packing_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces with ids_crc32 in place of their ids: the check sum of the ids as little-endian numbers of four bytes."""
-    words = load(docs.sparkSession, path)
+    words = bpe.load(docs.sparkSession, path)
 
     @F.pandas_udf("long")
     def check(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
