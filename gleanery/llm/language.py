@@ -29,8 +29,8 @@ GRAM, BUCKETS = 4, 1 << 14
 UNKNOWN = "und"
 #: Learning reads at most about so many documents of a language, chosen by a hash of their key: enough for its n-grams.
 TRAIN_DOCS = 4_000
-#: EM steps; cost of a language in log units for each log n-gram.
-STEPS, PENALTY = 12, 6.0
+#: EM goes on until no proportion moves by MOVED; cost of a language in log units for each log n-gram.
+MOVED, PENALTY = 1e-3, 6.0
 #: How much less likely than an even draw, in log units, the n-grams of a text of no learned language are at least.
 FOREIGN = 1.5
 LETTER = regex.compile(r"\p{L}")
@@ -74,12 +74,12 @@ class Mixture:
         """Proportions of the columns of likely (n-gram x language), the log likelihood reached, and each n-gram's."""
         total = weights.sum()
         share = np.full(likely.shape[1], 1 / likely.shape[1]) if share is None else share
-        for _ in range(STEPS):
+        while True:
             whole = likely @ share
             new = share * ((weights / whole) @ likely) / total
             moved = np.abs(new - share).max()
             share = new
-            if moved < 1e-3:
+            if moved < MOVED:
                 break
         whole = likely @ share
         return share, float(weights @ np.log(whole)), whole

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import nearcopies
@@ -204,6 +204,30 @@ def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "te
     return components(docs, key, text, size, radius).select(key, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_hash(text: Column) -> Column:
+    """A 64-bit hash of a text, null as the empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def with_nodes(docs: DataFrame, text: str, node: str = "node") -> DataFrame:
+    """docs with a number for each text that no other text has: its hash with the lowest bit cleared, and where texts share that, an odd number of its own.
+
+    Texts are told apart by 128 bits of their SHA-256. The texts that share a hash are a handful in any corpus: they are numbered,
+    and their table meets docs in a join that Spark broadcasts by its size.
+    """
+    even = F.shiftleft(F.shiftright(text_hash(docs[text]), 1), 1)
+    mark = F.left(F.sha2(F.coalesce(docs[text], F.lit("")), 256), F.lit(32))
+    marked = docs.select(even.alias("_even"), mark.alias("_mark"))
+    crowded = marked.groupBy("_even").agg(F.min("_mark").alias("l"), F.max("_mark").alias("h")).where("l <> h").select("_even")
+    crowded = materialise(crowded, "crowded")
+    shared = marked.join(crowded, "_even", "left_semi").select("_mark").distinct()
+    own = materialise(shared.withColumn("_own", F.monotonically_increasing_id() * 2 + 1), "told-apart")
+    rows = docs.withColumns({"_even": even, "_mark": F.when(F.lit(own.limit(1).count() > 0), mark)})
+    release(crowded)
+    rows = rows.join(own, "_mark", "left").withColumn(node, F.coalesce("_own", "_even"))
+    return rows.select(*docs.columns, node)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs but for all of a group of near copies (Jaccard similarity of the shingles) save one.
 
@@ -212,11 +236,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     columns one stays. All null and wordless texts are copies of each other; an empty table gives an empty result.
     """
     others = [c for c in docs.columns if c not in (key, text) and "map<" not in docs.schema[c].dataType.simpleString()]
-    node, tie = F.xxhash64(docs[text]), F.xxhash64(*(docs[c] for c in others)) if others else F.lit(0).cast("long")
-    mark = F.xxhash64(docs[key].isNull(), docs[key], node, tie)
-    rows = docs.select(docs[key].isNull().alias("none"), docs[key].alias("key"), node.alias("node"), tie.alias("tie"), mark.alias("mark"))
-    hung = nearcopies.groups(docs.select(node.alias("node"), docs[text].alias("text")), size, similarity)
+    numbered = with_nodes(docs, text, "_node")
+    tie = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    rows = numbered.select(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_node").alias("node"), tie.alias("tie"))
+    hung = nearcopies.groups(numbered.select(F.col("_node").alias("node"), F.col(text).alias("text")), size, similarity)
     placed = rows.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = placed.groupBy("root").agg(F.min(F.struct("none", "key", "node", "tie", "mark")).alias("least")).select(F.col("least.mark").alias("_kept_mark"))
-    marked = docs.withColumn("_kept_mark", mark)
-    return marked.join(kept, "_kept_mark", "left_semi").dropDuplicates(["_kept_mark"]).select(*docs.columns)
+    kept = placed.groupBy("root").agg(F.min(F.struct("none", "key", "node", "tie")).alias("least"))
+    kept = kept.select(F.col("least.key").alias("_key"), F.col("least.node").alias("_node"), F.col("least.tie").alias("_tie"))
+    # A node belongs to one root, so it alone names the row that stays but for its key and tie.
+    marked = numbered.withColumn("_tie", tie).join(kept.withColumnRenamed("_tie", "_kept_tie"), "_node")
+    marked = marked.where(F.col(key).eqNullSafe(F.col("_key")) & (F.col("_tie") == F.col("_kept_tie")))
+    return marked.dropDuplicates(["_node"]).select(*docs.columns)

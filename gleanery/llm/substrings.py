@@ -9,7 +9,7 @@ own; the first occurrences go on, dealt by mark, and are grouped exactly. So a p
 hold sends no more than one window a partition to the task of its mark.
 
 Windows are equal if their 64-bit hashes and marks are equal. "Earlier" is a smaller key, or the same document and a
-smaller start; null keys come last, and two texts of one key stand in order of their hashes. Rows equal in key and text
+smaller start; keys are whole numbers, null counts as the greatest long, and two texts of one key stand in order of their hashes. Rows equal in key and text
 are one document and get the same answer. Null and wordless texts have no words; texts of fewer words than a window
 keep all. The sketch has CELLS_EACH cells for each expected run, up to MAX_CELLS; beyond that its estimates grow coarser and
 the second pass larger, the result stays the same.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gleanery.llm.columns import slices
 
@@ -34,8 +35,11 @@ DEPTH, CELLS_EACH, MAX_CELLS, BLOCKS = 2, 4, 1 << 28, 64
 #: Characters of text for which one run is expected.
 CHARS_A_RUN = 40
 LAST = (1 << 63) - 1
+#: Windows that a task holds, at 28 bytes each, before it hands on what it has.
+MOST_HELD = 4_000_000
 SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 LOW = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
+BLANKS = b" \t\n\v\f\r"
 WORD_BYTES = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -233,24 +237,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     bits = min(MAX_CELLS.bit_length() - 1, max(10, (CELLS_EACH * chars // CHARS_A_RUN).bit_length()))
     shared = spark.sparkContext.broadcast(sketch(docs, bits))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        keys: list[np.ndarray] = []
-        texts: list[np.ndarray] = []
-        base = 0
-        for part in slices(batches, 1, 2 << 20):
-            found = Windows(part.column(1).to_pylist())
-            keys.append(part.column(0).to_numpy())
-            texts.append(part.column(2).to_numpy())
-            if len(found.hash):
-                runs = repeated(shared.value, found.run_mark, bits) | found.twice
-                at = np.flatnonzero(runs[found.run])
-                held.append((found.owner[at] + base, found.start[at].astype(np.int32), found.hash[at], found.mark[at]))
-            base += part.num_rows
+    def first_ones(held: list[tuple[np.ndarray, ...]], keys: list[np.ndarray], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Of the windows held, those that repeat another of them are settled; of equal ones the first goes on."""
         if not held:
             return
         owner, start, hashes, marks = (np.concatenate(c) for c in zip(*held, strict=True))
-        del held
         key, text = np.concatenate(keys), np.concatenate(texts)
         later = later_ones(hashes, marks, ranks(key, text)[owner] << 32 | start)
         if later.any():
@@ -267,6 +258,26 @@ def repeats(docs: DataFrame) -> DataFrame:
             parts = [flat[8 * a : 8 * (a + c)] for a, c in zip(offset.tolist(), count.tolist(), strict=True)]
             yield batch_of(m[some].view(np.int64), key[o[some]], text[o[some]], s[some], count, parts)
 
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        keys: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
+        base = size = 0
+        for part in slices(batches, 1, 2 << 20):
+            found = Windows(part.column(1).to_pylist())
+            keys.append(part.column(0).to_numpy())
+            texts.append(part.column(2).to_numpy())
+            if len(found.hash):
+                runs = repeated(shared.value, found.run_mark, bits) | found.twice
+                at = np.flatnonzero(runs[found.run])
+                held.append((found.owner[at] + base, found.start[at].astype(np.int32), found.hash[at], found.mark[at]))
+                size += len(at)
+            base += part.num_rows
+            if size > MOST_HELD:
+                yield from first_ones(held, keys, texts)
+                held, keys, texts, base, size = [], [], [], 0, 0
+        yield from first_ones(held, keys, texts)
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -316,6 +327,8 @@ def covered(n_words: int, found: list[dict] | None) -> np.ndarray:
 
 def with_repeats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs with _repeats, an array of (start, n) of their repeated windows, or null."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be a whole number: it orders the documents")
     marked = docs.withColumns({"_key": F.coalesce(docs[key].cast("long"), F.lit(LAST)), "_text_hash": F.xxhash64(docs[text])})
     small = marked.select(F.col("_key").alias("key"), docs[text].alias("text"), F.col("_text_hash").alias("text_hash"))
     found = repeats(small).groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("_repeats"))
@@ -360,7 +373,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                 if found:
                     words = WORD_BYTES.findall(value.encode())
                     gone = covered(len(words), found).tolist()
-                    value = b"".join(w for w, g in zip(words, gone, strict=True) if not g).decode().lstrip()
+                    value = b"".join(w for w, g in zip(words, gone, strict=True) if not g).lstrip(BLANKS).decode()
                 out.append(value)
             columns = list(part.columns[:last])
             columns[at] = pa.array(out, pa.string())

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 K = 5
 INNER = 2
@@ -101,6 +102,8 @@ def bucket_of(docs: DataFrame, key: str) -> Column:
 
     The driver reads COARSE quantiles of the key; between two of them the width is divided evenly.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be a whole number: it orders the documents")
     points = F.percentile_approx(key, [i / COARSE for i in range(1, COARSE)], 10_000)
     n, low, high, cuts = docs.agg(F.count(key), F.min(key), F.max(key), points).first()
     if not n:
@@ -122,7 +125,7 @@ def bucket_of(docs: DataFrame, key: str) -> Column:
 def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text (null: empty), sketch, and the next document's text and sketch in descending order of key, after the last the first.
 
-    Rows of one key follow each other in order of text; null keys come last. The rows are dealt into ordered buckets, and
+    Keys are whole numbers. Rows of one key follow each other in order of text; null keys come last. The rows are dealt into ordered buckets, and
     the first row of each bucket stands a second time, as a border row, at the end of the bucket before.
     """
     rows = docs.select(docs[key], F.coalesce(docs[text], F.lit("")).alias("text"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import nearcopies, simhash
 
@@ -115,3 +116,14 @@ def test_each_row_is_judged_by_its_own_text(spark):
     assert simhash.keep_one(lone).count() == 1
     assert simhash.keep_one(lone.where("false")).columns == ["doc_id", "text", "lang"]
     assert simhash.keep_one(lone.where("false")).count() == 0
+
+
+def test_texts_that_share_a_hash_all_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "text_hash", lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(""))), F.lit(16)))
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(100)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts, None, ""])]
+    numbered = simhash.with_nodes(spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()
+    assert len({(r["node"], r["text"] or "") for r in numbered}) == len({r["node"] for r in numbered}) == 101 and len(numbered) == 202
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(100), 200]

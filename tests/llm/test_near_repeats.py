@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gleanery.llm import components, simhash, substrings
+from gleanery.llm import components, simhash, substrings, syncmers
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -193,3 +193,33 @@ def test_repeated_rows_null_keys_and_texts_without_repeats(spark):
     kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substrings.without_repeats(rows).collect()}
     assert kept[None] == ("tail", 4) and kept[1] == (long, len(long)) and kept[2] == ("short", 5)
     assert substrings.removal_digests(rows.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("held", [1, 300, 10**9])
+def test_what_a_task_holds_changes_no_row(spark, monkeypatch, held):
+    monkeypatch.setattr(substrings, "MOST_HELD", held)
+    monkeypatch.setattr(substrings, "slices", lambda batches, column, limit=0: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    rng = random.Random(6)
+    passages = [[f"p{rng.randrange(50)}" for _ in range(rng.randrange(20, 60))] for _ in range(5)]
+    texts = [" ".join(w for _ in range(4) for w in rng.choice([*passages, [f"w{rng.randrange(500)}" for _ in range(30)]])) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        words, gone = t.split(), set()
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(window)
+        expected[i] = (len(words), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in gone).encode()).hexdigest())
+    assert {r["doc_id"]: tuple(r)[1:] for r in substrings.removal_digests(rows).collect()} == expected
+
+
+def test_other_blanks_are_words_and_keys_are_numbers(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = spark.createDataFrame([(1, passage, 0), (2, passage + " \u3000 \u00a0x", 0)], "doc_id long, text string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in substrings.without_repeats(rows).collect()}[2] == "\u3000 \u00a0x"
+    named = rows.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text", "n_chars")
+    for made in (substrings.removal_digests, syncmers.edited_fingerprints):
+        with pytest.raises(ValueError):
+            made(named)

@@ -38,11 +38,25 @@ def test_run_gives_the_rows_of_its_stages(spark):
 def test_stages_over_no_rows_and_over_odd_ones(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     empty = docs.where("false")
-    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "x " * 50_000, None, None, 1), (7, "x " * 50_000, None, None, 1)], docs.schema)
+    long = " ".join(f"word{i * i % 9973}" for i in range(50_000))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, long, None, None, 1), (7, long, None, None, 1), (8, long + " end", "en", "s", 1)], docs.schema)
+    found = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, SF)
         assert out.count() == 0 and (name == "tokens" or out.columns == corpus_pipeline.COLUMNS)
-        assert stage(spark, odd, SF).collect() is not None
+        found[name] = sorted(((r["doc_id"], r["text"] if name != "tokens" else r["n_tokens"]) for r in stage(spark, odd, SF).collect()), key=repr)
+    # The languages are learned from the one labelled text: both long ones are of it, null and empty texts of none.
+    assert found["language"] == [(7, long), (7, long), (8, long + " end")]
+    # Null and wordless texts are copies of each other, and so are the long ones; rows of a null key come last.
+    assert found["near_copies"] == [(7, long), (None, "")] or found["near_copies"] == [(7, long), (None, None)]
+    # The first long text stays but for passages that it holds twice, equal rows alike; of the second the new word alone is left.
+    first = found["repeats"][0][1]
+    assert [i for i, _ in found["repeats"]] == [7, 7, 8, None, None] and found["repeats"][1][1] == first and len(first.split()) > 9_000
+    assert found["repeats"][2][1] == "end" and {t for _, t in found["repeats"][3:]} == {"", None}
+    # A mix holds words of wordy rows alone, three times at most.
+    words = {i: sum(len(t.split()) for k, t in found["mix"] if k == i) for i in (7, 8)}
+    assert {i for i, _ in found["mix"]} <= {7, 8} and words[7] <= 6 * 50_000 and 0 < words[8] <= 3 * 50_001
+    assert [i for i, _ in found["tokens"]] == [7, 7, 8, None, None] and found["tokens"][0] == found["tokens"][1] and [n for _, n in found["tokens"][3:]].count(0) >= 1
 
 
 def test_copies_and_repeats_of_planted_documents(spark):

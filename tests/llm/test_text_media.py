@@ -332,6 +332,25 @@ def test_bpe_equals_the_library_for_every_character():
                 assert own.encode(text) == found.ids, ascii(text)
 
 
+def test_marks_stand_in_the_order_of_the_library():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    own = bpe.WordBpe(open(queries.TOKENIZER, encoding="utf-8").read())
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    probes = list({unicodedata.combining(m): m for m in marks}.values())  # one of each combining class
+    texts = ["a" + p for m in marks for p in ["".join(x) for q in probes for x in ((m, q), (q, m))]]
+    rng = random.Random(11)
+    parts = [*marks, *"aeoçø ", "\u1100", "\u1161", "\u11a8", "\u0928", "\u3099"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 12))) for _ in range(30_000)]
+    for at in range(0, len(texts), 20_000):
+        some = texts[at : at + 20_000]
+        for text, found in zip(some, library.encode_batch(some, add_special_tokens=False)):
+            assert own.encode(text) == found.ids, ascii(text)
+
+
 def test_unknown_steps_are_refused():
     spec = json.loads(open(queries.TOKENIZER, encoding="utf-8").read())
     for part, value in (("normalizer", {"type": "NFKC"}), ("decoder", {"type": "ByteLevel"}), ("model", {**spec["model"], "byte_fallback": True}),
