@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import markdown
 from gleanery.functions import text as T
 from gleanery.functions.arrow import generate
-
-
-#: Stated queries are handed to every executor up to this number.
-MAX_QUERIES = 10_000
-
+from gleanery.operators import grams
 
 def bare(path: Column) -> Column:
     return F.regexp_replace(path, r"(?i)\.md$", "")
@@ -165,16 +161,18 @@ def path_mentions(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.explode(F.array_distinct(paths)).alias("mention"))
 
 
-def search_names(notes: DataFrame, text: str) -> DataFrame:
-    return notes.where(F.contains(F.lower("path"), F.lit(text.lower()))).orderBy("path")
+def search_names(notes: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, path: notes whose name (a path's last part without .md) holds a stated query (qid, q), without regard to case."""
+    named = notes.select("path", F.lower(F.regexp_extract(bare(F.col("path")), r"([^/]*)$", 1)).alias("_name"))
+    stated = queries.select("qid", F.lower("q").alias("_q"))
+    return grams.holding(named, ["path"], "_name", stated, "qid", "_q").select("qid", "path")
 
 
 def context_search(lines: DataFrame, queries: DataFrame, per_note: int = 20) -> DataFrame:
     """qid, path, line, snippet, note_matches: lines (path, line, text) that hold a stated query (qid, q), the first per_note of a note."""
     low = lines.select("path", "line", F.col("text").alias("snippet"), F.lower("text").alias("_low"))
-    stated = queries.select("qid", F.lower("q").alias("_q")).where("_q <> ''")
-    stated = F.broadcast(stated) if stated.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else stated  # beyond it Spark deals both sides
-    hits = low.join(stated, F.contains(F.col("_low"), F.col("_q")))
+    stated = queries.select("qid", F.lower("q").alias("_q"))
+    hits = grams.holding(low, ["path", "line"], "_low", stated, "qid", "_q")
     count = ((F.length("_low") - F.length(F.replace(F.col("_low"), F.col("_q"), F.lit("")))) / F.length("_q")).cast("long")
     each, first = Window.partitionBy("qid", "path"), Window.partitionBy("qid", "path").orderBy("line")
     hits = hits.withColumn("_c", count).withColumns({"note_matches": F.sum("_c").over(each), "_nth": F.row_number().over(first)})

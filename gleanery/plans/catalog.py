@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import markdown, units
 from gleanery.functions import text as T
 from gleanery.functions.arrow import scalar
-from gleanery.operators import evaluation, files, fusion, langid, lexical, links, pages, refresh, windows
+from gleanery.operators import evaluation, files, fusion, grams, langid, lexical, links, pages, refresh, windows
 from gleanery.session import exists, files_state, prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -473,6 +473,28 @@ def context_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.context_search(rows, asked)
 
 
+@query(f"""WITH {VAULT}, q AS (SELECT doc_id AS qid, CAST(doc_id * 37 % 1000 AS VARCHAR) AS q FROM documents WHERE doc_id % 3 = 0)
+SELECT qid, path FROM q JOIN vault ON contains(CAST(doc_id AS VARCHAR), q)""")
+def names_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the notes that hold numbers, one asked for by every third document."""
+    notes = vault(spark, sf_dir)
+    asked = notes.where("doc_id % 3 = 0").select(F.col("doc_id").alias("qid"), (F.col("doc_id") * 37 % 1000).cast("string").alias("q"))
+    return links.search_names(notes.select("path"), asked)
+
+
+@query("""WITH ln AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+q AS (SELECT item_id * 10 + k AS qid, lower(substr(text, k * 15 + 1, 12)) AS q FROM benchmark, range(0, 6) AS r(k)),
+h AS (SELECT qid, q, conv_id, turn, text, (length(lower(text)) - length(replace(lower(text), q, ''))) // length(q) AS c FROM q JOIN ln ON q <> '' AND contains(lower(text), q))
+SELECT qid, conv_id AS path, turn AS line, md5(text) AS snippet, CAST(sum(c) OVER (PARTITION BY qid, conv_id) AS BIGINT) AS note_matches
+FROM h QUALIFY row_number() OVER (PARTITION BY qid, conv_id ORDER BY turn) <= 20""")
+def phrases_in_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations that hold phrases of twelve characters, six from each benchmark passage."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), T.text_of("text").alias("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    asked = items.select((F.col("item_id") * 10 + F.col("k")).alias("qid"), F.substring("text", F.col("k") * 15 + 1, F.lit(12)).alias("q"))
+    return links.context_search(turns, asked).withColumn("snippet", F.md5(F.col("snippet").cast("binary")))
+
+
 # Evaluation ---------------------------------------------------------------------------------------
 
 RUN = f"""{TERMS}, {WEIGHTS}, {SCORES},
@@ -487,8 +509,7 @@ def run_and_qrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """The ten best documents of every passage, and the documents that hold it word for word as the relevant ones."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    asked = lexical.small(items, fusion.MAX_QUERIES)
-    qrels = docs.join(asked, F.contains("text", "item")).select("qid", "doc_id", F.lit(1).alias("rel"))
+    qrels = grams.holding(docs, ["doc_id"], "text", items, "qid", "item").select("qid", "doc_id", F.lit(1).alias("rel"))
     return bm25_documents(spark, sf_dir), qrels
 
 
