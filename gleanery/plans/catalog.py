@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import markdown, units
 from gleanery.functions import text as T
 from gleanery.functions.arrow import scalar
-from gleanery.operators import evaluation, files, fusion, grams, langid, lexical, links, pages, refresh, windows
+from gleanery.operators import evaluation, files, fusion, grams, langid, lexical, links, nearest, pages, refresh, windows
 from gleanery.session import exists, files_state, prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,21 +247,20 @@ d AS (
   FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)"""
 
 
-def cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row whose id is divisible by 20, as a query against all rows."""
+def vectors_and_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and every row whose id is divisible by 20 as a query against all of them."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
-    return fusion.cosine(rows, asked, "vec_id", "label", "embedding").withColumn("cosine", r6("cosine"))
+    return rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"WITH {DENSE} SELECT qid, vec_id, CAST(n AS INT) AS rank, cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS n FROM d) WHERE n <= 10")
 def dense_rank_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top(cosines(spark, sf_dir), K, [F.desc("cosine"), F.asc("vec_id")]).select("qid", "vec_id", "rank", "cosine")
+    return nearest.nearest(*vectors_and_queries(spark, sf_dir), K)
 
 
 @query(f"WITH {DENSE} SELECT qid, label, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY cosine DESC, vec_id) AS n FROM d) WHERE n = 1")
 def dense_best_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.best_per_owner(cosines(spark, sf_dir), "label", "vec_id")
+    return nearest.best_per_owner(*vectors_and_queries(spark, sf_dir), "label")
 
 
 @query(f"WITH {DENSE}," + """
@@ -273,8 +272,8 @@ f AS (SELECT qid, label, sum(1.0 / (60 + r)) AS fused FROM (SELECT * FROM a UNIO
 SELECT qid, label, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC, label) AS INT) AS rank, round(fused, 6) AS fused FROM f""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense order of labels fused with their order by size."""
-    rows = table(spark, sf_dir, "embeddings")
-    best = fusion.best_per_owner(cosines(spark, sf_dir), "label", "vec_id")
+    rows, asked = vectors_and_queries(spark, sf_dir)
+    best = nearest.best_per_owner(rows, asked, "label")
     sized = best.join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
     lists = [fusion.ranked(best, "dense", "label", [F.desc("cosine"), F.asc("label")]), fusion.ranked(sized, "size", "label", [F.desc("n"), F.asc("label")])]
     fused = fusion.rrf(lists, "label").withColumn("order", F.round("fused", 9))
