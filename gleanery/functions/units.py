@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,13 @@ HEADING_CUT = r"(?md)^(?=#{1,4} )"
 
 
 def before_each(numbers: Column) -> Column:
-    """For each of an array of numbers the sum of those before it."""
-    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(numbers, start, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")), lambda acc: acc["out"])
+    """For each of an array of numbers the sum of those before it; higher-order functions would copy the sums at each step."""
+
+    @F.pandas_udf("array<int>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: np.cumsum(x) - x)
+
+    return run(numbers)
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,15 +47,24 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, (F.col("n") + 1).cast("long").alias("line"), "text", F.coalesce(F.sum(F.length("text") + 1).over(run), F.lit(0)).cast("long").alias("off"))
 
 
-def terms(units: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
-    """keys, term, tf and dl: dl counts every emitted token. A unit's tokens are sorted and counted in place, so nothing is shuffled."""
+def counted(units: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
+    """keys, dl (every emitted token counts) and terms, an array of term and tf. A unit's tokens are sorted and counted in place, so nothing is shuffled."""
     rows = units.select(*keys, F.sort_array(tokens).alias("_sorted"))
     rows = rows.withColumn("_starts", F.when(F.size("_sorted") > 0, F.filter(
         F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))))
-    counted = F.transform("_starts", lambda i, n: F.struct(
+    found = F.transform("_starts", lambda i, n: F.struct(
         F.get("_sorted", i).alias("term"), (F.coalesce(F.get("_starts", n + 1), F.size("_sorted")) - i).cast("long").alias("tf")))
-    rows = rows.select(*keys, F.size("_sorted").cast("long").alias("dl"), F.explode(counted).alias("t"))
-    return rows.select(*keys, "dl", "t.term", "t.tf")
+    return rows.select(*keys, F.size("_sorted").cast("long").alias("dl"), found.alias("terms"))
+
+
+def exploded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, dl, term, tf of counted units."""
+    return rows.select(*keys, "dl", F.explode("terms").alias("t")).select(*keys, "dl", "t.term", "t.tf")
+
+
+def terms(units: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
+    """keys, dl, term, tf."""
+    return exploded(counted(units, keys, tokens), keys)
 
 
 def embedding_text(stem: Column, title: Column, text: Column) -> Column:

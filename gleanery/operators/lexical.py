@@ -44,13 +44,14 @@ class Index:
 
 
 def index(docs: DataFrame, key: str, tokens: Column) -> Index:
-    """The index of docs, its postings written to the shared folder: each text is cut into tokens once, whatever reads them."""
-    documents = docs.select(key, F.size(tokens).cast("long").alias("dl"))
-    postings = materialise(units.terms(docs, [key], tokens), "postings")
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.count()
-    stats = postings.agg(F.lit(n).alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(n, 1)))).alias("avgdl"))
-    return Index(key, postings, documents, frequencies, stats)
+    """The index of docs: each text is cut into tokens once, and counts, lengths and frequencies are stored, whatever reads them."""
+    counted = materialise(units.counted(docs, [key], tokens), "counted")
+    postings = units.exploded(counted, [key])
+    postings.stored_at = counted.stored_at
+    frequencies = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    n, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    stats = docs.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total / max(n, 1)).alias("avgdl"))
+    return Index(key, postings, counted.select(key, "dl"), frequencies, stats)
 
 
 def query_terms(queries: DataFrame, qid: str, tokens: Column) -> DataFrame:
