@@ -9,7 +9,6 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions import code
 from gleanery.operators import files as listing
 from gleanery.plans.engine import Engine, EngineError
 from gleanery.session import local_session
@@ -21,7 +20,7 @@ def engine_of(spark: SparkSession, root: str, index_dir: str) -> Engine:
     scanned = folder.scan(spark, root, content=True)
     seconds = F.unix_micros("mtime") / 1e6
     prose = folder.texts(scanned).select("path", seconds.alias("mtime"), "text")
-    endings = [s for s, n in code.LANGUAGES.items() if n not in code.BARE]
+    endings = listing.code_suffixes()
     sources = scanned.where(listing.suffix(F.col("path")).isin(*endings) & (F.col("bytes") <= listing.MAX_CODE_BYTES))
     return Engine(spark, prose, index_dir, sources.select("path", F.decode("content", "UTF-8").alias("text")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import markdown, units
 from gleanery.functions import text as T
 from gleanery.functions.arrow import scalar
-from gleanery.operators import evaluation, files, fusion, grams, langid, lexical, links, nearest, pages, refresh, topk, windows
+from gleanery.operators import evaluation, files, fusion, grams, intervals, langid, lexical, links, nearest, pages, refresh, topk, windows
 from gleanery.session import exists, files_state, materialise, prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -635,6 +635,16 @@ def turn_window_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.window_terms("text")).alias("term")).distinct()
 
 
+WORDY = "[\\p{L}\\p{M}\\p{N}_]"
+
+
+@query("SELECT conv_id, turn, regexp_matches(t, '(?i)\\?|^\\s*(what|where|how|why|which|when|who|does|do|is|are|can|list|explain|describe|find)\\b') AND NOT regexp_matches(t, "
+       f"'`|(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])[A-Za-z]{WORDY}*_{WORDY}|(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])[A-Za-z]*[a-z][A-Z]|/{WORDY}|\\.{WORDY}{{1,4}}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])|::|#L\\d') AS asks "
+       "FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)")
+def concept_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.concept_question("text").alias("asks"))
+
+
 @query("SELECT conv_id, turn, md5(CASE WHEN role <> '' THEN 'conversation › ' || role ELSE 'conversation' END || chr(10) || substr(coalesce(text, ''), 1, 6000)) AS embedded FROM conversations WHERE role IS NOT NULL")
 def turns_as_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where("role IS NOT NULL")
@@ -704,6 +714,20 @@ def code_hits_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task_id", "file_hit", "symbol_hit", r6("rr").alias("rr"), r6("recall").alias("recall"), r6("symbol_recall").alias("symbol_recall"))
 
 
+@query("""WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS "at", CAST(floor(value * 600) AS BIGINT) AS long FROM events),
+s AS (SELECT event_id AS span, user_id, "at" AS start, "at" + long AS "end" FROM e WHERE event_type = 'error'),
+m AS (SELECT e.user_id, "at", span, row_number() OVER (PARTITION BY e.user_id, "at" ORDER BY "end" - start, start DESC, span) AS n, count(*) OVER (PARTITION BY e.user_id, "at") AS around
+      FROM (SELECT DISTINCT user_id, "at" FROM e) e JOIN s ON s.user_id = e.user_id AND "at" BETWEEN start AND "end")
+SELECT user_id, "at", span, around FROM m WHERE n = 1""")
+def events_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest span around each moment of a user with an event, and how many there are; an error opens a span as long as its value says."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.floor(F.col("value") * 600).alias("long"))
+    spans = rows.where("event_type = 'error'").select(F.col("event_id").alias("span"), "user_id", F.col("at").alias("start"), (F.col("at") + F.col("long")).alias("end"))
+    points = rows.select("user_id", "at").distinct()
+    count = intervals.containing(points, spans, ["user_id"]).groupBy("user_id", "at").agg(F.count(F.lit(1)).alias("around"))
+    return intervals.innermost(points, spans, ["user_id"], ties=["span"]).join(count, ["user_id", "at"]).select("user_id", "at", "span", "around")
+
+
 # Pages: a conversation is a document, a turn a page -------------------------------------------------
 
 

@@ -310,7 +310,7 @@ class Engine:
         live = live.unionByName(self.no_text.select("path", F.col("mtime").cast("double").alias("mtime"), F.lit(0).cast("long").alias("bytes")).join(live, "path", "left_anti"))
         stamps = self._stored("stamps")
         stamps = stamps if stamps is not None else live.where("false").select("path", "mtime")
-        rows = files.statuses(live, stamps, self.no_text, self.failures, [s for s, n in code.LANGUAGES.items() if n not in code.BARE]).where(files.in_folder(F.col("path"), folder))
+        rows = files.statuses(live, stamps, self.no_text, self.failures, files.code_suffixes()).where(files.in_folder(F.col("path"), folder))
         counts = {r["status"]: r["n"] for r in files.status_counts(rows).collect()}
         page, following = files.page(rows.where(F.col("status") == status) if status else rows, limit, cursor)
         return {"files": [r.asDict() for r in page.collect()], "counts": counts, "next_cursor": following}
