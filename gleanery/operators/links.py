@@ -54,14 +54,62 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def first_of(named: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """named (path, name): the first path of each name, and of each name below each folder; one row a name, however common it is.
+def asking(raw_links: DataFrame) -> DataFrame:
+    """src, target, scaffold with what a link asks for: a name (_wanted), a record's number, and whether the target is the note itself or relative."""
+    clean = bare(F.regexp_replace(F.col("target"), r"[#^|].*$", ""))
+    is_rel = F.col("target").rlike(r"^\.{1,2}/")
+    wanted = F.lower(F.when(is_rel, bare(relative(F.col("src"), F.col("target")))).otherwise(clean))
+    rows = raw_links.select("src", "target", "scaffold", wanted.alias("_wanted"), (F.col("target").rlike(r"^[#^]") | (F.trim(clean) == "")).alias("_self"),
+                            is_rel.alias("_rel"), folder(F.col("src")).alias("_from"))
+    return rows.withColumn("_number", F.regexp_replace(F.regexp_extract("_wanted", r"^adr[- ]?(\d{1,4})$", 1), "^0+", ""))
+
+
+def numbered(notes: DataFrame) -> DataFrame:
+    """path, name: the numbers of decision records."""
+    return notes.select("path", F.regexp_extract(F.lower("path"), r"(?:^|/)0*(\d{1,4})-[^/]*$", 1).alias("name")).where("name <> ''").distinct()
+
+
+def places(notes: DataFrame) -> DataFrame:
+    """i, name, below, path: the first path for each name of a kind i, below each folder and anywhere (below the empty name).
+
+    Kinds: whole paths, ends of paths, numbers in a folder of records, numbers elsewhere. First is the path with the least
+    number of slashes, then the least without regard to case; one row a name and folder, however common the name is.
+    """
+    tails, records = suffixes(notes).select("path", F.col("suffix").alias("name"), "whole"), numbered(notes)
+    kind = F.when(F.lower("path").rlike(r"(^|/)adrs?/"), 2).otherwise(3)
+    every = tails.select("path", "name", F.explode(F.when(F.col("whole"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("i")).unionByName(
+        records.select("path", "name", kind.alias("i")))
+    under = every.select("i", "name", "path", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("path")))).alias("below"))
+    return under.groupBy("i", "name", "below").agg(F.min(F.struct(depth(F.col("path")).alias("d"), F.lower("path").alias("l"), "path"))["path"].alias("path"))
 
-    First is the path with the least number of slashes, then the least without regard to case.
+
+def names_of(notes: DataFrame) -> DataFrame:
+    """path, name: every name by which a link can find a note; a record's number as #number."""
+    tails = suffixes(notes).select("path", F.col("suffix").alias("name"))
+    return tails.union(numbered(notes).select("path", F.concat(F.lit("#"), "name"))).distinct()
+
+
+def wanted_names(raw_links: DataFrame) -> DataFrame:
+    """src, target, scaffold, name: the reverse table, the names that decide where each link leads. Links to the note itself have none."""
+    names = F.array_compact(F.array(F.col("_wanted"), F.when(F.col("_number") != "", F.concat(F.lit("#"), "_number"))))
+    return asking(raw_links).where("NOT _self").select("src", "target", "scaffold", F.explode(F.array_distinct(names)).alias("name"))
+
+
+def patch(stored: DataFrame, wanted: DataFrame, notes: DataFrame, added: DataFrame, gone: DataFrame, stale: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What stays of a resolved graph after notes have changed, and the links resolved anew, both as src, target, scaffold, dst; src, target of the stored ones that these replace.
+
+    stored is the graph before, wanted its reverse table. notes are all there are now, added and gone those that came and
+    went, stale the sources whose stored links hold no more (path each), fresh the links of new and changed notes. A link
+    is resolved anew only if it is fresh or asks for a name that a note brought or took away, and it meets only notes
+    that have a name it asks for.
     """
-    best = F.min(F.struct(depth(F.col("path")).alias("d"), F.lower("path").alias("l"), "path"))["path"]
-    below = named.select(name, "path", F.explode(ancestors(F.col("path"))).alias("below"))
-    return named.groupBy(name).agg(best.alias("path")), below.groupBy(name, "below").agg(best.alias("path"))
+    alive = stored.join(stale.select(F.col("path").alias("src")), "src", "left_anti")
+    moved = names_of(added.select("path").union(gone.select("path"))).select("name").distinct()
+    hit = wanted.join(moved, "name", "left_semi").select("src", "target").distinct()
+    redo = alive.join(hit, ["src", "target"], "left_semi").select("src", "target", "scaffold").unionByName(fresh.select("src", "target", "scaffold"))
+    asked = wanted_names(redo).select("name").distinct()
+    near = names_of(notes).join(asked, "name", "left_semi").select("path").distinct()
+    return alive.join(hit, ["src", "target"], "left_anti").select("src", "target", "scaffold", "dst"), resolve(redo, near), hit
 
 
 def resolve(raw_links: DataFrame, notes: DataFrame) -> DataFrame:
@@ -71,32 +119,20 @@ def resolve(raw_links: DataFrame, notes: DataFrame) -> DataFrame:
     end; a name is a file's stem, else a numbered decision record. Of several notes those under the source's folder come
     first, then the least number of slashes, then the least lower-case path. Each lookup meets one row a name.
     """
-    clean = bare(F.regexp_replace(F.col("target"), r"[#^|].*$", ""))
-    is_rel = F.col("target").rlike(r"^\.{1,2}/")
-    wanted = F.lower(F.when(is_rel, bare(relative(F.col("src"), F.col("target")))).otherwise(clean))
-    rows = raw_links.select("src", "target", "scaffold", wanted.alias("_wanted"), (F.col("target").rlike(r"^[#^]") | (F.trim(clean) == "")).alias("_self"),
-                            is_rel.alias("_rel"), folder(F.col("src")).alias("_from"))
-    rows = rows.withColumn("_number", F.regexp_replace(F.regexp_extract("_wanted", r"^adr[- ]?(\d{1,4})$", 1), "^0+", ""))
-    tails = suffixes(notes).select("path", F.col("suffix").alias("name"), "whole").distinct()
-    records = notes.select("path", F.regexp_extract(F.lower("path"), r"(?:^|/)0*(\d{1,4})-[^/]*$", 1).alias("name")).where("name <> ''").distinct()
-    in_records = F.lower("path").rlike(r"(^|/)adrs?/")
+    rows = asking(raw_links).groupBy("src", "target", "scaffold", "_wanted", "_number", "_self", "_rel", "_from").agg(F.count(F.lit(1)).alias("_n"))
     slash = F.contains(F.col("_wanted"), F.lit("/"))
-    tries = [  # key, when to look, among which
-        ("_wanted", slash | F.col("_rel"), tails.where("whole")), ("_wanted", ~F.col("_rel"), tails),
-        ("_number", F.col("_number") != "", records.where(in_records)), ("_number", F.col("_number") != "", records.where(~in_records))]
-    found = []
-    for i, (key, ask, among) in enumerate(tries):
-        anywhere, below = first_of(among, "name")
-        wish = F.when(ask & ~F.col("_self"), F.col(key))
-        for kind, table, keys in (("near", below, ["name", "below"]), ("any", anywhere, ["name"])):
-            names = {"name": f"_k{i}{kind}", "below": f"_b{i}{kind}", "path": f"_p{i}{kind}"}
-            table = table.select(*(F.col(c).alias(names[c]) for c in [*keys, "path"]))
-            on = wish == F.col(names["name"])
-            if kind == "near":
-                on = on & (F.when(F.col("_from") != "", F.col("_from")) == F.col(names["below"]))
-            rows = rows.join(table, on, "left").drop(*(names[k] for k in keys))
-            found.append(names["path"])
-    return rows.select("src", "target", "scaffold", F.when(F.col("_self"), F.col("src")).otherwise(F.coalesce(*found)).alias("dst"))
+    tries = [("_wanted", slash | F.col("_rel")), ("_wanted", ~F.col("_rel")), ("_number", F.col("_number") != ""), ("_number", F.col("_number") != "")]
+    asks = []
+    for i, (name, when) in enumerate(tries):
+        for kind, below in enumerate((F.when(F.col("_from") != "", F.col("_from")), F.lit(""))):  # under the source's folder, then anywhere
+            asks.append(F.when(when & ~F.col("_self") & below.isNotNull(), F.struct(F.lit(i).alias("i"), F.col(name).alias("name"), below.alias("below"), F.lit(2 * i + kind).alias("order"))))
+    asked = rows.select("src", "target", "scaffold", "_self", "_n", F.explode_outer(F.array_compact(F.array(*asks))).alias("a"))
+    asked = asked.select("src", "target", "scaffold", "_self", "_n", "a.*")
+    found = asked.join(places(notes), ["i", "name", "below"], "left")
+    best = F.min(F.when(F.col("path").isNotNull(), F.struct("order", "path")))["path"]
+    found = found.groupBy("src", "target", "scaffold", "_self", "_n").agg(best.alias("dst"))
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))  # equal links were looked up once
+    return found.select("src", "target", "scaffold", F.when(F.col("_self"), F.col("src")).otherwise(F.col("dst")).alias("dst"))
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -434,7 +434,7 @@ cand AS (
     OR (contains(target, '/') AND regexp_replace(target, '\\.md$', '') = coalesce(source, 'none') || '/' || vault.doc_id))"""
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def made_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Notes of the documents with two made-up links each: a name, some of them of no note, and a path's end."""
     notes = vault(spark, sf_dir).select("path", "doc_id", "source")
     n = notes.agg((F.max("doc_id") + 1).alias("n"))
@@ -443,6 +443,11 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tail = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), ((F.col("doc_id") * 3) % F.col("n")).cast("string"), F.lit(".md"))
     raw = rows.select(F.col("path").alias("src"), name.alias("target"), (F.col("doc_id") % 2 == 0).alias("scaffold")).unionByName(
         rows.select(F.col("path").alias("src"), tail.alias("target"), F.lit(False).alias("scaffold")))
+    return notes, raw
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    notes, raw = made_links(spark, sf_dir)
     return notes.select("path"), links.resolve(raw, notes.select("path"))
 
 
@@ -451,6 +456,23 @@ def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir)[1]
 
 
+OLD, NEW = "doc_id % 11 <> 3", "doc_id % 13 <> 5"
+PATCHED = RAW.replace("FROM vault, mx", f"FROM (SELECT * FROM vault WHERE {NEW}) vault, mx").replace("LEFT JOIN vault", f"LEFT JOIN (SELECT * FROM vault WHERE {NEW}) vault")
+
+
+@query(f"WITH {PATCHED} SELECT src, target, scaffold, dst FROM cand")
+def links_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored graph after notes have come and gone: only links whose names moved with them are resolved anew."""
+    every, raw = made_links(spark, sf_dir)
+    old, new = every.where(OLD).select("path"), every.where(NEW).select("path")
+    before = raw.join(old.withColumnRenamed("path", "src"), "src", "left_semi")
+    stored, wanted = materialise(links.resolve(before, old), "links-before"), materialise(links.wanted_names(before), "links-wanted")
+    added, gone = new.join(old, "path", "left_anti"), old.join(new, "path", "left_anti")
+    fresh = raw.join(added.withColumnRenamed("path", "src"), "src", "left_semi")
+    stays, renewed, _ = links.patch(stored, wanted, new, added, gone, gone, fresh)
+    return stays.unionByName(renewed)
+
+
 EDGES = f"{RAW}, e AS (SELECT src, dst, bool_and(scaffold) AS scaffold FROM cand WHERE dst IS NOT NULL GROUP BY ALL)"
 
 

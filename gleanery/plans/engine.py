@@ -6,7 +6,8 @@ failures (path, reason) and vectors (path, off, mtime, v).
 The index is a list of segments in a folder. A build writes one more segment with the rows of new and changed paths and
 a list of the paths whose rows in earlier segments are dead; a small file, replaced at once, names the segments. After
 MAX_SEGMENTS builds they are merged. Postings stand in ranges of terms, so a search reads the row groups of its own
-terms. Raw links are stored beside them; those of changed notes alone are parsed again. One build runs at a time.
+terms. Links are stored resolved, with a table of the names they ask for: a build parses the links of changed notes alone
+and resolves anew only those and the links whose names came or went with notes. One build runs at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from gleanery.functions.arrow import generate
 from gleanery.operators import codegraph, files, fusion, lexical, links, refresh, windows
 from gleanery.session import only_writer, prepare, read_text, remove_shared, replace_text
 
-VERSIONS = {"tokenizer": T.TOKENIZER_VERSION, "graph": 5, "layout": 2}
+VERSIONS = {"tokenizer": T.TOKENIZER_VERSION, "graph": 5, "layout": 3}
 MAX_SEGMENTS = 8
 LINKS = [("kind", "string"), ("target", "string"), ("scaffold", "boolean")]
 
@@ -69,8 +70,12 @@ class Engine:
         read = lambda segment, table: self.spark.read.parquet(f"{self.index_dir}/{segment}/{table}")
         parts = []
         for i, segment in enumerate(meta["segments"]):
-            rows, later = read(segment, name), [read(x, "dead") for x in meta["segments"][i + 1 :]]
-            parts.append(rows.join(reduce(DataFrame.union, later).distinct(), "path", "left_anti") if later else rows)
+            rows, later = read(segment, name), meta["segments"][i + 1 :]
+            every = lambda table, later=later: reduce(DataFrame.union, [read(x, table) for x in later]).distinct()
+            rows = rows.join(every("dead"), "path", "left_anti") if later else rows
+            if later and name in ("resolved", "wanted"):
+                rows = rows.join(every("dead_links"), ["path", "target"], "left_anti")
+            parts.append(rows)
         return reduce(DataFrame.unionByName, parts)
 
     def _changes(self) -> DataFrame:
@@ -120,20 +125,32 @@ class Engine:
         dead = changed.where("change IN ('changed', 'gone')").select("path")
         docs, sections = self._documents(todo), self._sections(todo)
         segment = uuid.uuid4().hex
+        prose = live.where(~F.col("is_code")).select("path")
+        fresh = self._parsed_links(todo.where(~F.col("is_code"))).withColumnRenamed("path", "src")
+        if kept is None:
+            renewed, redone = links.resolve(fresh, prose), dead.where("false").select("path", F.lit("").alias("target"))
+        else:
+            _, renewed, hit = self._patched(kept, changed, prose, fresh)
+            redone = hit.select(F.col("src").alias("path"), "target")
+        renewed = renewed.withColumnRenamed("src", "path").cache()
         self._write(segment, {
             "postings": units.terms(docs, ["key", "path"], T.index_tokens("text")),
             "documents": docs.select("key", "path", F.size(T.index_tokens("text")).cast("long").alias("dl"), "is_code"),
             "section_terms": units.terms(sections, ["key", "path", "off"], T.index_tokens("text")),
             "sections": sections.select("key", "path", "off", "title", "text", "is_code", F.size(T.index_tokens("text")).cast("long").alias("dl")),
             "stamps": todo.select("path", "mtime"),
-            "links": self._parsed_links(todo.where(~F.col("is_code"))),
+            "resolved": renewed,
+            "wanted": links.wanted_names(renewed.withColumnRenamed("path", "src")).withColumnRenamed("src", "path").repartitionByRange("name", "path").sortWithinPartitions("name"),
             "dead": dead if kept is not None else dead.where("false"),
+            "dead_links": redone,
         })
+        renewed.unpersist()
         new = {"versions": VERSIONS, "segments": [*(kept["segments"] if kept else []), segment], "retired": [] if kept or not meta else meta["segments"]}
         if len(new["segments"]) > MAX_SEGMENTS:
             merged = uuid.uuid4().hex
-            names = ("postings", "documents", "section_terms", "sections", "stamps", "links")
-            self._write(merged, {name: self._stored(name, new) for name in names} | {"dead": dead.where("false")})
+            names = ("postings", "documents", "section_terms", "sections", "stamps", "resolved", "wanted")
+            none = {"dead": dead.where("false"), "dead_links": redone.where("false")}
+            self._write(merged, {name: self._stored(name, new) for name in names} | none)
             new |= {"segments": [merged], "retired": new["segments"]}
         n, total = self._stored("documents", new).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         replace_text(self.spark, f"{self.index_dir}/meta.json", json.dumps(new | {"n": n, "avgdl": total / n if n else 1.0}))
@@ -321,21 +338,35 @@ class Engine:
         rows = generate(marked, ["path"], ["text"], lambda t: markdown.link_rows(t), LINKS)
         return rows.where("kind = 'link'").select("path", "target", "scaffold")
 
-    def raw_links(self) -> DataFrame:
-        """src, target, scaffold of all notes: stored ones of unchanged notes, and those of new and changed notes."""
+    def _patched(self, meta: dict, changed: DataFrame, prose: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The stored graph brought up to changed (path, change): what stays of it, the links resolved anew, and which stored ones these replace."""
+        of = lambda *kinds: changed.where(F.col("change").isin(*kinds)).select("path")
+        stored, wanted = (self._stored(x, meta).withColumnRenamed("path", "src") for x in ("resolved", "wanted"))
+        return links.patch(stored, wanted, prose, of("new"), of("gone"), of("changed", "gone"), fresh)
+
+    def resolved_links(self) -> DataFrame:
+        """src, target, scaffold, dst of all notes: the stored graph, patched where notes have changed since."""
         meta, notes = self._meta(), self.notes
         if meta is None:
-            rows = self._parsed_links(notes)
-        else:
-            changed = self._changes()
-            fresh = notes.join(changed.where("change IN ('new', 'changed')").select("path"), "path", "left_semi")
-            rows = self._stored("links", meta).join(changed.where("change = 'same'").select("path"), "path", "left_semi").unionByName(self._parsed_links(fresh))
-        return rows.withColumnRenamed("path", "src")
+            return links.resolve(self._parsed_links(notes).withColumnRenamed("path", "src"), notes.select("path"))
+        changed = self._changes()
+        fresh = notes.join(changed.where("change IN ('new', 'changed')").select("path"), "path", "left_semi")
+        stays, renewed, _ = self._patched(meta, changed, notes.select("path"), self._parsed_links(fresh).withColumnRenamed("path", "src"))
+        return stays.unionByName(renewed)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        resolved = links.resolve(self.raw_links(), self.notes.select("path"))
+        resolved = self.resolved_links()
         return links.edges(resolved), links.unresolved(resolved)
 
+    def search_names(self, queries: Sequence[str]) -> DataFrame:
+        """qid, path: notes whose name holds a query."""
+        return links.search_names(self.notes.select("path"), self.spark.createDataFrame(list(enumerate(queries)), "qid int, q string"))
+
+    def search_context(self, queries: Sequence[str], per_note: int = 20) -> DataFrame:
+        """qid, path, line, snippet, note_matches: the lines that hold a query word for word, without regard to case."""
+        asked = self.spark.createDataFrame(list(enumerate(queries)), "qid int, q string")
+        return links.context_search(units.lines(self.notes, "path", "text"), asked, per_note)
+
     def links_of(self, path: str) -> list[str]:
         edges, ghosts = self.graph()
         rows = edges.where(F.col("src") == path).select("dst").union(ghosts.where(F.col("src") == path).select("target"))

@@ -177,3 +177,39 @@ def test_status_has_seven_checks(engine):
     found = {r["check"]: r["verdict"] for r in engine.status().collect()}
     assert found.pop("shared folder") == ("ok" if engine.spark.conf.get("spark.checkpoint.dir", None) else "warn")
     assert found == {"corpus": "ok", "index": "ok", "segments": "ok", "unconverted": "warn", "failures": "ok", "vectors": "warn"}
+
+
+@pytest.mark.parametrize("built", [True, False])
+def test_the_patched_graph_equals_a_full_one_after_random_changes(spark, tmp_path, built):
+    import random
+
+    rng = random.Random(built)
+    folders, stems = ["", "a/", "b/", "a/c/", "docs/adr/"], ["x", "y", "Zed", "0007-why", "12-how"]
+    places = [f + s + ".md" for f in folders for s in stems]
+    targets = ["x", "a/x", "c/y", "Zed", "zed#part", "ADR-7", "adr 12", "./y", "../x", "#own", "nowhere", "a/c/Zed.md", "b/Zed"]
+    note = lambda: "\n".join(f"see [[{rng.choice(targets)}]]" for _ in range(rng.randrange(0, 5)))
+    notes = {p: (1.0, note()) for p in rng.sample(places, 12)}
+    of = lambda: Engine(spark, spark.createDataFrame([(p, m, t) for p, (m, t) in notes.items()], "path string, mtime double, text string"), str(tmp_path / "index"))
+    of().build()
+    for step in range(2 if built else 1):
+        for p in rng.sample(sorted(notes), 3):
+            del notes[p]
+        for p in rng.sample(sorted(set(places) - set(notes)), 3):
+            notes[p] = (step + 2.0, note())
+        for p in rng.sample(sorted(notes), 2):
+            notes[p] = (step + 50.0, note())
+        engine = of()
+        if built:
+            engine.build()
+    fresh = Engine(spark, engine.notes, str(tmp_path / "none"))
+    rows = lambda frame: sorted(map(repr, frame.distinct().collect()))
+    assert rows(engine.resolved_links()) == rows(fresh.resolved_links())
+    if built:
+        assert rows(engine._stored("resolved").withColumnRenamed("path", "src")) == rows(fresh.resolved_links())
+
+
+def test_names_and_lines_by_many_queries(spark, tmp_path):
+    notes = spark.createDataFrame([("a/Alpha.md", 1.0, "One line\nTwo lines"), ("b.md", 1.0, "two")], "path string, mtime double, text string")
+    engine = Engine(spark, notes, str(tmp_path / "index"))
+    assert [tuple(r) for r in engine.search_names(["alph", "zzz"]).collect()] == [(0, "a/Alpha.md")]
+    assert sorted((r["qid"], r["path"], r["line"]) for r in engine.search_context(["TWO", "one"]).collect()) == [(0, "a/Alpha.md", 2), (0, "b.md", 1), (1, "a/Alpha.md", 1)]
