@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions import markdown, units
+from gleanery.functions import markdown, stems, units
 from gleanery.functions import text as T
 from gleanery.functions.arrow import scalar
 from gleanery.operators import evaluation, files, fusion, grams, intervals, langid, lexical, links, nearest, pages, refresh, topk, windows
@@ -607,6 +607,12 @@ def bodies_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.clean_body("text", True).cast("binary")).alias("body_md5"), F.md5(T.strip_degenerate_runs("text").cast("binary")).alias("runs_md5"))
 
 
+@query()
+def sentence_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of the documents' words; SQL has no stems, the tests have the published sample."""
+    return stems.sentence_stems(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
+
+
 @query("""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?;\\n]+')) AS s FROM documents),
 w AS (SELECT doc_id, unnest(regexp_extract_all(s, '[a-zA-ZÀ-ÿ]+')) AS w FROM s)
 SELECT documents.doc_id, count(w) FILTER (length(w) >= 3) AS n FROM documents LEFT JOIN w ON w.doc_id = documents.doc_id GROUP BY ALL""")
