@@ -132,19 +132,18 @@ class Engine:
         else:
             _, renewed, hit = self._patched(kept, changed, prose, fresh)
             redone = hit.select(F.col("src").alias("path"), "target")
-        renewed = renewed.withColumnRenamed("src", "path").cache()
+        self._write(segment, {"resolved": renewed.withColumnRenamed("src", "path")})
+        renewed = self.spark.read.parquet(f"{self.index_dir}/{segment}/resolved").withColumnRenamed("path", "src")
         self._write(segment, {
             "postings": units.terms(docs, ["key", "path"], T.index_tokens("text")),
             "documents": docs.select("key", "path", F.size(T.index_tokens("text")).cast("long").alias("dl"), "is_code"),
             "section_terms": units.terms(sections, ["key", "path", "off"], T.index_tokens("text")),
             "sections": sections.select("key", "path", "off", "title", "text", "is_code", F.size(T.index_tokens("text")).cast("long").alias("dl")),
             "stamps": todo.select("path", "mtime"),
-            "resolved": renewed,
-            "wanted": links.wanted_names(renewed.withColumnRenamed("path", "src")).withColumnRenamed("src", "path").repartitionByRange("name", "path").sortWithinPartitions("name"),
+            "wanted": links.wanted_names(renewed).withColumnRenamed("src", "path").repartitionByRange("name", "path").sortWithinPartitions("name"),
             "dead": dead if kept is not None else dead.where("false"),
             "dead_links": redone,
         })
-        renewed.unpersist()
         new = {"versions": VERSIONS, "segments": [*(kept["segments"] if kept else []), segment], "retired": [] if kept or not meta else meta["segments"]}
         if len(new["segments"]) > MAX_SEGMENTS:
             merged = uuid.uuid4().hex
