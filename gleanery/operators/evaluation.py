@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,15 +11,20 @@ def judged(run: DataFrame, qrels: DataFrame, doc: str = "doc_id") -> DataFrame:
     return run.join(qrels.select("qid", doc, "rel"), ["qid", doc], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
+def added(parts: Column) -> Column:
+    """The sum of a group's few numbers from the least on: equal numbers give equal sums, in whatever order they come."""
+    return F.aggregate(F.sort_array(F.collect_list(parts)), F.lit(0.0), lambda a, x: a + x)
+
+
 def metrics(run: DataFrame, qrels: DataFrame, k: int = 10, doc: str = "doc_id") -> DataFrame:
     """qid, ndcg, mrr, recall of every query that has a relevant document."""
     hits = judged(run.where(F.col("rank") <= k), qrels, doc).where("rel > 0")
     got = hits.groupBy("qid").agg(
-        F.sum(F.col("rel") / F.log2(F.col("rank") + F.lit(1.0))).alias("dcg"), F.max(1.0 / F.col("rank")).alias("rr"), F.count(F.lit(1)).alias("found"))
+        added(F.col("rel") / F.log2(F.col("rank") + F.lit(1.0))).alias("dcg"), F.max(1.0 / F.col("rank")).alias("rr"), F.count(F.lit(1)).alias("found"))
     order = Window.partitionBy("qid").orderBy(F.desc("rel"), doc)
     ideal = qrels.where("rel > 0").withColumn("_i", F.row_number().over(order))
     best = ideal.groupBy("qid").agg(
-        F.sum(F.when(F.col("_i") <= k, F.col("rel") / F.log2(F.col("_i") + F.lit(1.0)))).alias("idcg"), F.count(F.lit(1)).alias("relevant"))
+        added(F.when(F.col("_i") <= k, F.col("rel") / F.log2(F.col("_i") + F.lit(1.0)))).alias("idcg"), F.count(F.lit(1)).alias("relevant"))
     rows = best.join(got, "qid", "left")
     return rows.select(
         "qid", F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg"), F.coalesce("rr", F.lit(0.0)).alias("mrr"),
