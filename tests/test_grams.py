@@ -53,3 +53,24 @@ def test_context_and_names(spark):
     notes = spark.createDataFrame([("a/Bcd.md",), ("bcd/x.md",), ("x/abcde.md",)], "path string")
     named = links.search_names(notes, spark.createDataFrame([(7, "BCD"), (8, "md")], "qid int, q string"))
     assert sorted((r["qid"], r["path"]) for r in named.collect()) == [(7, "a/Bcd.md"), (7, "x/abcde.md")]
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_equal_patterns_are_looked_for_once(spark, few, monkeypatch):
+    texts = spark.createDataFrame([(0, "abc"), (1, "xabcx"), (2, "xyz")], "k int, text string")
+    asked = spark.createDataFrame([(i, ("abc", "xyz")[i % 2]) for i in range(500)], "qid int, q string")
+    seen = []
+    for name in ("rarest", "one_by_one"):
+        whole = getattr(grams, name)
+        monkeypatch.setattr(grams, name, lambda *a, whole=whole, at={"rarest": 2, "one_by_one": 2}[name]: (seen.append(a[at] if isinstance(a[at], list) else a[at].collect()), whole(*a))[1])
+    got = {(r["k"], r["qid"]) for r in grams.holding(texts, ["k"], "text", asked, few=few).collect()}
+    assert got == {(k, i) for i in range(500) for k in ((0, 1), (2,))[i % 2]} and [len(x) for x in seen] == [2]
+
+
+def test_names_for_many_that_ask_the_same(spark):
+    notes = spark.createDataFrame([(f"a/{i}.md",) for i in range(200)], "path string")
+    asked = spark.createDataFrame([(i, str(i % 3)) for i in range(1, 301)], "qid int, q string")
+    rows = links.search_names_once(notes, asked).collect()
+    assert sorted((r["qid"], r["same_as"]) for r in rows if r["path"] is None) == [(i, i % 3 or 3) for i in range(1, 301)]
+    assert sorted((r["same_as"], r["path"]) for r in rows if r["path"]) == sorted((i, f"a/{n}.md") for i in (1, 2, 3) for n in range(200) if str(i % 3) in str(n))
+    assert {r["qid"] for r in rows if r["path"]} == {1, 2, 3}
