@@ -27,6 +27,8 @@ from gleanery.session import materialise
 PIVOTS, BINS, SAMPLE, DIGITS = 16, 64, 2_000, 6
 #: Rows of a group and queries of a wave, about.
 GROUP_ROWS, WAVE = 8_192, 2_048
+#: Products that a task holds at a time; choosing among them takes some copies of them.
+MOST_SCORES = 1 << 20
 #: What rounding to DIGITS and the angles' own errors may take from a bound.
 SLACK = 2e-6
 
@@ -157,6 +159,28 @@ def best_of_owner(scores: np.ndarray, keys: pa.Array, owners: pa.Array, k: int)
     return np.repeat(np.arange(len(scores)), len(starts)), order[first.ravel()]
 
 
+PRODUCTS = ["qid", "owner", "key", "score", "pairs"]
+
+
+def products(some: pa.Table, rows: pa.Table, dims: int, k: int, choose: Callable) -> pa.Table:
+    """What choose() takes of the products of a wave's queries with a group's rows, which a task has MOST_SCORES of at a time."""
+    some, rows = some.combine_chunks(), rows.combine_chunks()
+    if not some.num_rows or not rows.num_rows:
+        return pa.table([some["qid"].slice(0, 0), rows["owner"].slice(0, 0), rows["key"].slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.int64())], PRODUCTS)
+    one = lambda c: c.chunk(0)
+    left, right = matrix(one(some["query"]), dims), matrix(one(rows["vector"]), dims)
+    step, found = max(1, MOST_SCORES // len(right)), []
+    for at in range(0, len(left), step):  # a query's rows don't depend on other queries
+        scores = left[at : at + step] @ right.T
+        scores = np.floor(scores * 10**DIGITS + 0.5) / 10**DIGITS
+        q, r = choose(scores, one(rows["key"]), one(rows["owner"]), k)
+        found.append((q + at, r, scores[q, r]))
+    q, r, best = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = np.zeros(len(q), np.int64)
+    pairs[:1] = len(left) * len(right)
+    return pa.table([some["qid"].take(pa.array(q)), rows["owner"].take(pa.array(r)), rows["key"].take(pa.array(r)), pa.array(best), pa.array(pairs)], PRODUCTS)
+
+
 def asked(grouped: Grouped, queries: DataFrame, waves: int, k: int, choose: Callable) -> DataFrame:
     """qid, owner, key, score, pairs: what choose() takes of each group for the queries sent to it; pairs on the first row of a task."""
     dims, wave = grouped.dims, F.pmod(F.xxhash64("qid"), F.lit(waves)).cast("int")
@@ -164,23 +188,9 @@ def asked(grouped: Grouped, queries: DataFrame, waves: int, k: int, choose: Call
     left = queries.withColumn("wave", wave).repartition(tasks, "group", "wave").groupBy("group", "wave")
     every = F.explode(F.sequence(F.lit(0), F.lit(waves - 1)))
     right = grouped.table.withColumn("wave", every).repartition(tasks, "group", "wave").groupBy("group", "wave")
-    names = ["qid", "owner", "key", "score", "pairs"]
     kinds = [queries.schema["qid"].dataType.simpleString(), *(grouped.table.schema[c].dataType.simpleString() for c in ("owner", "key")), "double", "long"]
 
-    def run(some: pa.Table, rows: pa.Table) -> pa.Table:
-        some, rows = some.combine_chunks(), rows.combine_chunks()
-        if not some.num_rows or not rows.num_rows:
-            none = pa.table([some["qid"].slice(0, 0), rows["owner"].slice(0, 0), rows["key"].slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.int64())], names)
-            return none
-        one = lambda c: c.chunk(0)
-        scores = matrix(one(some["query"]), dims) @ matrix(one(rows["vector"]), dims).T
-        scores = np.floor(scores * 10**DIGITS + 0.5) / 10**DIGITS
-        q, r = choose(scores, one(rows["key"]), one(rows["owner"]), k)
-        pairs = np.zeros(len(q), np.int64)
-        pairs[:1] = scores.size
-        return pa.table([some["qid"].take(pa.array(q)), rows["owner"].take(pa.array(r)), rows["key"].take(pa.array(r)), pa.array(scores[q, r]), pa.array(pairs)], names)
-
-    return left.cogroup(right).applyInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+    return left.cogroup(right).applyInArrow(lambda some, rows: products(some, rows, dims, k, choose), ", ".join(f"{n} {t}" for n, t in zip(PRODUCTS, kinds, strict=True)))
 
 
 def stated(queries: DataFrame, qid: str, query: str) -> tuple[DataFrame, int]:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,21 @@ def test_owners_and_empty_tables(spark):
     assert len(got) == 18
     for a, b in ((rows.where("false"), queries), (rows, queries.where("false"))):
         assert nearest.nearest(a, b, 3).count() == 0 and nearest.best_per_owner(a.withColumn("owner", F.lit(1)), b, "owner").count() == 0
+
+
+def test_a_task_holds_few_products_at_a_time():
+    rng = np.random.default_rng(3)
+    rows, queries = rng.normal(size=(4_096, 16)), rng.normal(size=(2_048, 16))
+    seen = []
+
+    def choose(scores, keys, owners, k):
+        seen.append(scores.size)
+        return nearest.first_k(scores, keys, owners, k)
+
+    some = pa.table({"qid": pa.array(range(2_048)), "query": pa.array(list(queries))})
+    held = pa.table({"key": pa.array(range(4_096)), "owner": pa.nulls(4_096, pa.int32()), "vector": pa.array(list(rows))})
+    found = nearest.products(some, held, 16, 3, choose)
+    scores = np.floor(queries @ rows.T * 1e6 + 0.5) / 1e6
+    expected = [(q, r) for q in range(2_048) for r in np.lexsort((np.arange(4_096), -scores[q]))[:3]]
+    assert list(zip(found["qid"].to_pylist(), found["key"].to_pylist(), strict=True)) == expected
+    assert max(seen) <= nearest.MOST_SCORES and sum(found["pairs"].to_pylist()) == scores.size
