@@ -6,8 +6,12 @@ rows; more of them meet the postings in an ordinary join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from gleanery.session import materialise
 
 K1, B = 1.5, 0.75
 MAX_QUERY_TERMS = 200_000
+#: What a task scores at a time: pairs of a posting and a query that asks for it, and of a document and a query. What rounding may take.
+PAIRS, CELLS, SLACK = 1 << 20, 1 << 21, 2e-6
 
 
 def small(frame: DataFrame, rows: int = MAX_QUERY_TERMS) -> DataFrame:
@@ -34,13 +40,18 @@ def bm25_of(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (key, dl, term, tf), documents (key, dl), frequencies (term, df) and stats (n, avgdl) of one corpus."""
+    """postings (key, dl, term, tf), documents (key, dl), frequencies (term, df) and stats (n, avgdl) of one corpus.
+
+    Where they are stored by document, whole has one row a key: key, terms (an array of term, tf), and for each stored row
+    of that key, which is one as a rule, its dl and its number n of terms.
+    """
 
     key: str
     postings: DataFrame
     documents: DataFrame
     frequencies: DataFrame
     stats: DataFrame
+    whole: DataFrame | None = None
 
 
 def index(docs: DataFrame, key: str, tokens: Column) -> Index:
@@ -51,7 +62,25 @@ def index(docs: DataFrame, key: str, tokens: Column) -> Index:
     frequencies = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     n, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     stats = docs.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total / max(n, 1)).alias("avgdl"))
-    return Index(key, postings, counted.select(key, "dl"), frequencies, stats)
+    whole = counted.select(key, "terms", F.array("dl").alias("dl"), F.array(F.coalesce(F.array_size("terms"), F.lit(0))).alias("n"))
+    if counted.select(key).distinct().count() < n:  # rows of one key are one document
+        same = F.collect_list(F.struct("terms", F.col("dl")[0].alias("dl"), F.col("n")[0].alias("n")))
+        whole = whole.groupBy(key).agg(same.alias("s")).select(key, F.flatten(F.filter("s.terms", F.isnotnull)).alias("terms"), F.col("s.dl").alias("dl"), F.col("s.n").alias("n"))
+    return Index(key, postings, counted.select(key, "dl"), frequencies, stats, whole)
+
+
+def unfolded(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The row, term, tf and dl of each of the terms of some rows of Index.whole."""
+    terms, dl, n = rows.column(1), rows.column(2).flatten().to_numpy(), rows.column(3).flatten().to_numpy()
+    flat = terms.flatten()
+    owner = np.repeat(np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+    return owner, flat.field(0), flat.field(1).to_numpy().astype(float), np.repeat(dl, n).astype(float)
+
+
+def part_of(tf: np.ndarray, dl: np.ndarray, avgdl: float, idf: np.ndarray | float) -> np.ndarray:
+    """bm25_of() in numpy."""
+    norm = (1 - B) + B * np.where(dl == 0, 1, dl) / avgdl
+    return idf * tf * (K1 + 1) / (tf + K1 * norm)
 
 
 def query_terms(queries: DataFrame, qid: str, tokens: Column) -> DataFrame:
@@ -74,15 +103,80 @@ def weigh(ix: Index, terms: DataFrame) -> DataFrame:
     return F.broadcast(rows) if few else rows
 
 
-def score(ix: Index, weights: DataFrame) -> DataFrame:
-    """qid, key, score, matched (sorted terms), mass: BM25 of every document that holds a query term."""
+def score(ix: Index, weights: DataFrame, best: int | None = None, signals: bool = True) -> DataFrame:
+    """qid, key, score, matched (sorted terms), mass: BM25 of every document that holds a query term.
+
+    With best only rows that may be among a query's so many best, with score to six digits, are sure to be there, and all
+    of them are; with best or without signals only qid, key and score are. Up to MAX_QUERY_TERMS weights go to every
+    executor, and a document stored in one row is then scored in its task: nothing is shuffled or held for all documents.
+    """
     known = weights.where("df > 0")
+    if ix.whole is not None:
+        stated = known.select("qid", "term", "idf").limit(MAX_QUERY_TERMS + 1).toArrow()
+        if stated.num_rows <= MAX_QUERY_TERMS:
+            return scored_by_row(ix, stated, known.schema["qid"].dataType.simpleString(), best, signals and best is None)
     rows = ix.postings.join(known, "term").crossJoin(F.broadcast(ix.stats.select("avgdl")))
     part = bm25_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
     return rows.groupBy("qid", ix.key).agg(
         F.sum(part).alias("score"), F.array_sort(F.collect_set("term")).alias("matched"), F.sum("idf").alias("mass"))
 
 
+def scored_by_row(ix: Index, stated: pa.Table, qid_type: str, best: int | None, signals: bool) -> DataFrame:
+    """score() by weights (qid, term, idf) that go to every task, a few documents at a time."""
+    qids = stated["qid"].combine_chunks().unique()
+    vocabulary = stated["term"].combine_chunks().unique()
+    vocabulary = vocabulary.take(pc.sort_indices(vocabulary))  # so terms come in order of their numbers
+    term = pc.index_in(stated["term"], value_set=vocabulary).to_numpy()
+    order = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))  # where the queries of each term stand
+    asks, idfs = pc.index_in(stated["qid"], value_set=qids).to_numpy()[order].astype(np.int64), stated["idf"].to_numpy()[order]
+    _, avgdl = ix.stats.select("n", "avgdl").first()
+    spark, key = ix.whole.sparkSession, ix.key
+    shared = spark.sparkContext.broadcast((qids, vocabulary, first, asks, idfs))
+    names = ["qid", key, "score", "matched", "mass"][: 5 if signals else 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, vocabulary, first, asks, idfs = shared.value
+        n_asked = len(qids)
+        for batch in batches:
+            rows = batch.num_rows
+            owner, terms, tf, dl = unfolded(batch)
+            code = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy()
+            hit = np.flatnonzero(code >= 0)
+            owner, code, tf, dl = owner[hit], code[hit], tf[hit], dl[hit]
+            asked = first[code + 1] - first[code]
+            ends = np.cumsum(np.bincount(owner, asked, rows).astype(np.int64))
+            start = 0
+            while start < rows and n_asked:
+                before = ends[start - 1] if start else 0
+                end = min(rows, start + max(1, CELLS // n_asked), max(start + 1, int(np.searchsorted(ends, before + PAIRS, "right"))))
+                a, b = np.searchsorted(owner, [start, end])
+                m = asked[a:b]
+                at = np.repeat(first[code[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                part = part_of(np.repeat(tf[a:b], m), np.repeat(dl[a:b], m), avgdl, idfs[at])
+                cell, cells = np.repeat(owner[a:b] - start, m) * n_asked + asks[at], (end - start) * n_asked
+                keep = np.bincount(cell, minlength=cells) > 0
+                score = np.bincount(cell, part, cells)
+                if best is not None and end - start > best:
+                    table = np.where(keep, score, -np.inf).reshape(end - start, n_asked)
+                    least = np.partition(table, len(table) - best, axis=0)[len(table) - best]
+                    keep &= (table >= least - SLACK).ravel()
+                kept = np.flatnonzero(keep)
+                found = [qids.take(pa.array(kept % n_asked)), batch.column(0).take(pa.array(kept // n_asked + start)), pa.array(score[kept], pa.float64())]
+                if signals:
+                    by = np.lexsort((number := np.repeat(code[a:b], m), cell))
+                    number, place = number[by], cell[by]
+                    new = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (place[1:] != place[:-1])])[: len(by)])
+                    offsets = np.searchsorted(place[new], np.append(kept, cells))
+                    found.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), vocabulary.take(pa.array(number[new]))))
+                    found.append(pa.array(np.bincount(cell, idfs[at], cells)[kept], pa.float64()))
+                yield pa.RecordBatch.from_arrays(found, names)
+                start = end
+
+    kinds = [qid_type, ix.whole.schema[key].dataType.simpleString(), "double", "array<string>", "double"]
+    return ix.whole.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=False)))
+
+
 def query_mass(weights: DataFrame) -> DataFrame:
     """qid, mass_all: what coverage is a share of, absent terms at their df 0 weight."""
     return weights.groupBy("qid").agg(F.sum("idf").alias("mass_all"))
