@@ -1,7 +1,7 @@
 """The k best documents of many queries without reading all postings: blocks with their greatest score, a threshold first.
 
-Postings of a term stand in blocks by bucket of the document (a hash of its key); a block knows the greatest part that any
-document of it can add. A query's terms are ordered by what they can add at most. The first few give partial scores, and
+Postings of a term stand in blocks by bucket of the document (neighbours in the stored index, so that blocks are made where
+the documents lie); a block knows the greatest part that any document of it can add. A query's terms are ordered by what they can add at most. The first few give partial scores, and
 the k-th of these is a score that k documents reach. Terms at the end of the order that can't reach it even together are
 not essential: a document that holds only such terms can't be among the best, so their postings are not read as such.
 The documents of the essential terms get partial scores; those that still can't reach the k-th of them with all the rest
@@ -13,38 +13,64 @@ The rows are those of lexical.score() and a sort. An index without documents, or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.lexical import Index, bm25_of
+from gleanery.operators.lexical import SLACK, Index, part_of, small, unfolded
 from gleanery.session import materialise, release
 
-#: Documents of a bucket, about; postings that the first threshold is drawn from, for each wanted document; what rounding may take.
-BUCKET_DOCS, SEED_DOCS, SLACK = 128, 20, 2e-6
+#: Documents of a bucket at most; postings that the first threshold is drawn from, for each wanted document.
+BUCKET_DOCS, SEED_DOCS = 128, 20
 
 
 @dataclass
 class Blocks:
-    """table (term, bucket, most, posts: array of key and part), terms (term, df, best) and the number of buckets."""
+    """table (term, bucket, most, posts: array of key and part) and terms (term, df, best)."""
 
     key: str
     table: DataFrame
     terms: DataFrame
-    buckets: int
 
 
 def blocks(ix: Index) -> Blocks:
-    """The postings of an index in blocks, written to the shared folder in order of terms."""
-    n, avgdl = ix.stats.first()
-    buckets = max(1, n // BUCKET_DOCS)
-    part = bm25_of(F.col("tf"), F.col("dl"), F.lit(avgdl), F.lit(1.0))
-    rows = ix.postings.select("term", F.pmod(F.xxhash64(ix.key), F.lit(buckets)).cast("int").alias("bucket"), F.struct(F.col(ix.key).alias("key"), part.alias("part")).alias("post"))
-    table = rows.groupBy("term", "bucket").agg(F.max("post.part").alias("most"), F.collect_list("post").alias("posts"))  # a bucket's documents
-    table = materialise(table.sortWithinPartitions("term", "bucket"), "blocks")
+    """The postings of an index in blocks, written to the shared folder; a task makes those of the documents it reads, in order of terms."""
+    _, avgdl = ix.stats.select("n", "avgdl").first()
+    each = BUCKET_DOCS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            owner, terms, tf, dl = unfolded(batch)
+            if not len(owner):
+                continue
+            terms = terms.dictionary_encode()
+            order = pc.sort_indices(terms.dictionary)
+            rank = np.argsort(order.to_numpy())
+            code = rank[terms.indices.to_numpy()]
+            by = np.lexsort((owner, code))
+            code, owner = code[by], owner[by]
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]))
+            part = np.add.reduceat(part_of(tf, dl, avgdl, 1.0)[by], first)  # a document has a term once, unless it has several rows
+            code, owner = code[first], owner[first]
+            place = owner // each
+            start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (place[1:] != place[:-1])]))
+            posts = pa.StructArray.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(part)], ["key", "part"])
+            yield pa.RecordBatch.from_arrays(
+                [terms.dictionary.take(order).take(pa.array(code[start])), pa.array(place[start] + bucket), pa.array(np.maximum.reduceat(part, start)),
+                 pa.ListArray.from_arrays(pa.array(np.append(start, len(part)), pa.int32()), posts)], ["term", "bucket", "most", "posts"])
+            bucket += -(-batch.num_rows // each)
+
+    kind = ix.whole.schema[ix.key].dataType.simpleString()
+    table = materialise(ix.whole.mapInArrow(run, f"term string, bucket long, most double, posts array<struct<key: {kind}, part: double>>"), "blocks")
     terms = materialise(table.groupBy("term").agg(F.sum(F.size("posts")).alias("df"), F.max("most").alias("best")), "block-terms")
-    return Blocks(ix.key, table, terms, buckets)
+    return Blocks(ix.key, table, terms)
 
 
 def ordered(known: Blocks, weights: DataFrame) -> DataFrame:
@@ -57,9 +83,9 @@ def ordered(known: Blocks, weights: DataFrame) -> DataFrame:
 
 
 def partial(known: Blocks, terms: DataFrame) -> DataFrame:
-    """qid, key, score: what the terms (qid, term, idf) add to the documents that hold them."""
-    rows = known.table.join(terms.select("qid", "term", "idf"), "term").select("qid", "idf", F.explode("posts").alias("p"))
-    return rows.groupBy("qid", "p.key").agg(F.sum(F.col("idf") * F.col("p.part")).alias("score"))
+    """qid, key, bucket, score: what the terms (qid, term, idf) add to the documents that hold them."""
+    rows = known.table.join(small(terms.select("qid", "term", "idf")), "term").select("qid", "idf", "bucket", F.explode("posts").alias("p"))
+    return rows.groupBy("qid", "p.key", "bucket").agg(F.sum(F.col("idf") * F.col("p.part")).alias("score"))
 
 
 def reached(scores: DataFrame, k: int) -> DataFrame:
@@ -81,13 +107,14 @@ def top_k(known: Blocks, weights: DataFrame, k: int) -> tuple[DataFrame, DataFra
     left = more.groupBy("qid").agg(F.sum("gain").alias("left"))
     stay = scores.join(reached(scores, k), "qid", "left").join(left, "qid", "left")
     stay = stay.where(F.col("score") + F.coalesce("left", F.lit(0.0)) + SLACK >= no_reach)
-    stay = materialise(stay.select("qid", "key", "score", "reach", "left", F.pmod(F.xxhash64("key"), F.lit(known.buckets)).cast("int").alias("bucket")), "candidates")
+    stay = materialise(stay.select("qid", "key", "score", "reach", "left", "bucket"), "candidates")
     # A block matters to a document only if the document, with all other terms at their most and this one at the block's, reaches the threshold.
     least = no_reach - F.col("score") - F.col("left") + F.col("gain") - SLACK
     asked = stay.join(more.select("qid", "term", "idf", "gain"), "qid").select("qid", "key", "term", "bucket", "idf", least.alias("least"))
-    asked = asked.join(known.table.select("term", "bucket", "most"), ["term", "bucket"]).where(F.col("idf") * F.col("most") >= F.col("least"))
+    table = known.table.join(small(more.select("term").distinct()), "term", "left_semi")  # only these terms' blocks are looked at
+    asked = asked.join(table.select("term", "bucket", "most"), ["term", "bucket"]).where(F.col("idf") * F.col("most") >= F.col("least"))
     asked = materialise(asked.select("qid", "key", "term", "bucket", "idf"), "asked-blocks")
-    posts = known.table.join(asked.select("term", "bucket").distinct(), ["term", "bucket"], "left_semi").select("term", F.explode("posts").alias("p"))
+    posts = table.join(asked.select("term", "bucket").distinct(), ["term", "bucket"], "left_semi").select("term", F.explode("posts").alias("p"))
     added = asked.join(posts.select("term", "p.key", "p.part"), ["term", "key"]).select("qid", "key", (F.col("idf") * F.col("part")).alias("score"))
     found = stay.select("qid", "key", "score").unionByName(added).groupBy("qid", "key").agg(F.sum("score").alias("score"))
     read = known.table.select("term", "bucket").join(first.select("qid", "term"), "term").select("qid", "term", "bucket")
